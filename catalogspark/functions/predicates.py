@@ -1,22 +1,36 @@
 """Filter predicates.
 
-Every predicate takes columns on both sides, so the same definition serves one
-query (literals, folded and pushed into the scan by Catalyst) and a batch (columns
-of a query table). Argument lists that are NULL or empty mean "no filter".
+Arguments are either Python values (one query: plain comparisons that reach the
+Parquet scan) or columns of a query table (a batch). An argument list that is
+NULL or empty means "no filter".
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .paths import ancestors, clean_path
 
 
-def _empty(values: Column) -> Column:
+def _no_values(values: Column) -> Column:
     return F.coalesce(F.size(values), F.lit(0)) < 1
 
 
-def repo_in(repo: Column, repos: Column) -> Column:
-    return _empty(repos) | F.array_contains(repos, repo)
+def _any(conditions: list) -> Column:
+    return reduce(or_, conditions, F.lit(False))
+
+
+def _member(value: Column, values) -> Column:
+    """Membership test; always true for an absent list."""
+    if isinstance(values, Column):
+        return _no_values(values) | F.array_contains(values, value)
+    return value.isin(list(values)) if values else F.lit(True)
+
+
+def repo_in(repo: Column, repos) -> Column:
+    return _member(repo, repos)
 
 
 def qualify_repos(repos: Column, owner: str) -> Column:
@@ -26,25 +40,39 @@ def qualify_repos(repos: Column, owner: str) -> Column:
     )
 
 
-def extension_in(ext: Column, extensions: Column) -> Column:
+def extension_in(ext: Column, extensions) -> Column:
     """Only the record side is lower-cased; blank extensions never pass a list."""
-    return _empty(extensions) | F.array_contains(extensions, F.lower(F.coalesce(ext, F.lit(""))))
+    return _member(F.lower(F.coalesce(ext, F.lit(""))), extensions)
 
 
-def folder_exact(folder_path: Column, folders: Column) -> Column:
-    return _empty(folders) | F.array_contains(F.transform(folders, clean_path), folder_path)
+def _clean(path: str | None) -> str:
+    return (path or "").strip("/")
 
 
-def folder_subtree(folder_path: Column, folders: Column) -> Column:
+def folder_exact(folder_path: Column, folders) -> Column:
+    if isinstance(folders, Column):
+        return _no_values(folders) | F.array_contains(F.transform(folders, clean_path), folder_path)
+    return _member(folder_path, [_clean(f) for f in folders or []])
+
+
+def folder_subtree(folder_path: Column, folders) -> Column:
     """At or below one of the folders; the empty folder selects root files only."""
+    if isinstance(folders, Column):
+
+        def below(folder: Column) -> Column:
+            clean = clean_path(folder)
+            prefix = F.concat(clean, F.lit("/"))
+            return (folder_path == clean) | ((clean != "") & F.startswith(folder_path, prefix))
+
+        return _no_values(folders) | F.exists(folders, below)
+    if not folders:
+        return F.lit(True)
+    return _any([_at_or_below(folder_path, _clean(f)) for f in folders])
 
-    def below(folder: Column) -> Column:
-        clean = clean_path(folder)
-        return (folder_path == clean) | (
-            (clean != "") & F.startswith(folder_path, F.concat(clean, F.lit("/")))
-        )
 
-    return _empty(folders) | F.exists(folders, below)
+def _at_or_below(folder_path: Column, folder: str) -> Column:
+    same = folder_path == folder
+    return same | folder_path.startswith(folder + "/") if folder else same
 
 
 def _clean_set(paths: Column) -> Column:
@@ -52,35 +80,51 @@ def _clean_set(paths: Column) -> Column:
     return F.filter(cleaned, lambda p: p != "")
 
 
-def folder_mixed(folder: Column, folder_path: Column, selfs: Column, subtrees: Column) -> Column:
+def folder_mixed(folder: Column, folder_path: Column, selfs, subtrees) -> Column:
     """In a chosen folder itself, or at or below a chosen subtree."""
-    self_set, subtree_set = _clean_set(selfs), _clean_set(subtrees)
-    return (
-        ((F.size(self_set) == 0) & (F.size(subtree_set) == 0))
-        | F.array_contains(self_set, folder_path)
-        | F.arrays_overlap(ancestors(folder), subtree_set)
-    )
+    if isinstance(selfs, Column) or isinstance(subtrees, Column):
+        self_set, subtree_set = _clean_set(selfs), _clean_set(subtrees)
+        return (
+            ((F.size(self_set) == 0) & (F.size(subtree_set) == 0))
+            | F.array_contains(self_set, folder_path)
+            | F.arrays_overlap(ancestors(folder), subtree_set)
+        )
+    self_list = [p for p in map(_clean, selfs or []) if p]
+    subtree_list = [p for p in map(_clean, subtrees or []) if p]
+    if not self_list and not subtree_list:
+        return F.lit(True)
+    return folder_path.isin(self_list) | _any([_at_or_below(folder_path, p) for p in subtree_list])
+
+
+def folder_filter(folder, folder_path, mode, folders, selfs, subtrees) -> Column:
+    if isinstance(mode, Column):
+        return (
+            F.when(mode == "mixed", folder_mixed(folder, folder_path, selfs, subtrees))
+            .when(mode == "exact", folder_exact(folder_path, folders))
+            .otherwise(folder_subtree(folder_path, folders))
+        )
+    if mode == "mixed":
+        return folder_mixed(folder, folder_path, selfs, subtrees)
+    if mode == "exact":
+        return folder_exact(folder_path, folders)
+    return folder_subtree(folder_path, folders)
 
 
-def folder_filter(folder: Column, folder_path: Column, mode: Column, folders, selfs, subtrees) -> Column:
-    mode = F.coalesce(mode, F.lit(""))
-    return (
-        F.when(mode == "mixed", folder_mixed(folder, folder_path, selfs, subtrees))
-        .when(mode == "exact", folder_exact(folder_path, folders))
-        .otherwise(folder_subtree(folder_path, folders))
-    )
+def size_between(size: Column, min_size, max_size) -> Column:
+    """Inclusive bounds; unknown and zero sizes always pass."""
 
+    def bound(limit, test) -> Column:
+        if isinstance(limit, Column):
+            return limit.isNull() | test(limit)
+        return F.lit(True) if limit is None else test(limit)
 
-def size_between(size: Column, min_size: Column, max_size: Column) -> Column:
-    """Inclusive bounds; unknown and zero sizes always pass."""
-    return (
-        size.isNull()
-        | (size <= 0)
-        | ((min_size.isNull() | (size >= min_size)) & (max_size.isNull() | (size <= max_size)))
-    )
+    low = bound(min_size, lambda v: size >= v)
+    high = bound(max_size, lambda v: size <= v)
+    return size.isNull() | (size <= 0) | (low & high)
 
 
 def passes_filters(row: dict, query: dict) -> Column:
+    """All filters of one query (or query row) over one record."""
     return (
         repo_in(row["repo"], query["repos"])
         & extension_in(row["ext"], query["extensions"])

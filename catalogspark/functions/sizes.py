@@ -3,12 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE
+
 # 1024-based units.
 KB = 1024
 MB = 1024 * KB
 GB = 1024 * MB
 
-_SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 
 
 def human_size(size: Column) -> Column:
@@ -56,10 +57,10 @@ def _scaled(value: Column, unit: Column) -> Column:
 
 def parse_size(text: Column) -> Column:
     """Bytes of ``1.5MB`` style text; other text gives its leading integer or NULL."""
-    sized = rf"(?i)^([\d.]+){_SPACE}*(GB|MB|KB|B)?$"
+    sized = rf"(?i)^([\d.]+)[{SPACE}]*(GB|MB|KB|B)?$"
     number = F.regexp_extract(F.regexp_extract(text, sized, 1), r"^(\d+[.]?\d*|[.]\d+)", 1)
     unit = F.upper(F.regexp_extract(text, sized, 2))
-    leading = F.regexp_extract(text, rf"^{_SPACE}*([+-]?\d+)", 1).try_cast("bigint")
+    leading = F.regexp_extract(text, rf"^[{SPACE}]*([+-]?\d+)", 1).try_cast("bigint")
     return F.when(text.rlike(sized), _scaled(number.try_cast("double"), unit)).otherwise(
         F.nullif(leading, F.lit(0).cast("bigint"))
     )

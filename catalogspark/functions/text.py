@@ -4,9 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The two CJK ranges that are indexed, and the white-space set.
-CJK = r"一-鿿㐀-䶿"
-SPACE = r"\t\n\x0B\f\r    -     　﻿"
-NO_STRINGS = "array<string>"
+CJK = r"\u4e00-\u9fff\u3400-\u4dbf"
+SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def tokens(text: Column) -> Column:
@@ -47,7 +46,7 @@ def search_mode(query: Column, exact: Column) -> Column:
 
 def wildcard_pattern(query: Column) -> Column:
     """Unanchored, case-blind regular expression of a ``*``/``?`` pattern."""
-    any_char = r"[^\n\r  ]"
+    any_char = r"[^\n\r\u2028\u2029]"
     escaped = F.regexp_replace(query, r"[.+^${}()|\[\]\\]", r"\\$0")
     starred = F.replace(escaped, F.lit("*"), F.lit(any_char + "*"))
     # "?" must not touch the patterns just inserted; they contain none.
