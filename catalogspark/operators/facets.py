@@ -40,33 +40,38 @@ def extension_by_repo_facet(cube: DataFrame) -> DataFrame:
 
 def text_facet(cube: DataFrame) -> DataFrame:
     """Records with a text rendition, overall (repo NULL) and per repo that has any."""
-    return (
-        cube.rollup("repo")
-        .agg(F.sum("txt_count").alias("count"), F.grouping_id().alias("level"))
-        .filter("level = 1 OR count > 0")
-        .select(
-            F.when(F.col("level") == 0, F.col("repo")).alias("repo"),
-            F.coalesce("count", F.lit(0)).alias("count"),
-            (F.coalesce("count", F.lit(0)) > 0).alias("available"),
-        )
-    )
+    count = F.coalesce(F.sum("txt_count"), F.lit(0)).alias("count")
+    overall = cube.agg(count).select(F.lit(None).cast("string").alias("repo"), "count")
+    per_repo = cube.groupBy("repo").agg(count).filter(F.col("count") > 0)
+    return overall.union(per_repo).withColumn("available", F.col("count") > 0)
 
 
 def corpus_metadata(cube: DataFrame) -> DataFrame:
-    """All facets in long form: (facet, repo, name, count)."""
-
-    def rows(facet: str, df: DataFrame, repo, name) -> DataFrame:
-        return df.select(F.lit(facet).alias("facet"), repo.alias("repo"), name.alias("name"), "count")
+    """All facets in long form (facet, repo, name, count), from one evaluation of the cube.
 
+    Facets: total, repo, extension, extension_by_repo, text (repo NULL: overall).
+    """
     none = F.lit(None).cast("string")
-    total = cube.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
-    text = text_facet(cube)
+
+    def entry(facet: str, repo, name, count: str):
+        return F.struct(
+            F.lit(facet).alias("facet"), repo.alias("repo"), name.alias("name"), F.col(count).alias("n")
+        )
+
+    repo, ext = F.col("repo"), F.col("ext")
+    always = F.array(
+        entry("total", none, none, "count"), entry("repo", repo, none, "count"),
+        entry("text", none, none, "txt_count"), entry("text", repo, none, "txt_count"),
+    )
+    named = F.array(
+        entry("extension", none, ext, "count"), entry("extension_by_repo", repo, ext, "count")
+    )
+    entries = F.when(ext == "", always).otherwise(F.concat(always, named))
     return (
-        rows("total", total, none, none)
-        .union(rows("repo", repo_facet(cube), F.col("repo"), none))
-        .union(rows("extension", extension_facet(cube), none, F.col("ext")))
-        .union(rows("extension_by_repo", extension_by_repo_facet(cube), F.col("repo"), F.col("ext")))
-        .union(rows("text", text, F.col("repo"), none))
+        cube.select(F.explode(entries).alias("e")).select("e.*")
+        .groupBy("facet", "repo", "name")
+        .agg(F.sum("n").alias("count"))
+        .filter("count > 0 OR repo IS NULL")
     )
 
 
