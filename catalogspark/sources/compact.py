@@ -29,7 +29,9 @@ def read_compact(spark: SparkSession, path) -> DataFrame:
     shards = spark.createDataFrame(list(enumerate(files)), "shard BIGINT, shard_file STRING")
     located = raw.withColumn("shard_file", F.input_file_name())
     # One short row per input file.
-    return located.join(F.broadcast(shards), "shard_file").drop("shard_file")
+    placed = located.join(F.broadcast(shards), "shard_file", "left")
+    lost = F.raise_error(F.lit("UNKNOWN_SHARD")).cast("bigint")
+    return placed.withColumn("shard", F.coalesce("shard", lost)).drop("shard_file")
 
 
 def decode_compact(raw: DataFrame) -> DataFrame:
