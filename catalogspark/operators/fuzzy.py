@@ -44,7 +44,7 @@ def term_keys(term: Column) -> Column:
         start, width = _segment(length, i)
         return _key(length, i, F.substring(term, start, width))
 
-    segments = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), segment)
+    segments = F.array(*[segment(F.lit(i)) for i in range(3)])
     return (
         F.when(length <= 2, _characters(term, "c2"))
         .when(length <= 4, F.concat(segments, _characters(term, "c4")))
@@ -119,11 +119,21 @@ def fuzzy_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def expand_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Index terms of (scope, token) rows: the token itself, or its fuzzy stand-ins."""
-    wanted = tokens.select("scope", "token").distinct()
-    exact = vocab.join(wanted, ["scope", "token"], "left_semi").select(
+def exact_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(scope, token, df) of the distinct tokens; df is NULL where the index has none."""
+    return tokens.select("scope", "token").distinct().join(
+        vocab.select("scope", "token", "df"), ["scope", "token"], "left"
+    )
+
+
+def with_stand_ins(looked_up: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Index terms of looked-up tokens: the token itself, or its fuzzy stand-ins."""
+    exact = looked_up.filter("df IS NOT NULL").select(
         "scope", "token", F.col("token").alias("term"), F.lit(0).alias("term_pos"), "df"
     )
-    missing = wanted.join(vocab, ["scope", "token"], "left_anti")
-    return exact.union(fuzzy_terms(missing, vocab))
+    return exact.union(fuzzy_terms(looked_up.filter("df IS NULL"), vocab))
+
+
+def expand_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Index terms of (scope, token) rows: (scope, token, term, term_pos, df)."""
+    return with_stand_ins(exact_terms(tokens, vocab), vocab)

@@ -4,11 +4,14 @@ The tests take a query as a dict of columns: literals for one query, columns of
 query table for a batch.
 """
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
-from catalogspark.functions.text import search_mode, tokens, trim_space, wildcard_pattern
+from catalogspark.functions.text import CJK, search_mode, tokens, trim_space, wildcard_pattern
 
 from .index import scope_text
 
@@ -48,84 +51,102 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return routed.withColumns(
         {
             "pattern": F.when(F.col("mode") == "wildcard", wildcard_pattern(F.col("q"))),
-            "gram": probe_gram(F.col("q_lc"), F.col("mode")),
+            "gram": F.substring(longest_run(F.col("q_lc"), F.col("mode")), 1, GRAM),
+            # Pieces that a wildcard hit must contain: cheap tests before the expression.
+            "head_run": F.substring_index(F.translate("q_lc", "?", "*"), "*", 1),
+            "tail_run": F.substring_index(F.translate("q_lc", "?", "*"), "*", -1),
             "first_row": last - F.col("page_size") + 1,
             "last_row": last,
         }
     )
 
 
-def probe_gram(q_lc: Column, mode: Column) -> Column:
-    """A piece of text that every match of a literal or wildcard query contains."""
+def longest_run(q_lc: Column, mode: Column) -> Column:
+    """Longest text that every match of a literal or wildcard query contains."""
     pieces = F.when(mode == "wildcard", F.split(q_lc, "[*?]+")).when(
         mode == "literal", F.array(q_lc)
     ).otherwise(F.array(F.lit("")))
-    longest = F.aggregate(
+    return F.aggregate(
         pieces, F.lit(""),
         lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best),
     )
-    return F.substring(longest, 1, GRAM)
+
+
+def searchable() -> dict:
+    """Lower-cased fields that queries look into; computed once per record."""
+    return {
+        "file_lc": F.lower("file"), "repo_lc": F.lower("repo"),
+        "folder_lc": F.lower(folder_path(F.col("folder"))),
+    }
 
 
 def grams(lengths: list) -> Column:
     """Distinct pieces of the searchable fields of a record, of the given lengths."""
-    fields = [F.lower("file"), F.lower("repo"), F.lower(folder_path(F.col("folder")))]
     # The look-ahead yields every overlapping piece in one pass over the text.
     pieces = [
         F.regexp_extract_all(field, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        for field in fields for n in lengths if n > 0
+        for field in searchable().values() for n in lengths if n > 0
     ]
     if 0 in lengths:
         pieces.append(F.array(F.lit("")))
     return F.array_distinct(F.concat(*pieces))
 
 
-def literal_match(query: dict, wildcard) -> Column:
+def literal_match(query: dict, wildcard: Column) -> Column:
     """Whole query found in file name, repo or (optionally) folder path."""
 
     def hit(field: Column) -> Column:
-        if isinstance(wildcard, bool):
-            return field.rlike(query["pattern"]) if wildcard else F.contains(field, query["q_lc"])
-        return F.when(wildcard, F.rlike(field, query["pattern"])).otherwise(
-            F.contains(field, query["q_lc"])
+        pattern_hit = (
+            F.contains(field, query["head_run"]) & F.contains(field, query["tail_run"])
+            & F.rlike(field, query["pattern"])
         )
+        return F.when(wildcard, pattern_hit).otherwise(F.contains(field, query["q_lc"]))
 
-    return (
-        hit(F.lower("file"))
-        | hit(F.lower("repo"))
-        | (query["search_folders"] & hit(F.lower(folder_path(F.col("folder")))))
-    )
+    file, repo, folder = (F.col(c) for c in searchable())
+    return hit(file) | hit(repo) | (query["search_folders"] & hit(folder))
 
 
-def record_tokens(search_folders: Column) -> Column:
-    return F.when(search_folders, tokens(scope_text("all"))).otherwise(tokens(scope_text("file")))
+# Longest token list whose tests are written out; longer ones use array functions with lambdas.
+UNROLLED = 8
+
 
+def _items(values: Column, at_most: int) -> list:
+    return [F.get(values, F.lit(i)) for i in range(at_most)]
 
-def token_match(query: dict, held: Column, driver: Column | None = None) -> Column:
-    """Struct (ok, tie): every query token has a term in the record; match-order tie.
 
-    With ``driver``, the row came from that posting term; it counts only when it is the
-    first of the driving token's terms in the record, so each record is kept once.
-    """
+def terms_match(token_terms: Column, held: Column, at_most: int) -> Column:
+    """Every query token has one of its terms among the record's tokens."""
+    if at_most > UNROLLED:
+        return F.forall(token_terms, lambda terms: F.arrays_overlap(held, terms))
+    tests = [t.isNull() | F.arrays_overlap(held, t) for t in _items(token_terms, at_most)]
+    return reduce(and_, tests, F.lit(True))
 
-    def check(row: Column) -> Column:
-        def present(term: Column) -> Column:
-            return F.array_contains(row, term)
 
-        ok = F.forall(query["token_terms"], lambda terms: F.arrays_overlap(row, terms))
-        if driver is not None:
-            ok = ok & F.get(F.filter(query["driver_terms"], present), F.lit(0)).eqNullSafe(driver)
-        tie = F.array_position(F.transform(query["first_terms"], present), F.lit(True))
-        return F.struct(ok.alias("ok"), (tie - 1).cast("int").alias("tie"))
+def first_held(terms: Column, held: Column) -> Column:
+    """First of the terms that is among the record's tokens."""
+    return F.get(F.array_intersect(terms, held), F.lit(0))
+
+
+def match_tie(first_terms: Column, held: Column) -> Column:
+    """Match order within equal scores: rank of the first token's first held term."""
+    return (F.array_position(first_terms, first_held(first_terms, held)) - 1).cast("int")
+
+
+def record_tokens(search_folders: Column) -> Column:
+    return F.when(search_folders, tokens(scope_text("all"))).otherwise(tokens(scope_text("file")))
+
 
-    # Binding the tokens to a lambda variable keeps them from being recomputed per term.
-    return F.get(F.transform(F.array(held), check), F.lit(0))
+def token_held(text_lc: Column, token: str) -> Column:
+    """Whether lower-cased text has an exact token, without listing all its tokens."""
+    if token.isascii():
+        edge = "[a-z0-9]"
+        return F.contains(text_lc, F.lit(token)) & text_lc.rlike(f"(?<!{edge}){token}(?!{edge})")
+    return text_lc.rlike(f"[^{CJK}]*".join(token))
 
 
-def relevance(query_tokens: Column, search_folders: Column) -> Column:
+def relevance(query_tokens: Column, search_folders: Column, at_most: int) -> Column:
     """Sum over query tokens of the fields that contain them as a substring."""
-    file, repo = F.lower("file"), F.lower("repo")
-    folder = F.lower(folder_path(F.col("folder")))
+    file, repo, folder = (F.col(c) for c in searchable())
 
     def points(token: Column) -> Column:
         return (
@@ -134,7 +155,9 @@ def relevance(query_tokens: Column, search_folders: Column) -> Column:
             + F.when(F.contains(repo, token), REPO_WEIGHT).otherwise(0)
         )
 
-    return F.aggregate(query_tokens, F.lit(0), lambda total, token: total + points(token))
+    if at_most > UNROLLED:
+        return F.aggregate(query_tokens, F.lit(0), lambda total, token: total + points(token))
+    return reduce(add, map(points, _items(query_tokens, at_most)), F.lit(0))
 
 
 def name_key(file: Column) -> Column:

@@ -1,6 +1,8 @@
 """Search: one query, or a table of queries, over a catalog."""
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,8 +10,9 @@ from pyspark.sql import functions as F
 from catalogspark.functions.paths import folder_path
 from catalogspark.functions.predicates import passes_filters
 from catalogspark.operators import matching as m
-from catalogspark.operators.fuzzy import expand_tokens
-from catalogspark.operators.index import postings, vocabulary
+from catalogspark.functions.text import tokens
+from catalogspark.operators.fuzzy import FUZZY_LIMIT, exact_terms, fuzzy_terms, with_stand_ins
+from catalogspark.operators.index import SCOPES, postings, scope_text, vocabulary
 from catalogspark.operators.ranking import sorted_position, sorted_position_in_group
 from catalogspark.schema import FILTER_FIELDS, QUERY
 from catalogspark.session import BROADCAST_ROWS, broadcast_if_small, freeze
@@ -58,14 +61,20 @@ def token_plan(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Columns: query_id, scope, token_terms (one list per token), first_terms,
     driver_terms, cost (postings of the driving token). Lists hold at most the
-    fuzzy limit of terms per token.
+    fuzzy limit of terms per token. The result is stored.
     """
-    asked = prepared.filter("mode = 'token'")
-    words = asked.select(
+    words = prepared.filter("mode = 'token'").select(
         "query_id", "scope", F.size("q_tokens").alias("n_tokens"),
         F.posexplode("q_tokens").alias("token_pos", "token"),
     )
-    terms = expand_tokens(words, vocab)
+    looked_up = freeze(exact_terms(words, vocab))
+    if looked_up.filter("df IS NULL").isEmpty():
+        # No typo anywhere: the search for near terms is left out of the plan.
+        terms = looked_up.select(
+            "scope", "token", F.col("token").alias("term"), F.lit(0).alias("term_pos"), "df"
+        )
+    else:
+        terms = with_stand_ins(looked_up, vocab)
     per_word = (
         words.join(terms, ["scope", "token"])
         .groupBy("query_id", "scope", "n_tokens", "token_pos")
@@ -75,7 +84,7 @@ def token_plan(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
         )
         .withColumn("terms", F.col("ranked.term"))
     )
-    return (
+    return freeze(
         per_word.groupBy("query_id", "scope", "n_tokens")
         .agg(
             F.array_sort(F.collect_list(F.struct("token_pos", "terms"))).alias("words"),
@@ -90,18 +99,9 @@ def token_plan(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-_TERM_FIELDS = ("token_terms", "first_terms", "driver_terms")
-
-
-def _candidates(catalog, index, plan, plan_rows: int, cost: int, limit: int) -> DataFrame | None:
-    """Catalog rows of the driving terms by way of the postings, when they are few."""
-    if cost > limit:
-        return None
-    terms = plan.select("query_id", "scope", F.explode("driver_terms").alias("token"))
-    found = index.postings.join(broadcast_if_small(terms, plan_rows * 200), ["scope", "token"]).select(
-        "query_id", "ord", F.col("token").alias("term")
-    )
-    return catalog.join(F.broadcast(found), "ord")
+_TERM_FIELDS = {
+    "token_terms": "array<array<string>>", "first_terms": "array<string>", "driver_terms": "array<string>",
+}
 
 
 def search_batch(
@@ -120,65 +120,58 @@ def search_batch(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("mode") == "token").alias("n_token"),
         F.collect_set(F.when(F.col("mode") != "token", F.length("gram"))).alias("lengths"),
+        F.coalesce(F.max(F.size("q_tokens")), F.lit(0)).alias("words"),
         F.coalesce(F.max("last_row"), F.lit(0)).alias("last_row"),
     ).first()
 
     record = _record_columns(catalog)
-    records = catalog.select(*record)
+    records = catalog.select(*record).withColumns(m.searchable())
     pairs, keys, probes = [], [], []
     full = prepared
+    simple = True
     if profile["n_token"]:
         if index is None:
             raise ValueError("token queries need a search index")
-        plan = freeze(token_plan(prepared, index.vocab))
+        plan = token_plan(prepared, index.vocab)
         size = plan.agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost")
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"),
+            F.coalesce(F.max(F.size("token_terms")), F.lit(0)).alias("words"),
+            F.coalesce(F.max(F.size("driver_terms")), F.lit(0)).alias("terms"),
         ).first()
+        # One exact token each: the join on that token is the whole match.
+        simple = size["words"] <= 1 and size["terms"] <= 1
         full = prepared.join(plan.drop("scope", "cost"), "query_id", "left")
-        fetched = _candidates(records, index, plan, size["n"], size["cost"], candidate_limit)
-        if fetched is not None:
-            pairs.append(fetched.select(*record, "query_id", "term"))
+        driving = plan.select("query_id", "scope", F.explode("driver_terms").alias("term"))
+        if size["cost"] <= candidate_limit:
+            pairs.append(_fetched(records, index, driving, size["n"] * FUZZY_LIMIT, simple))
         else:
-            scoped = F.concat("scope", F.lit(":"), "token")
-            probes.append(
-                plan.select("query_id", "scope", F.explode("driver_terms").alias("token")).select(
-                    scoped.alias("key"), "query_id", F.col("token").alias("term")
-                )
-            )
-            keys += [_token_keys("all"), _token_keys("file")]
+            probes.append(driving.select(F.col("scope").alias("kind"), F.col("term").alias("key"), "query_id"))
+            keys += [(s, tokens(scope_text(s))) for s in SCOPES]
     else:
-        for name, kind in (("token_terms", "array<array<string>>"), ("first_terms", "array<string>"),
-                           ("driver_terms", "array<string>")):
-            full = full.withColumn(name, F.lit(None).cast(kind))
+        full = full.withColumns({n: F.lit(None).cast(kind) for n, kind in _TERM_FIELDS.items()})
     if profile["lengths"]:
-        keys.append(F.transform(m.grams(sorted(profile["lengths"])), lambda g: F.concat(F.lit("g:"), g)))
+        keys.append(("gram", m.grams(sorted(profile["lengths"]))))
         probes.append(
             prepared.filter("mode <> 'token'").select(
-                F.concat(F.lit("g:"), "gram").alias("key"), "query_id",
-                F.lit(None).cast("string").alias("term"),
+                F.lit("gram").alias("kind"), F.col("gram").alias("key"), "query_id"
             )
         )
     if probes:
-        table = probes[0]
-        for more in probes[1:]:
-            table = table.union(more)
-        keyed = records.select(*record, F.explode(F.concat(*keys)).alias("key"))
-        table = broadcast_if_small(table, profile["n"] * 200)
-        pairs.append(keyed.join(table, "key").select(*record, "query_id", "term"))
+        pairs.append(_paired_by_key(records, keys, probes, profile["n"] * FUZZY_LIMIT, simple))
     if not pairs:
         pairs.append(
-            records.join(prepared.select("query_id"), F.lit(False)).withColumn(
-                "term", F.lit(None).cast("string")
+            records.join(prepared.select("query_id"), F.lit(False)).withColumns(
+                {"term": F.lit(None).cast("string"), "held": F.lit(None).cast("array<string>")}
             )
         )
-    paired = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1])
+    paired = reduce(DataFrame.unionByName, pairs)
 
     asked = full.select(
-        "query_id", "mode", "q_lc", "pattern", "q_tokens", "search_folders", "sort",
-        "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
+        "query_id", "mode", "q_lc", "pattern", "head_run", "tail_run", "q_tokens", "search_folders",
+        "sort", "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
     )
     joined = paired.join(broadcast_if_small(asked, profile["n"]), "query_id")
-    matched = _verified(joined)
+    matched = _verified(joined, profile["words"], simple)
     totals = (
         prepared.select("query_id", "page", "page_size")
         .join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id", "left")
@@ -187,34 +180,60 @@ def search_batch(
     return SearchResult(_batch_page(matched, record, profile["last_row"]), totals, matched)
 
 
-def _token_keys(scope: str):
-    from catalogspark.functions.text import tokens
-    from catalogspark.operators.index import scope_text
-
-    return F.transform(tokens(scope_text(scope)), lambda t: F.concat(F.lit(scope + ":"), t))
+def _fetched(records, index, driving, rows: int, simple: bool) -> DataFrame:
+    """Records of the driving terms by way of the postings, when those are few."""
+    terms = driving.withColumnRenamed("term", "token")
+    found = index.postings.join(broadcast_if_small(terms, rows), ["scope", "token"]).select(
+        "query_id", "ord", "scope", F.col("token").alias("term")
+    )
+    pairs = records.join(F.broadcast(found), "ord")
+    if simple:
+        return pairs.drop("scope").withColumn("held", F.lit(None).cast("array<string>"))
+    # Generating the one-element array fixes the tokens as a column, so that the
+    # tests below read them instead of deriving them again.
+    held = F.explode(F.array(m.record_tokens(F.col("scope") == "all")))
+    return pairs.select("*", held.alias("held")).drop("scope")
+
+
+def _paired_by_key(records, keys: list, probes: list, rows: int, simple: bool) -> DataFrame:
+    """Pair records and queries over the keys they share, in one pass over the catalog."""
+    none = F.lit(None).cast("array<string>")
+    kinds = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), values.alias("values")) for kind, values in keys]
+    )
+    keyed = records.select("*", F.explode(kinds).alias("k")).select(
+        *records.columns, F.col("k.kind").alias("kind"),
+        (none if simple else F.when(F.col("k.kind") != "gram", F.col("k.values"))).alias("held"),
+        F.explode("k.values").alias("key"),
+    )
+    wanted = broadcast_if_small(reduce(DataFrame.union, probes), rows)
+    return keyed.join(wanted, ["kind", "key"]).withColumn(
+        "term", F.when(F.col("kind") != "gram", F.col("key"))
+    ).drop("kind", "key")
 
 
-def _verified(joined: DataFrame) -> DataFrame:
+def _verified(joined: DataFrame, words: int, simple: bool) -> DataFrame:
     """Keep true matches that pass their query's filters; add score and tie."""
     query = {
         c: F.col(c)
-        for c in ("q_lc", "pattern", "q_tokens", "search_folders", *FILTER_FIELDS, *_TERM_FIELDS)
+        for c in ("q_lc", "pattern", "head_run", "tail_run", "q_tokens", "search_folders", *FILTER_FIELDS, *_TERM_FIELDS)
     }
-    mode = F.col("mode")
-    held = F.when(mode == "token", m.record_tokens(query["search_folders"]))
-    checked = joined.filter(passes_filters(_record(), query)).withColumn(
-        "_token", F.when(mode == "token", m.token_match(query, held, F.col("term")))
-    )
+    mode, held = F.col("mode"), F.col("held")
+    if simple:
+        holds, tie = F.lit(True), F.lit(0)
+    else:
+        # A record found by several terms of the driving token counts for the first only.
+        holds = m.terms_match(query["token_terms"], held, words) & (
+            m.first_held(query["driver_terms"], held) == F.col("term")
+        )
+        tie = F.when(mode == "token", m.match_tie(query["first_terms"], held)).otherwise(0)
     hit = (
         F.when(mode == "all", F.lit(True))
-        .when(mode == "token", F.col("_token.ok"))
+        .when(mode == "token", holds)
         .otherwise(m.literal_match(query, mode == "wildcard"))
     )
-    return checked.filter(hit).withColumns(
-        {
-            "score": m.relevance(query["q_tokens"], query["search_folders"]),
-            "tie": F.coalesce("_token.tie", F.lit(0)),
-        }
+    return joined.filter(passes_filters(_record(), query)).filter(hit).withColumns(
+        {"score": m.relevance(query["q_tokens"], query["search_folders"], words), "tie": tie}
     )
 
 
@@ -239,6 +258,43 @@ def _batch_page(matched: DataFrame, record: list, last_row: int) -> DataFrame:
     )
 
 
+# Postings whose ords are written into the plan of a single query.
+LISTED_ORDS = 1000
+
+
+def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
+    """Records holding all tokens of one query, and their match order."""
+    spark, scope, words = found.sparkSession, asked["scope"], list(asked["q_tokens"])
+    vocab = index.vocab.filter(F.col("scope") == scope)
+    # One row per query token, and at most the fuzzy limit per misspelt token, come back.
+    exact = {r["token"]: r["df"] for r in vocab.filter(F.col("token").isin(words)).select("token", "df").collect()}
+    terms = {w: [(w, exact[w])] for w in words if w in exact}
+    missing = [(scope, w) for w in words if w not in exact]
+    if missing:
+        asked_terms = spark.createDataFrame(missing, "scope STRING, token STRING")
+        for r in fuzzy_terms(asked_terms, vocab).orderBy("token", "term_pos").collect():
+            terms.setdefault(r["token"], []).append((r["term"], r["df"]))
+    if len(terms) < len(words):
+        return found.filter(F.lit(False)), F.lit(0)
+    cost = {w: sum(df for _, df in terms[w]) for w in words}
+    driver = min(words, key=cost.get)
+    if cost[driver] <= BROADCAST_ROWS:
+        ords = index.postings.filter(
+            (F.col("scope") == scope) & F.col("token").isin([t for t, _ in terms[driver]])
+        ).select("ord").distinct()
+        if cost[driver] <= LISTED_ORDS:
+            found = found.filter(F.col("ord").isin([r["ord"] for r in ords.collect()]))
+        else:
+            found = found.join(F.broadcast(ords), "ord", "left_semi")
+    if not missing:
+        text = F.lower(scope_text(scope))
+        return found.filter(reduce(and_, [m.token_held(text, w) for w in words])), F.lit(0)
+    lists = [[t for t, _ in terms[w]] for w in words]
+    held = found.withColumn("held", F.explode(F.array(tokens(scope_text(scope)))))
+    hits = held.filter(m.terms_match(F.lit(lists), F.col("held"), len(words)))
+    return hits, m.match_tie(F.lit(lists[0]), F.col("held"))
+
+
 # Rows a single page query may skip before it ranks by a distributed sort instead.
 DEEP_PAGE_ROWS = 100_000
 
@@ -260,33 +316,22 @@ def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> Se
     asked = prepared.first()
 
     record = _record_columns(catalog)
-    records = catalog.select(*record)
     folders = F.lit(asked["search_folders"])
-    query = {"q_lc": F.lit(asked["q_lc"]), "pattern": asked["pattern"], "search_folders": folders}
-    found = records.filter(passes_filters(_record(), {f: asked[f] for f in FILTER_FIELDS}))
+    found = catalog.select(*record).filter(
+        passes_filters(_record(), {f: asked[f] for f in FILTER_FIELDS})
+    ).withColumns(m.searchable())
     tie = F.lit(0)
     if asked["mode"] in ("literal", "wildcard"):
-        found = found.filter(m.literal_match(query, asked["mode"] == "wildcard"))
+        literals = {c: F.lit(asked[c]) for c in ("q_lc", "pattern", "head_run", "tail_run")}
+        wildcard = F.lit(asked["mode"] == "wildcard")
+        found = found.filter(m.literal_match({**literals, "search_folders": folders}, wildcard))
     elif asked["mode"] == "token":
         if index is None:
             raise ValueError("token queries need a search index")
-        # At most the fuzzy limit of terms per token comes back.
-        plan = token_plan(prepared, index.vocab).first()
-        if plan is None:
-            found = found.filter(F.lit(False))
-        else:
-            terms = {f: F.lit(plan[f]) for f in ("token_terms", "first_terms")}
-            if plan["cost"] <= BROADCAST_ROWS:
-                held = index.postings.filter(
-                    (F.col("scope") == plan["scope"]) & F.col("token").isin(list(plan["driver_terms"]))
-                )
-                found = found.join(F.broadcast(held.select("ord").distinct()), "ord", "left_semi")
-            check = m.token_match(terms, m.record_tokens(folders))
-            found = found.withColumn("_token", check).filter("_token.ok")
-            tie = F.col("_token.tie")
-    matched = found.withColumns(
-        {"score": m.relevance(F.lit(list(asked["q_tokens"])).cast("array<string>"), folders), "tie": tie}
-    ).select(*record, "score", "tie")
+        found, tie = _token_hits(found, index, asked)
+    words = list(asked["q_tokens"])
+    score = m.relevance(F.lit(words).cast("array<string>"), folders, len(words))
+    matched = found.withColumns({"score": score, "tie": tie}).select(*record, "score", "tie")
     order = m.result_order(asked["sort"])
     first, last = asked["first_row"], asked["last_row"]
     if last <= DEEP_PAGE_ROWS:

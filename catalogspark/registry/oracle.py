@@ -379,7 +379,7 @@ def build() -> dict:
         "srch3_wildcard": part(
             literal.format("ord, 0 AS tie", score("r", "d", "g"), " OR ".join(f"regexp_matches(lower({f}), 'r.d.*g')" for f in ("file", "repo", "folder_path")))
         ),
-        "srch4_tokens": part(literal.format("ord, 0 AS tie", score("red", "size", "ring"), token_hits(["red", "size", "ring"])), TOKENS),
+        "srch4_tokens": part(literal.format("ord, 0 AS tie", score("red", "size", "small"), token_hits(["red", "size", "small"])), TOKENS),
         "srch4_tokens_file_only": docs(
             literal.format("ord, 0 AS tie", score("the", "en", folders=False), token_hits(["the", "en"], "file")), TOKENS
         ),
@@ -391,7 +391,7 @@ def build() -> dict:
         "srch6_edit_distance": """SELECT p_partkey AS ord, CASE WHEN d <= 2 THEN d ELSE 999 END AS edits FROM (
             SELECT p_partkey, levenshtein(p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS d FROM part) x WHERE d IS NOT NULL""",
         "srch7_relevance": part(
-            f"SELECT ord, CAST(sum({points('t')}) AS BIGINT) AS score, CAST(sum({points('t', False)}) AS BIGINT) AS file_score FROM "
+            f"SELECT ord, CAST(sum({points('t')}) AS BIGINT) AS score, CAST(sum({points('t', False)}) AS BIGINT) AS file_score, CAST(sum({points('t')}) AS BIGINT) AS long_score FROM "
             "(SELECT *, unnest(list_distinct(regexp_extract_all(lower(concat(folder_path, ' shop ', substr(file, 1, 3))), '[a-z0-9]+'))) AS t FROM cat) c GROUP BY ord"
         ),
         "srch8_literal_batch": part(
@@ -448,9 +448,9 @@ def build() -> dict:
             "UNION ALL SELECT repo, 'self', path FROM nodes WHERE depth > 0 AND has_direct_files", NODES
         ),
         "hier1_folder_contents": part(
-            f"""SELECT 'folder' AS kind, ({PARTS})[2] AS name, concat('ECONOMY/', ({PARTS})[2]) AS path, count(*) AS count, '' AS ext, CAST(NULL AS BIGINT) AS size
-               FROM cat WHERE repo = 'shop/Brand#13' AND starts_with(folder_path, 'ECONOMY/') GROUP BY ALL
-               UNION ALL SELECT 'file', file, '', NULL, ext, nullif(size, 0) FROM cat WHERE repo = 'shop/Brand#13' AND folder_path = 'ECONOMY'"""
+            f"""SELECT 'folder' AS kind, ({PARTS})[2] AS name, concat('MEDIUM/', ({PARTS})[2]) AS path, count(*) AS count, '' AS ext, CAST(NULL AS BIGINT) AS size
+               FROM cat WHERE repo = 'shop/Brand#13' AND starts_with(folder_path, 'MEDIUM/') GROUP BY ALL
+               UNION ALL SELECT 'file', file, '', NULL, ext, nullif(size, 0) FROM cat WHERE repo = 'shop/Brand#13' AND folder_path = 'MEDIUM'"""
         ),
         "hier1_all_listings": part(
             "SELECT repo, parent_path AS path, 'folder' AS kind, name, count, '' AS ext, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS ord FROM nodes WHERE depth > 0 "

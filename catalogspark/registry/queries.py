@@ -370,11 +370,13 @@ def srch6(spark, sf_dir):
 
 def srch7(spark, sf_dir):
     asked = F.translate(F.lower("folder_path"), "/", " ")
-    catalog = _with_path(part(spark, sf_dir))
+    catalog = _with_path(part(spark, sf_dir)).withColumns(matching.searchable())
     words = text.tokens(F.concat(asked, F.lit(" shop "), F.substring("file", 1, 3)))
+    # Short token lists are written out; "long_score" takes the form for long ones.
     return catalog.select(
-        "ord", matching.relevance(words, F.lit(True)).cast("bigint").alias("score"),
-        matching.relevance(words, F.lit(False)).cast("bigint").alias("file_score"),
+        "ord", matching.relevance(words, F.lit(True), 5).cast("bigint").alias("score"),
+        matching.relevance(words, F.lit(False), 5).cast("bigint").alias("file_score"),
+        matching.relevance(words, F.lit(True), matching.UNROLLED + 1).cast("bigint").alias("long_score"),
     )
 
 
@@ -496,7 +498,7 @@ def agg7_folders(spark, sf_dir):
 
 
 def hier1(spark, sf_dir):
-    folders, files = tree.folder_contents(part(spark, sf_dir), "shop/Brand#13", "/ECONOMY/")
+    folders, files = tree.folder_contents(part(spark, sf_dir), "shop/Brand#13", "/MEDIUM/")
     return folders.select(
         F.lit("folder").alias("kind"), "name", "path", "count", F.lit("").alias("ext"),
         F.lit(None).cast("bigint").alias("size"),
@@ -598,7 +600,7 @@ QUERIES = {
     "srch2_literal": _search(part, q="ED R", exact=True),
     "srch2_literal_documents": _search(tables.document_catalog, q="th.", search_folders=False),
     "srch3_wildcard": _search(part, q="R?d*g"),
-    "srch4_tokens": _search(part, q="Red size ring"),
+    "srch4_tokens": _search(part, q="Red size small"),
     "srch4_tokens_file_only": _search(tables.document_catalog, q="the en", search_folders=False),
     "srch5_fuzzy_terms": srch5,
     "srch5_fuzzy_search": _search(part, q="rng bolts"),
