@@ -28,7 +28,7 @@ def session() -> SparkSession:
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -15,13 +15,12 @@ def tokens(text: Column) -> Column:
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
     runs = F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
-    cjk = F.regexp_replace(lowered, f"[^{CJK}]", "")
+    cjk = F.regexp_replace(lowered, f"[^{CJK}]+", "")
     # The look-ahead yields the overlapping pairs in one pass over the text.
     singles = F.regexp_extract_all(cjk, F.lit("."), F.lit(0))
     pairs = F.regexp_extract_all(cjk, F.lit("(?=(..))"), F.lit(1))
-    return F.array_distinct(
-        F.when(cjk == "", runs).otherwise(F.concat(runs, singles, pairs))
-    )
+    found = F.when(lowered.rlike(f"[{CJK}]"), F.concat(runs, singles, pairs)).otherwise(runs)
+    return F.array_distinct(found)
 
 
 def trim_space(text: Column) -> Column:

@@ -10,6 +10,8 @@ be used: every term has at least one posting, so later ones are past the cut-off
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogspark.session import broadcast_if_small
+
 from .index import vocab_order
 
 # Edit budget, and the postings gathered before expansion stops.
@@ -18,6 +20,8 @@ FUZZY_LIMIT = 200
 
 _SHORT = "short"
 
+PROBE_KEYS = 80  # at least the number of join keys of one query token
+
 
 def _characters(text: Column, prefix: str) -> Column:
     return F.transform(
@@ -76,8 +80,11 @@ def probe_keys(token: Column) -> Column:
     )
 
 
-def near_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """All (scope, token, term, vocab columns) within the edit budget that can be used."""
+def near_terms(tokens: DataFrame, vocab: DataFrame, token_bytes: int | None = None) -> DataFrame:
+    """All (scope, token, term, vocab columns) within the edit budget that can be used.
+
+    With a known, small size of the tokens, the vocabulary is matched where it is read.
+    """
     best_short = (
         vocab.filter(F.length("token") <= 2)
         .withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy(*vocab_order())))
@@ -86,22 +93,24 @@ def near_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     )
     keyed = vocab.select(*vocab.columns, F.explode(term_keys(F.col("token"))).alias("key"))
     terms = keyed.union(best_short).withColumnRenamed("token", "term")
+    # A token has at most PROBE_KEYS keys, none longer than the token and its prefix.
+    probe_bytes = None if token_bytes is None else 2 * PROBE_KEYS * token_bytes
     probes = tokens.select("scope", "token", F.explode(probe_keys(F.col("token"))).alias("key"))
     return (
-        terms.join(probes, ["scope", "key"])
+        terms.join(broadcast_if_small(probes, probe_bytes), ["scope", "key"])
         .filter(F.levenshtein("token", "term", MAX_EDITS) >= 0)
         .select("scope", "token", "term", "df", "first_ord", "first_pos")
         .distinct()
     )
 
 
-def fuzzy_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def fuzzy_terms(tokens: DataFrame, vocab: DataFrame, token_bytes: int | None = None) -> DataFrame:
     """Terms used for each unmatched token: (scope, token, term, term_pos, df).
 
     A term is used when the terms ranked before it hold fewer than ``FUZZY_LIMIT``
     postings, so the term that crosses the limit is still included.
     """
-    near = near_terms(tokens, vocab)
+    near = near_terms(tokens, vocab, token_bytes)
     group = Window.partitionBy("scope", "token")
     rank = F.row_number().over(group.orderBy(*vocab_order("term")))
     ranked = (
@@ -119,19 +128,21 @@ def fuzzy_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def exact_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def exact_terms(tokens: DataFrame, vocab: DataFrame, token_bytes: int | None = None) -> DataFrame:
     """(scope, token, df) of the distinct tokens; df is NULL where the index has none."""
-    return tokens.select("scope", "token").distinct().join(
-        vocab.select("scope", "token", "df"), ["scope", "token"], "left"
+    wanted = tokens.select("scope", "token").distinct()
+    known = vocab.select("scope", "token", "df").join(
+        broadcast_if_small(wanted, token_bytes), ["scope", "token"], "left_semi"
     )
+    return wanted.join(known, ["scope", "token"], "left")
 
 
-def with_stand_ins(looked_up: DataFrame, vocab: DataFrame) -> DataFrame:
+def with_stand_ins(looked_up: DataFrame, vocab: DataFrame, token_bytes: int | None = None) -> DataFrame:
     """Index terms of looked-up tokens: the token itself, or its fuzzy stand-ins."""
     exact = looked_up.filter("df IS NOT NULL").select(
         "scope", "token", F.col("token").alias("term"), F.lit(0).alias("term_pos"), "df"
     )
-    return exact.union(fuzzy_terms(looked_up.filter("df IS NULL"), vocab))
+    return exact.union(fuzzy_terms(looked_up.filter("df IS NULL"), vocab, token_bytes))
 
 
 def expand_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

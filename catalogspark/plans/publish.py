@@ -7,7 +7,7 @@ from catalogspark.functions.links import encode_component
 from catalogspark.operators.catalog import with_record_id
 from catalogspark.operators.facets import by_name, corpus_metadata, facet_cube, repo_facet
 from catalogspark.operators.index import postings, vocabulary
-from catalogspark.operators.matching import name_key, size_key
+from catalogspark.operators.matching import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, name_key
 from catalogspark.operators.ranking import (
     position_by_ord, sorted_position, sorted_position_in_group,
 )
@@ -21,34 +21,33 @@ FIRST_PAGE_VERSION = 2
 # Longest list put into one published document; longer ones continue in further parts.
 PART_ENTRIES = 10_000
 
-TABLES = ("catalog", "postings", "vocab", "folder_nodes", "facets")
+# Consecutive records that are stored together.
+ORD_RUN = 1 << 16
 
 
 def with_browse_ranks(catalog: DataFrame) -> DataFrame:
-    """Add 1-based name_rank and size_rank, over everything and within each repo."""
-    slim = catalog.select("ord", "repo", "file", "size")
-    by_file = sorted_position(
-        slim.select("ord", "repo", "file"), [name_key(F.col("file")), "ord"], "name_rank"
-    ).select("ord", "repo", "name_rank")
-    by_size = sorted_position(
-        slim.select("ord", "repo", "size"), [size_key(F.col("size")).desc(), "ord"], "size_rank"
-    ).select("ord", "repo", "size_rank")
-    out = catalog
-    for ranks, column in ((by_file, "name_rank"), (by_size, "size_rank")):
-        # The overall rank is a dense number, so the repo rank needs no second sort of names.
-        in_repo = position_by_ord(ranks, ["repo"], "_at", ord_col=column).select(
-            "ord", column, (F.col("_at") + 1).alias("repo_" + column)
-        )
-        out = out.join(in_repo, "ord")
-    return out
+    """Add 1-based corpus_rank, name_rank and size_rank, over everything and within each repo."""
+    # Two sorts of a slim table; the catalog itself is joined once, at the end.
+    slim = catalog.select("ord", "repo", "file", F.coalesce("size", F.lit(0)).alias("bytes"))
+    ranks = sorted_position(slim, [name_key(F.col("file")), "ord"], "name_rank").drop("file")
+    ranks = sorted_position(ranks, [F.desc("bytes"), "ord"], "size_rank").drop("bytes")
+    ranks = position_by_ord(ranks, [], "_at").withColumn("corpus_rank", F.col("_at") + 1).drop("_at")
+    for column in ("corpus_rank", "name_rank", "size_rank"):
+        # The overall rank is a dense number, so the repo rank needs no further sort of names.
+        ranks = position_by_ord(ranks, ["repo"], "_at", ord_col=column)
+        ranks = ranks.withColumn("repo_" + column, F.col("_at") + 1).drop("_at")
+    return catalog.join(ranks.drop("repo"), "ord")
+
+
+# Stored order of each sort; unknown sorts mean relevance, which is corpus order here.
+BROWSE_RANKS = {"name": "name_rank", "size": "size_rank"}
 
 
-def browse(ranked: DataFrame, sort: str = "name", repo: str = "", page: int = 1, page_size: int = 100):
+def browse(ranked: DataFrame, sort: str = "relevance", repo: str = "", page: int = 1, page_size: int = 100):
     """One page of the unfiltered listing: a range predicate on a stored rank."""
-    if sort not in ("name", "size"):
-        raise ValueError("stored orders are name and size")
-    column = ("repo_" if repo else "") + sort + "_rank"
-    page, page_size = max(1, page or 1), max(1, min(500, page_size or 100))
+    column = ("repo_" if repo else "") + BROWSE_RANKS.get(sort, "corpus_rank")
+    page = max(1, page or 1)
+    page_size = max(1, min(MAX_PAGE_SIZE, page_size or DEFAULT_PAGE_SIZE))
     rows = ranked.filter(F.col("repo") == repo) if repo else ranked
     first = (page - 1) * page_size
     return rows.filter(F.col(column).between(first + 1, first + page_size)).orderBy(column)
@@ -65,17 +64,19 @@ def publish(catalog: DataFrame, root: str, generation: int) -> None:
         return f"{root}/{table}/generation={generation}"
 
     def write(df: DataFrame, table: str, *order: str) -> None:
-        (
-            df.repartitionByRange(*order).sortWithinPartitions(*order)
-            .write.mode("overwrite").parquet(path(table))
-        )
+        df.sortWithinPartitions(*order).write.mode("overwrite").parquet(path(table))
+
+    def by_range(df: DataFrame, table: str, *order: str) -> None:
+        write(df.repartitionByRange(*order), table, *order)
 
     spark = catalog.sparkSession
-    write(with_browse_ranks(with_record_id(catalog)), "catalog", "ord")
+    # Runs of ords go to the same file without the sampling pass of a range partitioning.
+    run = F.floor(F.col("ord") / ORD_RUN)
+    write(with_browse_ranks(with_record_id(catalog)).repartition(run), "catalog", "ord")
     stored = spark.read.parquet(path("catalog"))
-    write(postings(stored), "postings", "scope", "token", "ord")
-    write(vocabulary(spark.read.parquet(path("postings"))), "vocab", "scope", "token")
-    write(folder_tree(folder_counts(stored)), "folder_nodes", "repo", "path")
+    by_range(postings(stored), "postings", "scope", "token", "ord")
+    by_range(vocabulary(spark.read.parquet(path("postings"))), "vocab", "scope", "token")
+    by_range(folder_tree(folder_counts(stored)), "folder_nodes", "repo", "path")
     corpus_metadata(facet_cube(stored)).write.mode("overwrite").parquet(path("facets"))
 
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
 from catalogspark.functions.predicates import passes_filters
-from catalogspark.operators import matching as m
 from catalogspark.functions.text import tokens
-from catalogspark.operators.fuzzy import FUZZY_LIMIT, exact_terms, fuzzy_terms, with_stand_ins
+from catalogspark.operators import matching as m
+from catalogspark.operators.fuzzy import exact_terms, fuzzy_terms, with_stand_ins
 from catalogspark.operators.index import SCOPES, postings, scope_text, vocabulary
 from catalogspark.operators.ranking import sorted_position, sorted_position_in_group
 from catalogspark.schema import FILTER_FIELDS, QUERY
-from catalogspark.session import BROADCAST_ROWS, broadcast_if_small, freeze
+from catalogspark.session import BROADCAST_BYTES, broadcast_if_small, freeze, row_bytes
+
+# Most postings that are fetched from the index and broadcast to the catalog scan.
+FETCH_LIMIT = 1_000_000
 
 RECORD = ("ord", "repo", "file", "ext", "folder", "size", "has_txt")
 
@@ -56,7 +59,7 @@ def _record() -> dict:
     }
 
 
-def token_plan(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
+def token_plan(prepared: DataFrame, vocab: DataFrame, query_bytes: int | None = None) -> DataFrame:
     """Per token query whose tokens all have terms: the terms, and the rarest token.
 
     Columns: query_id, scope, token_terms (one list per token), first_terms,
@@ -67,14 +70,15 @@ def token_plan(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
         "query_id", "scope", F.size("q_tokens").alias("n_tokens"),
         F.posexplode("q_tokens").alias("token_pos", "token"),
     )
-    looked_up = freeze(exact_terms(words, vocab))
-    if looked_up.filter("df IS NULL").isEmpty():
+    looked_up = freeze(exact_terms(words, vocab, query_bytes))
+    missing = looked_up.filter("df IS NULL").agg(row_bytes("scope", "token").alias("bytes")).first()
+    if not missing["bytes"]:
         # No typo anywhere: the search for near terms is left out of the plan.
         terms = looked_up.select(
             "scope", "token", F.col("token").alias("term"), F.lit(0).alias("term_pos"), "df"
         )
     else:
-        terms = with_stand_ins(looked_up, vocab)
+        terms = with_stand_ins(looked_up, vocab, missing["bytes"])
     per_word = (
         words.join(terms, ["scope", "token"])
         .groupBy("query_id", "scope", "n_tokens", "token_pos")
@@ -106,7 +110,7 @@ _TERM_FIELDS = {
 
 def search_batch(
     catalog: DataFrame, index: SearchIndex | None, queries: DataFrame,
-    candidate_limit: int = BROADCAST_ROWS,
+    candidate_limit: int = FETCH_LIMIT,
 ) -> SearchResult:
     """Answer every row of a QUERY table.
 
@@ -115,38 +119,45 @@ def search_batch(
     term of the rarest token for token queries. Each pair is then verified in the
     row. When the driving postings are few, they are fetched from the index instead.
     """
-    prepared = m.prepare_queries(queries)
+    prepared = freeze(m.prepare_queries(queries))
     profile = prepared.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("mode") == "token").alias("n_token"),
         F.collect_set(F.when(F.col("mode") != "token", F.length("gram"))).alias("lengths"),
         F.coalesce(F.max(F.size("q_tokens")), F.lit(0)).alias("words"),
         F.coalesce(F.max("last_row"), F.lit(0)).alias("last_row"),
+        row_bytes("*").alias("bytes"),
     ).first()
 
     record = _record_columns(catalog)
     records = catalog.select(*record).withColumns(m.searchable())
     pairs, keys, probes = [], [], []
     full = prepared
-    simple = True
+    simple, plan_bytes, driver_bytes = True, 0, 0
     if profile["n_token"]:
         if index is None:
             raise ValueError("token queries need a search index")
-        plan = token_plan(prepared, index.vocab)
+        plan = token_plan(prepared, index.vocab, profile["bytes"])
         size = plan.agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"),
             F.coalesce(F.max(F.size("token_terms")), F.lit(0)).alias("words"),
             F.coalesce(F.max(F.size("driver_terms")), F.lit(0)).alias("terms"),
+            F.collect_set("scope").alias("scopes"),
+            row_bytes("*").alias("bytes"), row_bytes("query_id", "scope", "driver_terms").alias("driver_bytes"),
+            # Upper bound of the fetched rows: ids, and the longest term that can lead to them.
+            F.coalesce(F.sum(F.col("cost") * (32 + F.length(F.array_join("driver_terms", "")))), F.lit(0))
+            .alias("fetched_bytes"),
         ).first()
         # One exact token each: the join on that token is the whole match.
         simple = size["words"] <= 1 and size["terms"] <= 1
         full = prepared.join(plan.drop("scope", "cost"), "query_id", "left")
         driving = plan.select("query_id", "scope", F.explode("driver_terms").alias("term"))
-        if size["cost"] <= candidate_limit:
-            pairs.append(_fetched(records, index, driving, size["n"] * FUZZY_LIMIT, simple))
+        plan_bytes, driver_bytes = size["bytes"], 64 * size["n"] + 4 * size["driver_bytes"]
+        if size["cost"] <= candidate_limit and size["fetched_bytes"] <= BROADCAST_BYTES:
+            pairs.append(_fetched(records, index, driving, driver_bytes, simple))
         else:
             probes.append(driving.select(F.col("scope").alias("kind"), F.col("term").alias("key"), "query_id"))
-            keys += [(s, tokens(scope_text(s))) for s in SCOPES]
+            keys += [(s, tokens(scope_text(s))) for s in SCOPES if s in size["scopes"]]
     else:
         full = full.withColumns({n: F.lit(None).cast(kind) for n, kind in _TERM_FIELDS.items()})
     if profile["lengths"]:
@@ -157,7 +168,7 @@ def search_batch(
             )
         )
     if probes:
-        pairs.append(_paired_by_key(records, keys, probes, profile["n"] * FUZZY_LIMIT, simple))
+        pairs.append(_paired_by_key(records, keys, probes, driver_bytes + profile["bytes"], simple))
     if not pairs:
         pairs.append(
             records.join(prepared.select("query_id"), F.lit(False)).withColumns(
@@ -170,7 +181,7 @@ def search_batch(
         "query_id", "mode", "q_lc", "pattern", "head_run", "tail_run", "q_tokens", "search_folders",
         "sort", "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
     )
-    joined = paired.join(broadcast_if_small(asked, profile["n"]), "query_id")
+    joined = paired.join(broadcast_if_small(asked, profile["bytes"] + plan_bytes), "query_id")
     matched = _verified(joined, profile["words"], simple)
     totals = (
         prepared.select("query_id", "page", "page_size")
@@ -180,10 +191,10 @@ def search_batch(
     return SearchResult(_batch_page(matched, record, profile["last_row"]), totals, matched)
 
 
-def _fetched(records, index, driving, rows: int, simple: bool) -> DataFrame:
+def _fetched(records, index, driving, size: int, simple: bool) -> DataFrame:
     """Records of the driving terms by way of the postings, when those are few."""
     terms = driving.withColumnRenamed("term", "token")
-    found = index.postings.join(broadcast_if_small(terms, rows), ["scope", "token"]).select(
+    found = index.postings.join(broadcast_if_small(terms, size), ["scope", "token"]).select(
         "query_id", "ord", "scope", F.col("token").alias("term")
     )
     pairs = records.join(F.broadcast(found), "ord")
@@ -195,7 +206,7 @@ def _fetched(records, index, driving, rows: int, simple: bool) -> DataFrame:
     return pairs.select("*", held.alias("held")).drop("scope")
 
 
-def _paired_by_key(records, keys: list, probes: list, rows: int, simple: bool) -> DataFrame:
+def _paired_by_key(records, keys: list, probes: list, size: int, simple: bool) -> DataFrame:
     """Pair records and queries over the keys they share, in one pass over the catalog."""
     none = F.lit(None).cast("array<string>")
     kinds = F.array(
@@ -206,7 +217,7 @@ def _paired_by_key(records, keys: list, probes: list, rows: int, simple: bool) -
         (none if simple else F.when(F.col("k.kind") != "gram", F.col("k.values"))).alias("held"),
         F.explode("k.values").alias("key"),
     )
-    wanted = broadcast_if_small(reduce(DataFrame.union, probes), rows)
+    wanted = broadcast_if_small(reduce(DataFrame.union, probes), size)
     return keyed.join(wanted, ["kind", "key"]).withColumn(
         "term", F.when(F.col("kind") != "gram", F.col("key"))
     ).drop("kind", "key")
@@ -272,13 +283,14 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
     missing = [(scope, w) for w in words if w not in exact]
     if missing:
         asked_terms = spark.createDataFrame(missing, "scope STRING, token STRING")
-        for r in fuzzy_terms(asked_terms, vocab).orderBy("token", "term_pos").collect():
+        near = fuzzy_terms(asked_terms, vocab, sum(32 + 4 * len(w) for _, w in missing))
+        for r in near.orderBy("token", "term_pos").collect():
             terms.setdefault(r["token"], []).append((r["term"], r["df"]))
     if len(terms) < len(words):
         return found.filter(F.lit(False)), F.lit(0)
     cost = {w: sum(df for _, df in terms[w]) for w in words}
     driver = min(words, key=cost.get)
-    if cost[driver] <= BROADCAST_ROWS:
+    if cost[driver] <= FETCH_LIMIT:
         ords = index.postings.filter(
             (F.col("scope") == scope) & F.col("token").isin([t for t, _ in terms[driver]])
         ).select("ord").distinct()

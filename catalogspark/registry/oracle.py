@@ -379,7 +379,7 @@ def build() -> dict:
         "srch3_wildcard": part(
             literal.format("ord, 0 AS tie", score("r", "d", "g"), " OR ".join(f"regexp_matches(lower({f}), 'r.d.*g')" for f in ("file", "repo", "folder_path")))
         ),
-        "srch4_tokens": part(literal.format("ord, 0 AS tie", score("red", "size", "small"), token_hits(["red", "size", "small"])), TOKENS),
+        "srch4_tokens": part(literal.format("ord, 0 AS tie", score("gear", "size", "promo"), token_hits(["gear", "size", "promo"])), TOKENS),
         "srch4_tokens_file_only": docs(
             literal.format("ord, 0 AS tie", score("the", "en", folders=False), token_hits(["the", "en"], "file")), TOKENS
         ),
@@ -411,7 +411,8 @@ def build() -> dict:
         "sort3_size": part(page("coalesce(size, 0) DESC, ord", literal.format("*", score("economy"), ALL_FIELDS.format("'economy'")), 1, 500)),
         "sort4_corpus_order": part(page("ord", literal.format("*", score(), "repo IN ('shop/Brand#7', 'shop/Brand#8')"), 1, 500)),
         "sort5_browse_ranks": part(
-            """SELECT ord, row_number() OVER (ORDER BY file, ord) AS name_rank, row_number() OVER (ORDER BY coalesce(size, 0) DESC, ord) AS size_rank,
+            """SELECT ord, row_number() OVER (ORDER BY ord) AS corpus_rank, row_number() OVER (PARTITION BY repo ORDER BY ord) AS repo_corpus_rank,
+               row_number() OVER (ORDER BY file, ord) AS name_rank, row_number() OVER (ORDER BY coalesce(size, 0) DESC, ord) AS size_rank,
                row_number() OVER (PARTITION BY repo ORDER BY file, ord) AS repo_name_rank,
                row_number() OVER (PARTITION BY repo ORDER BY coalesce(size, 0) DESC, ord) AS repo_size_rank FROM cat"""
         ),

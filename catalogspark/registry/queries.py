@@ -438,7 +438,7 @@ def _srch8_tokens(limit):
 
 def sort5(spark, sf_dir):
     return publish.with_browse_ranks(part(spark, sf_dir)).select(
-        "ord", "name_rank", "size_rank", "repo_name_rank", "repo_size_rank"
+        "ord", "corpus_rank", "name_rank", "size_rank", "repo_corpus_rank", "repo_name_rank", "repo_size_rank"
     )
 
 
@@ -600,7 +600,7 @@ QUERIES = {
     "srch2_literal": _search(part, q="ED R", exact=True),
     "srch2_literal_documents": _search(tables.document_catalog, q="th.", search_folders=False),
     "srch3_wildcard": _search(part, q="R?d*g"),
-    "srch4_tokens": _search(part, q="Red size small"),
+    "srch4_tokens": _search(part, q="Gear size promo"),
     "srch4_tokens_file_only": _search(tables.document_catalog, q="the en", search_folders=False),
     "srch5_fuzzy_terms": srch5,
     "srch5_fuzzy_search": _search(part, q="rng bolts"),

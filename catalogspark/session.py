@@ -2,11 +2,11 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest build side this library broadcasts on its own; above it the planner decides.
-BROADCAST_ROWS = 1_000_000
+# Largest table this library broadcasts on its own; above it the planner decides.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +26,11 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its known row count is within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def row_bytes(*columns) -> Column:
+    """Aggregate: size of the given columns over all rows, as JSON text."""
+    return F.coalesce(F.sum(F.length(F.to_json(F.struct(*columns)))), F.lit(0))
+
+
+def broadcast_if_small(df: DataFrame, size: int | None) -> DataFrame:
+    """Broadcast ``df`` when its measured size (bytes) is known and within the limit."""
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df

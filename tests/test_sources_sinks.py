@@ -156,7 +156,7 @@ def test_generations(spark, catalog, tmp_path):
     assert publish.read_published(spark, root, "catalog", 1).count() == 10
 
 
-@pytest.mark.parametrize("sort", ["name", "size"])
+@pytest.mark.parametrize("sort", ["name", "size", "relevance"])
 @pytest.mark.parametrize("repo", ["", "o/a"])
 def test_browse_equals_sorted_search(catalog, sort, repo):
     ranked = publish.with_browse_ranks(catalog).cache()
