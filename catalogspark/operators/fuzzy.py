@@ -128,6 +128,26 @@ def fuzzy_terms(tokens: DataFrame, vocab: DataFrame, token_bytes: int | None = N
     )
 
 
+def fuzzy_terms_of(token: str, vocab: DataFrame) -> DataFrame:
+    """The same for one token over the vocabulary of one scope: a filter and a top-k."""
+    length = len(token)
+    near = vocab.filter(
+        F.length("token").between(length - MAX_EDITS, length + MAX_EDITS)
+        & (F.levenshtein(F.col("token"), F.lit(token), MAX_EDITS) >= 0)
+    )
+    best = near.orderBy(*vocab_order()).limit(FUZZY_LIMIT)
+    # At most FUZZY_LIMIT rows reach this window.
+    order = Window.partitionBy(F.lit(0)).orderBy(*vocab_order())
+    before = F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        best.withColumns(
+            {"term_pos": F.row_number().over(order) - 1, "_before": F.coalesce(before, F.lit(0))}
+        )
+        .filter(F.col("_before") < FUZZY_LIMIT)
+        .select(F.col("token").alias("term"), "term_pos", "df")
+    )
+
+
 def exact_terms(tokens: DataFrame, vocab: DataFrame, token_bytes: int | None = None) -> DataFrame:
     """(scope, token, df) of the distinct tokens; df is NULL where the index has none."""
     wanted = tokens.select("scope", "token").distinct()

@@ -159,12 +159,8 @@ def _in_parts(placed: DataFrame, entries: int) -> DataFrame:
 def root_listings(catalog: DataFrame, part_entries: int = PART_ENTRIES) -> DataFrame:
     """Root-folder documents of every repo; long listings continue in numbered parts."""
     is_folder = F.col("kind") == "folder"
-    order = [
-        F.desc("kind"),
-        F.when(is_folder, F.col("name")).asc(),
-        F.when(~is_folder, by_name("name")).asc(),
-        F.asc("ord"),
-    ]
+    # Both lists are in code-unit order of the names.
+    order = [F.desc("kind"), F.asc("name"), F.asc("ord")]
     placed = _in_parts(
         sorted_position_in_group(root_entries(catalog), ["repo"], order, "position"), part_entries
     )

@@ -11,7 +11,7 @@ from catalogspark.functions.paths import folder_path
 from catalogspark.functions.predicates import passes_filters
 from catalogspark.functions.text import tokens
 from catalogspark.operators import matching as m
-from catalogspark.operators.fuzzy import exact_terms, fuzzy_terms, with_stand_ins
+from catalogspark.operators.fuzzy import exact_terms, fuzzy_terms_of, with_stand_ins
 from catalogspark.operators.index import SCOPES, postings, scope_text, vocabulary
 from catalogspark.operators.ranking import sorted_position, sorted_position_in_group
 from catalogspark.schema import FILTER_FIELDS, QUERY
@@ -275,19 +275,17 @@ LISTED_ORDS = 1000
 
 def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
     """Records holding all tokens of one query, and their match order."""
-    spark, scope, words = found.sparkSession, asked["scope"], list(asked["q_tokens"])
+    scope, words = asked["scope"], list(asked["q_tokens"])
     vocab = index.vocab.filter(F.col("scope") == scope)
     # One row per query token, and at most the fuzzy limit per misspelt token, come back.
     exact = {r["token"]: r["df"] for r in vocab.filter(F.col("token").isin(words)).select("token", "df").collect()}
     terms = {w: [(w, exact[w])] for w in words if w in exact}
-    missing = [(scope, w) for w in words if w not in exact]
-    if missing:
-        asked_terms = spark.createDataFrame(missing, "scope STRING, token STRING")
-        near = fuzzy_terms(asked_terms, vocab, sum(32 + 4 * len(w) for _, w in missing))
-        for r in near.orderBy("token", "term_pos").collect():
-            terms.setdefault(r["token"], []).append((r["term"], r["df"]))
-    if len(terms) < len(words):
-        return found.filter(F.lit(False)), F.lit(0)
+    missing = [w for w in words if w not in exact]
+    for w in missing:
+        used = fuzzy_terms_of(w, vocab).orderBy("term_pos").collect()
+        if not used:
+            return found.filter(F.lit(False)), F.lit(0)
+        terms[w] = [(r["term"], r["df"]) for r in used]
     cost = {w: sum(df for _, df in terms[w]) for w in words}
     driver = min(words, key=cost.get)
     if cost[driver] <= FETCH_LIMIT:
