@@ -6,7 +6,7 @@ NULL or empty means "no filter".
 """
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,6 +123,61 @@ def size_between(size: Column, min_size, max_size) -> Column:
     return size.isNull() | (size <= 0) | (low & high)
 
 
+def clean_list(paths: Column) -> Column:
+    return F.transform(paths, clean_path)
+
+
+def up_paths(folder: Column) -> Column:
+    """A record's folder and all folders above it; the empty path alone for root files."""
+    return F.when(F.size(folder) < 1, F.array(F.lit(""))).otherwise(ancestors(folder))
+
+
+def folder_filter_by_paths(up: Column, folder_path, mode, folders, selfs, subtrees) -> Column:
+    """:func:`folder_filter` over cleaned lists and :func:`up_paths`.
+
+    Plain array functions only, so the test stays inside generated code.
+    """
+    mode = F.coalesce(mode, F.lit(""))
+    # The empty path stands for "root files" in a folder list, and for nothing in a mixed set.
+    own, below = (F.array_remove(F.coalesce(p, F.array().cast("array<string>")), "") for p in (selfs, subtrees))
+    mixed = (
+        ((F.size(own) == 0) & (F.size(below) == 0))
+        | F.array_contains(own, folder_path) | F.arrays_overlap(up, below)
+    )
+    plain = F.when(mode == "exact", F.array_contains(folders, folder_path)).otherwise(
+        F.arrays_overlap(up, folders)
+    )
+    return F.when(mode == "mixed", mixed).otherwise(_no_values(folders) | plain)
+
+
+FOLDER_FIELDS = ("folders", "folder_selfs", "folder_subtrees")
+
+
+def used_filters() -> list:
+    """Aggregates that tell which filter fields any query of a table sets."""
+    lists = ("repos", "extensions", *FOLDER_FIELDS)
+    return [F.bool_or(~_no_values(F.col(f))).alias("uses_" + f) for f in lists] + [
+        F.bool_or(F.col(f).isNotNull()).alias("uses_" + f) for f in ("min_size", "max_size")
+    ]
+
+
+def passes_used_filters(row: dict, query: dict, used: dict) -> Column:
+    """The filters that some query of a batch sets; ``row`` holds ``up`` when folders are used."""
+    tests = []
+    if used["uses_repos"]:
+        tests.append(repo_in(row["repo"], query["repos"]))
+    if used["uses_extensions"]:
+        tests.append(extension_in(row["ext"], query["extensions"]))
+    if any(used["uses_" + f] for f in FOLDER_FIELDS):
+        lists = [query[f] for f in FOLDER_FIELDS]
+        tests.append(
+            folder_filter_by_paths(row["up"], row["folder_path"], query["folder_match_mode"], *lists)
+        )
+    if used["uses_min_size"] or used["uses_max_size"]:
+        tests.append(size_between(row["size"], query["min_size"], query["max_size"]))
+    return reduce(and_, tests, F.lit(True))
+
+
 def passes_filters(row: dict, query: dict) -> Column:
     """All filters of one query (or query row) over one record."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
+from catalogspark.functions.predicates import FOLDER_FIELDS, clean_list
 from catalogspark.functions.text import CJK, search_mode, tokens, trim_space, wildcard_pattern
 
 from .index import scope_text
@@ -45,6 +46,7 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
             "q_tokens": tokens(F.col("q")),
             "page": page_number(F.col("page")),
             "page_size": clamp_page_size(F.col("page_size")),
+            **{f: clean_list(F.col(f)) for f in FOLDER_FIELDS},
         }
     )
     last = F.col("page").cast("bigint") * F.col("page_size")

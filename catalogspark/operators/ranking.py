@@ -13,19 +13,25 @@ _OFFSET_BITS = 33  # layout of monotonically_increasing_id: partition number, ro
 
 
 def position_by_ord(
-    df: DataFrame, keys: list, out: str, ord_col: str = "ord", span: int = ORD_SPAN
+    df: DataFrame, keys: list, out: str, ord_col: str = "ord", span: int = ORD_SPAN,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, in ``ord`` order.
 
     Groups are cut into ord ranges. A row's position is its rank in its own range
     plus the sizes of the group's earlier ranges, so a group holding a third of
     the table is still spread over many tasks. Only groups that really span
-    several ranges reach the join.
+    several ranges reach the join. ``counted`` may name a cheaper source of the same
+    rows for those sizes, when ``df`` is the end of a long plan.
     """
-    cut = df.withColumn("_range", F.floor(F.col(ord_col) / span))
+
+    def in_ranges(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_range", _range_start(ord_col, span))
+
+    cut = in_ranges(df)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_range")
+        in_ranges(df if counted is None else counted).groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.sum("_n").over(earlier))
         .filter(F.col("_offset") > 0)
@@ -39,6 +45,10 @@ def position_by_ord(
     )
 
 
+def _range_start(ord_col: str, span: int) -> Column:
+    return F.col(ord_col) - F.pmod(F.col(ord_col), F.lit(span))
+
+
 def _renamed(keys: list) -> list:
     return [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
 
@@ -58,7 +68,7 @@ def pick_by_ord(
     ``wanted`` may use ``_total``, the size of the group. Only the one ord range
     that holds the wanted row is ranked.
     """
-    cut = df.withColumn("_range", F.floor(F.col(ord_col) / span))
+    cut = df.withColumn("_range", _range_start(ord_col, span))
     group = Window.partitionBy(*keys)
     counts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     target = (

@@ -31,11 +31,14 @@ def with_browse_ranks(catalog: DataFrame) -> DataFrame:
     slim = catalog.select("ord", "repo", "file", F.coalesce("size", F.lit(0)).alias("bytes"))
     ranks = sorted_position(slim, [name_key(F.col("file")), "ord"], "name_rank").drop("file")
     ranks = sorted_position(ranks, [F.desc("bytes"), "ord"], "size_rank").drop("bytes")
-    ranks = position_by_ord(ranks, [], "_at").withColumn("corpus_rank", F.col("_at") + 1).drop("_at")
-    for column in ("corpus_rank", "name_rank", "size_rank"):
-        # The overall rank is a dense number, so the repo rank needs no further sort of names.
-        ranks = position_by_ord(ranks, ["repo"], "_at", ord_col=column)
-        ranks = ranks.withColumn("repo_" + column, F.col("_at") + 1).drop("_at")
+    # Overall ranks are dense numbers, so ranks within a repo need no further sort of names.
+    sorted_rows = ranks
+    for keys, column, out in (
+        ([], "ord", "corpus_rank"), (["repo"], "ord", "repo_corpus_rank"),
+        (["repo"], "name_rank", "repo_name_rank"), (["repo"], "size_rank", "repo_size_rank"),
+    ):
+        placed = position_by_ord(ranks, keys, out, ord_col=column, counted=sorted_rows)
+        ranks = placed.withColumn(out, F.col(out) + 1)
     return catalog.join(ranks.drop("repo"), "ord")
 
 
@@ -71,7 +74,7 @@ def publish(catalog: DataFrame, root: str, generation: int) -> None:
 
     spark = catalog.sparkSession
     # Runs of ords go to the same file without the sampling pass of a range partitioning.
-    run = F.floor(F.col("ord") / ORD_RUN)
+    run = F.col("ord") - F.pmod("ord", F.lit(ORD_RUN))
     write(with_browse_ranks(with_record_id(catalog)).repartition(run), "catalog", "ord")
     stored = spark.read.parquet(path("catalog"))
     by_range(postings(stored), "postings", "scope", "token", "ord")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
-from catalogspark.functions.predicates import passes_filters
+from catalogspark.functions.predicates import (
+    FOLDER_FIELDS, passes_filters, passes_used_filters, up_paths, used_filters,
+)
 from catalogspark.functions.text import tokens
 from catalogspark.operators import matching as m
 from catalogspark.operators.fuzzy import exact_terms, fuzzy_terms_of, with_stand_ins
@@ -126,11 +128,13 @@ def search_batch(
         F.collect_set(F.when(F.col("mode") != "token", F.length("gram"))).alias("lengths"),
         F.coalesce(F.max(F.size("q_tokens")), F.lit(0)).alias("words"),
         F.coalesce(F.max("last_row"), F.lit(0)).alias("last_row"),
-        row_bytes("*").alias("bytes"),
-    ).first()
+        row_bytes("*").alias("bytes"), *used_filters(),
+    ).first().asDict()
 
     record = _record_columns(catalog)
     records = catalog.select(*record).withColumns(m.searchable())
+    if any(profile["uses_" + f] for f in FOLDER_FIELDS):
+        records = records.withColumn("up", up_paths(F.col("folder")))
     pairs, keys, probes = [], [], []
     full = prepared
     simple, plan_bytes, driver_bytes = True, 0, 0
@@ -170,10 +174,9 @@ def search_batch(
     if probes:
         pairs.append(_paired_by_key(records, keys, probes, driver_bytes + profile["bytes"], simple))
     if not pairs:
+        nothing = {"query_id": "bigint", "term": "string", "held": "array<string>"}
         pairs.append(
-            records.join(prepared.select("query_id"), F.lit(False)).withColumns(
-                {"term": F.lit(None).cast("string"), "held": F.lit(None).cast("array<string>")}
-            )
+            records.filter(F.lit(False)).withColumns({n: F.lit(None).cast(t) for n, t in nothing.items()})
         )
     paired = reduce(DataFrame.unionByName, pairs)
 
@@ -182,7 +185,7 @@ def search_batch(
         "sort", "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
     )
     joined = paired.join(broadcast_if_small(asked, profile["bytes"] + plan_bytes), "query_id")
-    matched = _verified(joined, profile["words"], simple)
+    matched = _verified(joined, profile, simple)
     totals = (
         prepared.select("query_id", "page", "page_size")
         .join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id", "left")
@@ -223,13 +226,13 @@ def _paired_by_key(records, keys: list, probes: list, size: int, simple: bool) -
     ).drop("kind", "key")
 
 
-def _verified(joined: DataFrame, words: int, simple: bool) -> DataFrame:
+def _verified(joined: DataFrame, profile: dict, simple: bool) -> DataFrame:
     """Keep true matches that pass their query's filters; add score and tie."""
     query = {
         c: F.col(c)
         for c in ("q_lc", "pattern", "head_run", "tail_run", "q_tokens", "search_folders", *FILTER_FIELDS, *_TERM_FIELDS)
     }
-    mode, held = F.col("mode"), F.col("held")
+    mode, held, words = F.col("mode"), F.col("held"), profile["words"]
     if simple:
         holds, tie = F.lit(True), F.lit(0)
     else:
@@ -243,7 +246,8 @@ def _verified(joined: DataFrame, words: int, simple: bool) -> DataFrame:
         .when(mode == "token", holds)
         .otherwise(m.literal_match(query, mode == "wildcard"))
     )
-    return joined.filter(passes_filters(_record(), query)).filter(hit).withColumns(
+    row = {**_record(), "up": F.col("up")}
+    return joined.filter(passes_used_filters(row, query, profile)).filter(hit).withColumns(
         {"score": m.relevance(query["q_tokens"], query["search_folders"], words), "tie": tie}
     )
 
