@@ -60,7 +60,7 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
             "first_row": last - F.col("page_size") + 1,
             "last_row": last,
         }
-    )
+    ).withColumn("pairing", pairing(F.col("mode"), F.col("gram"), F.col("repos")))
 
 
 def longest_run(q_lc: Column, mode: Column) -> Column:
@@ -74,6 +74,21 @@ def longest_run(q_lc: Column, mode: Column) -> Column:
     )
 
 
+def pairing(mode: Column, gram: Column, repos: Column) -> Column:
+    """What a query that is not a token query shares with its hits: (kind, keys).
+
+    A piece of text where it has one, else a repo where it is limited to some; only
+    open browsing is paired with every record.
+    """
+
+    def keys(kind: str, values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), values.alias("keys"))
+
+    return F.when(mode != "token", F.when(gram != "", keys("gram", F.array(gram)))
+                  .when(F.size(repos) > 0, keys("repo", F.array_distinct(repos)))
+                  .otherwise(keys("every", F.array(F.lit("")))))
+
+
 def searchable() -> dict:
     """Lower-cased fields that queries look into; computed once per record."""
     return {
@@ -87,10 +102,8 @@ def grams(lengths: list) -> Column:
     # The look-ahead yields every overlapping piece in one pass over the text.
     pieces = [
         F.regexp_extract_all(field, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        for field in searchable().values() for n in lengths if n > 0
+        for field in searchable().values() for n in lengths
     ]
-    if 0 in lengths:
-        pieces.append(F.array(F.lit("")))
     return F.array_distinct(F.concat(*pieces))
 
 

@@ -117,15 +117,16 @@ def search_batch(
     """Answer every row of a QUERY table.
 
     All queries share one catalog scan. A record is paired only with queries that
-    share a join key with it: a piece of text for literal and wildcard queries, a
-    term of the rarest token for token queries. Each pair is then verified in the
-    row. When the driving postings are few, they are fetched from the index instead.
+    share a join key with it: a piece of text for literal and wildcard queries, a repo
+    for browsing within repos, a term of the rarest token for token queries. Each pair
+    is then verified in the row. Query ids must be unique. When the driving postings are few, they are fetched from the index instead.
     """
     prepared = freeze(m.prepare_queries(queries))
     profile = prepared.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("mode") == "token").alias("n_token"),
-        F.collect_set(F.when(F.col("mode") != "token", F.length("gram"))).alias("lengths"),
+        F.collect_set(F.when(F.col("gram") != "", F.length("gram"))).alias("lengths"),
+        F.collect_set("pairing.kind").alias("kinds"),
         F.coalesce(F.max(F.size("q_tokens")), F.lit(0)).alias("words"),
         F.coalesce(F.max("last_row"), F.lit(0)).alias("last_row"),
         row_bytes("*").alias("bytes"), *used_filters(),
@@ -164,12 +165,13 @@ def search_batch(
             keys += [(s, tokens(scope_text(s))) for s in SCOPES if s in size["scopes"]]
     else:
         full = full.withColumns({n: F.lit(None).cast(kind) for n, kind in _TERM_FIELDS.items()})
-    if profile["lengths"]:
-        keys.append(("gram", m.grams(sorted(profile["lengths"]))))
+    if profile["kinds"]:
+        offered = {"repo": F.array("repo"), "every": F.array(F.lit(""))}
+        if profile["lengths"]:
+            offered["gram"] = m.grams(sorted(profile["lengths"]))
+        keys += [(kind, offered[kind]) for kind in sorted(profile["kinds"])]
         probes.append(
-            prepared.filter("mode <> 'token'").select(
-                F.lit("gram").alias("kind"), F.col("gram").alias("key"), "query_id"
-            )
+            prepared.select("pairing.kind", F.explode("pairing.keys").alias("key"), "query_id")
         )
     if probes:
         pairs.append(_paired_by_key(records, keys, probes, driver_bytes + profile["bytes"], simple))
@@ -217,12 +219,12 @@ def _paired_by_key(records, keys: list, probes: list, size: int, simple: bool) -
     )
     keyed = records.select("*", F.explode(kinds).alias("k")).select(
         *records.columns, F.col("k.kind").alias("kind"),
-        (none if simple else F.when(F.col("k.kind") != "gram", F.col("k.values"))).alias("held"),
+        (none if simple else F.when(F.col("k.kind").isin(*SCOPES), F.col("k.values"))).alias("held"),
         F.explode("k.values").alias("key"),
     )
     wanted = broadcast_if_small(reduce(DataFrame.union, probes), size)
     return keyed.join(wanted, ["kind", "key"]).withColumn(
-        "term", F.when(F.col("kind") != "gram", F.col("key"))
+        "term", F.when(F.col("kind").isin(*SCOPES), F.col("key"))
     ).drop("kind", "key")
 
 

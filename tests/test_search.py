@@ -69,6 +69,8 @@ QUERIES = [
     dict(q="11"),
     dict(q="2 020"),
     dict(q="redd", sort="unknown"),
+    dict(q="*", repos=["o/a", "red/c", "o/a"], page_size=500),
+    dict(q="", repos=["none"]),
 ]
 
 
@@ -138,6 +140,16 @@ def test_single_deep_page(catalog, built, monkeypatch):
     assert rows[0].position == 91
 
 
+def test_pages_join_up_to_the_whole_list(spark, catalog, built):
+    """Consecutive pages neither overlap nor leave a gap."""
+    pages = [dict(q="red", page=n, page_size=13, sort="size") for n in range(1, 12)]
+    result = plans.search_batch(catalog, built, table(spark, pages))
+    rows = result.rows.orderBy("query_id", "position").collect()
+    assert len({r.ord for r in rows}) == len(rows) == result.totals.first().total
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert all(r.score >= 0 for r in rows)
+
+
 def test_empty_batches(spark, catalog, built):
     assert plans.search_batch(catalog, built, table(spark, [])).rows.count() == 0
     none = plans.search_batch(catalog, built, table(spark, [dict(q="zzzzzzzzzzz")]))
