@@ -46,7 +46,9 @@ def search_mode(query: Column, exact: Column) -> Column:
 def wildcard_pattern(query: Column) -> Column:
     """Unanchored, case-blind regular expression of a ``*``/``?`` pattern."""
     any_char = r"[^\n\r\u2028\u2029]"
-    escaped = F.regexp_replace(query, r"[.+^${}()|\[\]\\]", r"\\$0")
+    # Stars at the ends of an unanchored pattern, or repeated, change nothing but the cost.
+    lean = F.regexp_replace(F.regexp_replace(query, r"^[*]+|[*]+$", ""), r"[*]+", "*")
+    escaped = F.regexp_replace(lean, r"[.+^${}()|\[\]\\]", r"\\$0")
     starred = F.replace(escaped, F.lit("*"), F.lit(any_char + "*"))
     # "?" must not touch the patterns just inserted; they contain none.
     return F.concat(F.lit("(?iu)"), F.replace(starred, F.lit("?"), F.lit(any_char)))

@@ -51,7 +51,7 @@ def build_index(catalog: DataFrame) -> SearchIndex:
 
 
 def _record_columns(catalog: DataFrame) -> list:
-    return [*RECORD, *[c for c in ("record_id",) if c in catalog.columns]]
+    return [*RECORD, *[c for c in ("record_id", "generation") if c in catalog.columns]]
 
 
 def _record() -> dict:

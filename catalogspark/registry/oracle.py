@@ -16,7 +16,7 @@ PART = """cat AS (
 
 DOCS = """cat AS (
   SELECT d.doc_id AS ord, concat('corpus/', source) AS repo,
-    replace(substr(text, 1, 40), chr(10), ' ') AS file, 'txt' AS ext,
+    replace(text, chr(10), ' ') AS file, 'txt' AS ext,
     concat(lang, '/b', CAST(d.doc_id % 7 AS VARCHAR)) AS folder_path,
     n_chars AS size, coalesce(l.quality, 0) = 1 AS has_txt
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
@@ -345,6 +345,7 @@ def build() -> dict:
         "idx2_postings_file": docs("SELECT ord, token FROM toks WHERE scope = 'file'", TOKENS),
         "idx3_ranked_vocabulary": part("SELECT scope, token, df, vocab_rank FROM vocab", VOCAB),
         "flt1_repo": part(f"SELECT {FLAT} FROM cat WHERE repo IN ('shop/Brand#12', 'shop/Brand#3')"),
+        "flt1_repo_short_names": part(f"SELECT {FLAT} FROM cat WHERE repo IN ('shop/Brand#12', 'shop/Brand#3')"),
         "flt2_extension": part(f"SELECT {FLAT} FROM cat WHERE lower(ext) IN ('pdf', 'DJVU', 'txt')"),
         "flt3_folder_exact": part(f"SELECT {FLAT} FROM cat WHERE folder_path IN ('ECONOMY', 'LARGE/size 7')"),
         "flt4_folder_subtree": part(

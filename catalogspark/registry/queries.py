@@ -271,6 +271,11 @@ def _filter(condition):
 
 
 flt1 = _filter(lambda: predicates.repo_in(F.col("repo"), ["shop/Brand#12", "shop/Brand#3"]))
+flt1_short = _filter(
+    lambda: predicates.repo_in(
+        F.col("repo"), predicates.qualify_repos(F.array(F.lit("Brand#12"), F.lit("shop/Brand#3")), "shop")
+    )
+)
 flt2 = _filter(lambda: predicates.extension_in(F.col("ext"), ["pdf", "DJVU", "txt"]))
 flt3 = _filter(lambda: predicates.folder_exact(F.col("folder_path"), ["/ECONOMY/", "LARGE/size 7"]))
 flt4 = _filter(lambda: predicates.folder_subtree(F.col("folder_path"), ["/ECONOMY/", "SMA", ""]))
@@ -588,6 +593,7 @@ QUERIES = {
     "idx2_postings_file": _postings("file"),
     "idx3_ranked_vocabulary": idx3,
     "flt1_repo": flt1,
+    "flt1_repo_short_names": flt1_short,
     "flt2_extension": flt2,
     "flt3_folder_exact": flt3,
     "flt4_folder_subtree": flt4,

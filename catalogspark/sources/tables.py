@@ -45,7 +45,7 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(
         table(spark, sf_dir, "documents").join(labels, "doc_id", "left").selectExpr(
             "doc_id AS ord", "concat('corpus/', source) AS repo",
-            "replace(substr(text, 1, 40), chr(10), ' ') AS file", "'txt' AS ext",
+            "replace(text, chr(10), ' ') AS file", "'txt' AS ext",
             "concat(lang, '/b', CAST(doc_id % 7 AS STRING)) AS folder_path",
             "n_chars AS size", "coalesce(quality, 0) = 1 AS has_txt",
         )

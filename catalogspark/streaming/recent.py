@@ -44,13 +44,31 @@ def start_recent_queries(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def read_recent_queries(spark: SparkSession, path: str, keep: int = HISTORY_MAX) -> DataFrame:
-    """Current history: the per-batch rows merged."""
-    return newest(last_use(spark.read.parquet(path)), keep)
+def read_recent_queries(
+    spark: SparkSession, path: str, keep: int = HISTORY_MAX,
+    compacted: str | None = None, upto: int | None = None,
+) -> DataFrame:
+    """Current history: the per-batch rows merged, optionally on top of a compacted history.
 
+    ``upto`` is the last batch that ``compacted`` holds; only later batches are read.
+    """
+    rows = spark.read.parquet(path)
+    if compacted is not None:
+        base = spark.read.parquet(compacted).select("user_id", "q", "ts")
+        rows = rows.filter(F.col("batch") > upto).select("user_id", "q", "ts").union(base)
+    return newest(last_use(rows), keep)
 
-def compact_recent_queries(spark: SparkSession, path: str, target: str, keep: int = HISTORY_MAX) -> None:
-    """Write the merged history as one batch under ``target``, to bound the rows read later."""
-    read_recent_queries(spark, path, keep).drop("rank").write.mode("overwrite").parquet(
-        f"{target}/batch=-1"
-    )
+
+def compact_recent_queries(
+    spark: SparkSession, path: str, target: str, keep: int = HISTORY_MAX,
+    compacted: str | None = None, upto: int | None = None,
+) -> int:
+    """Store the merged history in the new folder ``target``; returns the last batch it holds.
+
+    Batches up to that one are no longer read when both are passed to
+    :func:`read_recent_queries`, and can be removed.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    merged = read_recent_queries(spark, path, keep, compacted, upto)
+    merged.drop("rank").write.parquet(target)
+    return last

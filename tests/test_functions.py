@@ -52,6 +52,7 @@ def test_trim_covers_unicode_space(spark):
         ("a*b", "xaabbx", True), ("a?c", "xabcx", True), ("a?c", "ac", False), ("a.c*", "abc", False),
         ("a.c*", "A.C", True), ("(x)*", "(x)", True), ("a*b", "a\nb", False),
         ("[?]", "[q]", True), ("$*", "a$", True),
+        ("**a**b**", "xaxbx", True), ("*", "", True), ("*?", "", False), ("a*", "\nba", True),
     ],
 )
 def test_wildcards(spark, pattern, value, hit):

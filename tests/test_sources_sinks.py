@@ -154,6 +154,7 @@ def test_generations(spark, catalog, tmp_path):
         a = search.search(stored, index, q=q).rows.select("position", "ord", "score").collect()
         assert a == search.search(catalog, fresh, q=q).rows.select("position", "ord", "score").collect()
     assert publish.read_published(spark, root, "catalog", 1).count() == 10
+    assert search.search(stored, index, q="n3").rows.first().generation == 2
 
 
 @pytest.mark.parametrize("sort", ["name", "size", "relevance"])
@@ -208,5 +209,14 @@ def test_recent_queries_stream(spark, tmp_path):
     wanted = recent.recent_queries(spark.createDataFrame(EVENTS, schema)).select("user_id", "rank", "q", "ts")
     key = lambda df: sorted(tuple(r) for r in df.select("user_id", "rank", "q", "ts").collect())
     assert key(recent.read_recent_queries(spark, out)) == key(wanted)
-    recent.compact_recent_queries(spark, out, str(tmp_path / "small"))
-    assert key(recent.read_recent_queries(spark, str(tmp_path / "small"))) == key(wanted)
+    small = str(tmp_path / "small")
+    upto = recent.compact_recent_queries(spark, out, small)
+    assert upto == 2
+    assert key(recent.read_recent_queries(spark, out, compacted=small, upto=upto)) == key(wanted)
+    late = [(1, day(900), "new"), (2, day(-5), "q3")]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    again = recent.start_recent_queries(spark.readStream.schema(schema).parquet(source), out, state, availableNow=True)
+    again.awaitTermination(120)
+    more = recent.recent_queries(spark.createDataFrame(EVENTS + late, schema))
+    assert key(recent.read_recent_queries(spark, out, compacted=small, upto=upto)) == key(more)
+    assert recent.compact_recent_queries(spark, out, small + "2", compacted=small, upto=upto) == 3
