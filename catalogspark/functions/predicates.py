@@ -153,6 +153,13 @@ def folder_filter_by_paths(up: Column, folder_path, mode, folders, selfs, subtre
 FOLDER_FIELDS = ("folders", "folder_selfs", "folder_subtrees")
 
 
+def is_unfiltered() -> Column:
+    """Whether a query row sets no filter at all (lists already cleaned)."""
+    any_set = [~_no_values(F.col(f)) for f in ("repos", "extensions", *FOLDER_FIELDS)]
+    bounded = F.col("min_size").isNotNull() | F.col("max_size").isNotNull()
+    return ~(reduce(or_, any_set) | bounded)
+
+
 def used_filters() -> list:
     """Aggregates that tell which filter fields any query of a table sets."""
     lists = ("repos", "extensions", *FOLDER_FIELDS)

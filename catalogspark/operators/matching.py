@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
-from catalogspark.functions.predicates import FOLDER_FIELDS, clean_list
+from catalogspark.functions.predicates import FOLDER_FIELDS, clean_list, is_unfiltered
 from catalogspark.functions.text import CJK, search_mode, tokens, trim_space, wildcard_pattern
 
 from .index import scope_text
@@ -60,7 +60,12 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
             "first_row": last - F.col("page_size") + 1,
             "last_row": last,
         }
-    ).withColumn("pairing", pairing(F.col("mode"), F.col("gram"), F.col("repos")))
+    ).withColumns(
+        {
+            "pairing": pairing(F.col("mode"), F.col("gram"), F.col("repos")),
+            "unfiltered": is_unfiltered(),
+        }
+    )
 
 
 def longest_run(q_lc: Column, mode: Column) -> Column:

@@ -10,7 +10,7 @@ from .facets import by_name
 
 def folder_counts(catalog: DataFrame) -> DataFrame:
     """Records per (repo, folder): shrinks the catalog before prefixes multiply it."""
-    folder = F.filter(F.col("folder"), lambda part: part != "")
+    folder = F.array_remove("folder", "")
     return catalog.groupBy("repo", folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 

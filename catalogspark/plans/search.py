@@ -107,6 +107,7 @@ def token_plan(prepared: DataFrame, vocab: DataFrame, query_bytes: int | None =
 
 _TERM_FIELDS = {
     "token_terms": "array<array<string>>", "first_terms": "array<string>", "driver_terms": "array<string>",
+    "cost": "bigint",
 }
 
 
@@ -155,7 +156,7 @@ def search_batch(
         ).first()
         # One exact token each: the join on that token is the whole match.
         simple = size["words"] <= 1 and size["terms"] <= 1
-        full = prepared.join(plan.drop("scope", "cost"), "query_id", "left")
+        full = prepared.join(plan.drop("scope"), "query_id", "left")
         driving = plan.select("query_id", "scope", F.explode("driver_terms").alias("term"))
         plan_bytes, driver_bytes = size["bytes"], 64 * size["n"] + 4 * size["driver_bytes"]
         if size["cost"] <= candidate_limit and size["fetched_bytes"] <= BROADCAST_BYTES:
@@ -184,18 +185,30 @@ def search_batch(
 
     asked = full.select(
         "query_id", "mode", "q_lc", "pattern", "head_run", "tail_run", "q_tokens", "search_folders",
-        "sort", "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
+        "sort", "page", "page_size", "first_row", "last_row", *FILTER_FIELDS, *_TERM_FIELDS,
+        F.coalesce(F.col("unfiltered") & _one_exact_term(), F.lit(False)).alias("known"),
     )
-    joined = paired.join(broadcast_if_small(asked, profile["bytes"] + plan_bytes), "query_id")
-    matched = _verified(joined, profile, simple)
+    asked_bytes = profile["bytes"] + plan_bytes
+
+    def hits(of: DataFrame) -> DataFrame:
+        return _verified(paired.join(broadcast_if_small(of, asked_bytes), "query_id"), profile, simple)
+
+    matched = hits(asked.drop("known"))
+    # The vocabulary already counts the hits of one exact token without filters.
+    counted = hits(asked.filter(~F.col("known")).drop("known"))
     totals = (
-        prepared.select("query_id", "page", "page_size")
-        .join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id", "left")
-        .withColumn("total", F.coalesce("total", F.lit(0)))
+        asked.select("query_id", "page", "page_size", F.when(F.col("known"), F.col("cost")).alias("df"))
+        .join(counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")), "query_id", "left")
+        .select("query_id", "page", "page_size", F.coalesce("df", "hits", F.lit(0)).alias("total"))
     )
     return SearchResult(_batch_page(matched, record, profile["last_row"]), totals, matched)
 
 
+def _one_exact_term():
+    one = (F.size("token_terms") == 1) & (F.size("driver_terms") == 1)
+    return one & (F.get("driver_terms", F.lit(0)) == F.get("q_tokens", F.lit(0)))
+
+
 def _fetched(records, index, driving, size: int, simple: bool) -> DataFrame:
     """Records of the driving terms by way of the postings, when those are few."""
     terms = driving.withColumnRenamed("term", "token")
@@ -280,7 +293,7 @@ LISTED_ORDS = 1000
 
 
 def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
-    """Records holding all tokens of one query, and their match order."""
+    """Records holding all tokens of one query, their match order, and their number if known."""
     scope, words = asked["scope"], list(asked["q_tokens"])
     vocab = index.vocab.filter(F.col("scope") == scope)
     # One row per query token, and at most the fuzzy limit per misspelt token, come back.
@@ -290,7 +303,7 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
     for w in missing:
         used = fuzzy_terms_of(w, vocab).orderBy("term_pos").collect()
         if not used:
-            return found.filter(F.lit(False)), F.lit(0)
+            return found.filter(F.lit(False)), F.lit(0), None
         terms[w] = [(r["term"], r["df"]) for r in used]
     cost = {w: sum(df for _, df in terms[w]) for w in words}
     driver = min(words, key=cost.get)
@@ -304,11 +317,12 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
             found = found.join(F.broadcast(ords), "ord", "left_semi")
     if not missing:
         text = F.lower(scope_text(scope))
-        return found.filter(reduce(and_, [m.token_held(text, w) for w in words])), F.lit(0)
+        total = cost[driver] if len(words) == 1 and asked["unfiltered"] else None
+        return found.filter(reduce(and_, [m.token_held(text, w) for w in words])), F.lit(0), total
     lists = [[t for t, _ in terms[w]] for w in words]
     held = found.withColumn("held", F.explode(F.array(tokens(scope_text(scope)))))
     hits = held.filter(m.terms_match(F.lit(lists), F.col("held"), len(words)))
-    return hits, m.match_tie(F.lit(lists[0]), F.col("held"))
+    return hits, m.match_tie(F.lit(lists[0]), F.col("held")), None
 
 
 # Rows a single page query may skip before it ranks by a distributed sort instead.
@@ -336,7 +350,7 @@ def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> Se
     found = catalog.select(*record).filter(
         passes_filters(_record(), {f: asked[f] for f in FILTER_FIELDS})
     ).withColumns(m.searchable())
-    tie = F.lit(0)
+    tie, total = F.lit(0), None
     if asked["mode"] in ("literal", "wildcard"):
         literals = {c: F.lit(asked[c]) for c in ("q_lc", "pattern", "head_run", "tail_run")}
         wildcard = F.lit(asked["mode"] == "wildcard")
@@ -344,7 +358,7 @@ def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> Se
     elif asked["mode"] == "token":
         if index is None:
             raise ValueError("token queries need a search index")
-        found, tie = _token_hits(found, index, asked)
+        found, tie, total = _token_hits(found, index, asked)
     words = list(asked["q_tokens"])
     score = m.relevance(F.lit(words).cast("array<string>"), folders, len(words))
     matched = found.withColumns({"score": score, "tie": tie}).select(*record, "score", "tie")
@@ -360,7 +374,11 @@ def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> Se
             F.col("position").between(first, last)
         )
     rows = rows.select(F.col("position").cast("bigint").alias("position"), "score", *record)
-    totals = matched.agg(F.count(F.lit(1)).alias("total")).select(
+    counted = (
+        matched.agg(F.count(F.lit(1)).alias("total")) if total is None
+        else spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
+    )
+    totals = counted.select(
         "total", F.lit(asked["page"]).alias("page"), F.lit(asked["page_size"]).alias("page_size")
     )
     return SearchResult(rows, totals, matched)
