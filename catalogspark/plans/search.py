@@ -310,7 +310,7 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
     if cost[driver] <= FETCH_LIMIT:
         ords = index.postings.filter(
             (F.col("scope") == scope) & F.col("token").isin([t for t, _ in terms[driver]])
-        ).select("ord").distinct()
+        ).select("ord")
         if cost[driver] <= LISTED_ORDS:
             found = found.filter(F.col("ord").isin([r["ord"] for r in ords.collect()]))
         else:
