@@ -4,6 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from catalogspark import session
 from catalogspark.operators import fuzzy, index
 from catalogspark.plans import search as plans
 from catalogspark.schema import QUERY
@@ -108,6 +109,21 @@ def test_batch_matches_brute_force(spark, catalog, built, limit):
         assert got[k] == page, QUERIES[k]
 
 
+def test_batch_too_large_to_broadcast(spark, catalog, built, monkeypatch):
+    """Past the size limit the same joins shuffle, with the same answers."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(plans, "BROADCAST_BYTES", -1)
+    asked = [q for q in QUERIES if q.get("sort") != "name"][:40]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = plans.search_batch(catalog, built, table(spark, asked)).rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k, q in enumerate(asked):
+        got = [(r.ord, r.score) for r in sorted(rows, key=lambda r: r.position) if r.query_id == k]
+        assert got == brute.search(ROWS, **q)[1], q
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 4, 6, 7, 8, 11, 17, 21, 23, 29, 30, 31, 34, 35, 41])
 def test_single_matches_brute_force(catalog, built, k):
     result = plans.search(catalog, built, **QUERIES[k])
