@@ -5,7 +5,7 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 LINE_DEDUP = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS at
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
   SELECT *, {_LOWER.format(f"trim(line, {_GAPS})")} AS key FROM lines
@@ -16,7 +16,7 @@ WITH lines AS (
   SELECT k.*, r.key IS NOT NULL AND k.doc_id < r.last_doc AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
