@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogspark.llm import line_runs, quality
+from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality
 from catalogspark.llm.common import read
 
 
@@ -10,17 +10,47 @@ def _documents(spark, sf_dir):
     return read(spark, sf_dir, "documents")
 
 
+def word_vocabulary() -> str:
+    """Path of the public word vocabulary that the packing contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir), word_vocabulary())
+
+
 def op2(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return quality.quality_rules(docs, read(spark, sf_dir, "labels")).drop("text")
 
 
+def op3(spark, sf_dir):
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6(spark, sf_dir):
+    return jaccard_join.near_duplicates(_documents(spark, sf_dir))
+
+
+def op8(spark, sf_dir):
+    return hilbert.document_shards(_documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9(spark, sf_dir):
     done = line_runs.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_pack_sequences": op1,
     "op2_quality_rules": op2,
+    "op3_mix_sources": op3,
+    "op6_near_duplicates": op6,
+    "op8_hilbert_shards": op8,
     "op9_line_dedup": op9,
 }
