@@ -20,6 +20,56 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(
+    string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    END AS shingles
+  FROM split
+), sizes AS (
+  SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM shingled
+), single AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM shingled
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id
+  WHERE 100 * n >= 75 * (x.n_shingles + y.n_shingles - n)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, s.n_shingles, min(r.other) AS component_id
+FROM sizes s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n_shingles
+"""
+
+# The shipped factor finds all neighbours in small tables, so the counterpart is exact search.
+NEAREST = """
+WITH doubled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), sized AS (
+  SELECT vec_id, v, list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y) AS len2 FROM doubled
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda x, y: x + y)
+      / (sqrt(q.len2) * sqrt(c.len2)) AS score
+  FROM sized q JOIN sized c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE = {
+    "op6_near_duplicates": NEAR_DUPLICATES,
+    "op7_nearest_vectors": NEAREST,
     "op9_line_dedup": LINE_DEDUP,
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality
+from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality, trie_counts, vptree
 from catalogspark.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6(spark, sf_dir):
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7(spark, sf_dir):
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8(spark, sf_dir):
     return hilbert.document_shards(_documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -46,11 +50,20 @@ def op9(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = trie_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return trie_counts.token_counts(_documents(spark, sf_dir), pieces)
+
+
 QUERIES = {
     "op1_pack_sequences": op1,
     "op2_quality_rules": op2,
     "op3_mix_sources": op3,
     "op6_near_duplicates": op6,
+    "op7_nearest_vectors": op7,
     "op8_hilbert_shards": op8,
     "op9_line_dedup": op9,
+    "op10_token_counts": op10,
 }
