@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality, trie_counts, vptree
-from catalogspark.llm.common import read
+from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality, toxicity, trie_counts, vptree
+from catalogspark.llm.common import fold_of, read
 
 
 def _documents(spark, sf_dir):
@@ -30,6 +30,12 @@ def op3(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    scores = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), fold_of("doc_id", 3) != 1)
+    return scores.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6(spark, sf_dir):
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_pack_sequences": op1,
     "op2_quality_rules": op2,
     "op3_mix_sources": op3,
+    "op4_toxicity": op4,
     "op6_near_duplicates": op6,
     "op7_nearest_vectors": op7,
     "op8_hilbert_shards": op8,
