@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogspark.llm import hilbert, jaccard_join, line_runs, mixing, packing, quality, toxicity, trie_counts, vptree
+from catalogspark.llm import hilbert, jaccard_join, line_runs, maxent, mixing, packing, quality, toxicity, trie_counts, vptree
 from catalogspark.llm.common import fold_of, read
 
 
@@ -36,6 +36,10 @@ def op4(spark, sf_dir):
     return scores.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5(spark, sf_dir):
+    return maxent.language_model_scores(_documents(spark, sf_dir), fold_of("doc_id", 10) == 0)
+
+
 def op6(spark, sf_dir):
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_quality_rules": op2,
     "op3_mix_sources": op3,
     "op4_toxicity": op4,
+    "op5_language_model": op5,
     "op6_near_duplicates": op6,
     "op7_nearest_vectors": op7,
     "op8_hilbert_shards": op8,

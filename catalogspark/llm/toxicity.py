@@ -277,7 +277,7 @@ def fit(sample: DataFrame, steps: int = STEPS) -> dict | None:
         rows = rows.sort_values("text", ignore_index=True)
         return pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].to_numpy(), steps))]})
 
-    made = sample.groupBy(F.lit(0)).applyInPandas(learn, "model binary").collect()
+    made = sample.groupBy().applyInPandas(learn, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None
 
 
