@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from catalogspark.session import freeze
 
+PARTITION_LINKS = 250_000
+
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -42,7 +44,8 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
             .filter(F.col("a") != F.col("b")).distinct()
         )
-        links = freeze(small)
+        # Never more links than before: few links need few partitions (and files).
+        links = freeze(small.coalesce(1 + state[0] // PARTITION_LINKS))
         after = _state(links)
         if after == state:
             break

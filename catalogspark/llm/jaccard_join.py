@@ -5,8 +5,8 @@
    of that order which any similar partner must share is posted, with place and set size.
    Nodes of equal size and prefix tokens meet as one group entry per token.
 3. Pairs of a token's list pass the size, position and prefix-count filters, and are verified on the
-   whole sets. Long lists are not paired out: their entries are first linked to a common partner,
-   round after round, and only entries that are still in different components are paired.
+   whole sets. Long lists are not paired out: their entries are first compared with a few common
+   partners; entries that are still in different components are then compared block by block.
 4. Verified links give components over nodes, which are expanded to documents.
 
 All counts cover all documents. The frequency table that reaches the tasks holds the most frequent
@@ -39,7 +39,10 @@ FREQUENT = 8
 MAX_FREQUENT = 2_000_000
 # Lists above this length are linked to common partners before they are paired.
 LONG_LIST = 32
-HUB_ROUNDS = 4
+HUBS = 3
+# Bytes of the sets that make one block of a cluster, and tokens that are compared at once.
+BLOCK_BYTES = 1 << 20
+PART_TOKENS = 1 << 22
 # Tokens are shortened to 32 bits within a bucket; two of a document may fall together.
 SLACK = 2
 
@@ -279,17 +282,13 @@ def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
     return pa.Table.from_batches([common.batch_of(schema, [np.concatenate([x, y]) for x, y in zip(pairs, lists)])])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose whole sets are similar enough."""
-    pairs = freeze(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("want")).unionAll(pairs.select("b")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """node, hashes of the nodes in ``wanted`` (want), from one document of each."""
     one = (
-        rows.join(common.small_side(freeze(wanted)), F.col("node") == F.col("want"))
-        .groupBy("node").agg(F.min("doc_id").alias("one_doc"))
-    )
-    chosen = _texts(docs).join(
-        common.small_side(freeze(one.select("one_doc").distinct())), F.col("doc_id") == F.col("one_doc"), "left_semi"
+        rows.join(wanted, F.col("node") == F.col("want"), "left_semi")
+        .groupBy("node").agg(F.min("doc_id").alias("one_doc")).select("one_doc").distinct()
     )
+    chosen = _texts(docs).join(common.small_side(freeze(one)), F.col("doc_id") == F.col("one_doc"), "left_semi")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def sets(stream):
@@ -297,7 +296,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> Dat
             found = [h for h in shingle_sets(common.filled(batch.column(1)), n) if len(h)]
             yield common.batch_of(schema, [[node_of(h) for h in found], [h.tobytes() for h in found]])
 
-    sets_ = chosen.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"])
+    return chosen.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole sets are similar enough."""
+    pairs = freeze(pairs.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("want")).unionAll(pairs.select("b")).distinct()
+    sets_ = _sets(wanted, docs, rows, n)
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(stream):
@@ -322,9 +328,8 @@ def _named(links: DataFrame) -> DataFrame:
 
 def _with_component(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """Long-list entries with the component of their node so far."""
-    small = common.small_side(parts.select(F.col("node").alias("of"), "component"))
-    return lists.join(small, F.col("node") == F.col("of"), "left").select(
-        "token", "node", "size", "place", F.coalesce("component", "node").alias("component")
+    return lists.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
+        "token", "node", "size", F.coalesce("component", "node").alias("component")
     )
 
 
@@ -336,34 +341,86 @@ def _column_filter(size_a, size_b, place_a, place_b):
     )
 
 
-def _hub_pairs(entries: DataFrame, number: int) -> DataFrame:
-    """Each long-list entry with one partner of its list: the smallest by a hash that changes by round."""
-    order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "size", "place", "component")
-    hubs = entries.groupBy("token").agg(F.min(order).alias("hub")).select(
-        F.col("token").alias("at"), F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"),
-        F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component"),
-    )
-    met = entries.join(common.small_side(freeze(hubs)), F.col("token") == F.col("at")).filter(
-        (F.col("component") != F.col("hub_component")) & _column_filter("size", "hub_size", "place", "hub_place")
-    )
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
+def _hub_pairs(entries: DataFrame) -> DataFrame:
+    """Each long-list entry with HUBS partners of its list: the smallest by hashes that differ by hub."""
+    def order(number):
+        return F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "size", "place")
 
-def _crossing_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of a list that lie in different components."""
-    other = entries.select(*[F.col(c).alias(f"{c}_b") for c in entries.columns])
-    met = entries.join(other, F.col("token") == F.col("token_b")).filter(
-        (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
-        & _column_filter("size", "size_b", "place", "place_b")
+    hubs = entries.groupBy("token").agg(F.array(*[F.min(order(i)) for i in range(HUBS)]).alias("hubs")).select(
+        F.col("token").alias("at"), F.explode(F.array_distinct("hubs")).alias("hub")
+    ).select("at", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.place").alias("hub_place"))
+    met = entries.join(hubs, F.col("token") == F.col("at")).filter(
+        (F.col("node") != F.col("hub")) & _column_filter("size", "hub_size", "place", "hub_place")
     )
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _mixed_lists(entries: DataFrame) -> DataFrame:
     """Entries of lists that still hold several components."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.filter(F.col("low") != F.col("high")).select(F.col("token").alias("at"))
-    return entries.join(common.small_side(freeze(mixed)), F.col("token") == F.col("at"), "left_semi")
+    return entries.join(mixed, F.col("token") == F.col("at"), "left_semi")
+
+
+def _crossing_links(entries: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Links that join different components among nodes that share long lists.
+
+    Nodes that lists connect form a cluster. A cluster is cut into blocks of bounded bytes; a task
+    gets the sets of two blocks, compares what is still unconnected, and returns no more links than it has
+    nodes. So pairs are never rows, and no cluster is held whole.
+    """
+    first = entries.groupBy("token").agg(F.min("node").alias("lead")).withColumnRenamed("token", "at")
+    shared = entries.join(first, F.col("token") == F.col("at")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    clusters = components(shared).withColumnRenamed("node", "of").withColumnRenamed("component", "cluster")
+    nodes = entries.select("node", "size", "component").distinct().join(clusters, F.col("node") == F.col("of")).drop("of")
+    nodes = freeze(nodes)
+    parts = nodes.groupBy(F.col("cluster").alias("in")).agg((1 + F.expr(f"sum(size) * 8 div {BLOCK_BYTES}")).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = nodes.join(parts, F.col("cluster") == F.col("in")).withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
+    sets_ = _sets(nodes.select(F.col("node").alias("want")), docs, rows, n).withColumnRenamed("node", "of")
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return freeze(
+        placed.join(sets_, F.col("node") == F.col("of")).drop("of")
+        .groupBy("cluster", "low", "high").applyInArrow(lambda table: _block_links(table, links), "a bigint, b bigint")
+    )
+
+
+def _block_links(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Links between components within the sets of one or two blocks."""
+    nodes, label, block = (table[c].to_numpy().copy() for c in ("node", "component", "block"))
+    order = np.argsort(nodes)
+    hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table["hashes"]]
+    hashes = [hashes[i] for i in order]
+    nodes, label, block = nodes[order], label[order], block[order]
+    size = np.array([len(h) for h in hashes])
+    distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    starts = np.cumsum(size) - size
+    marked = np.zeros(len(distinct), np.int32)
+    two = block.min() != block.max()
+    found = []
+    for a in range(len(nodes)):
+        other = (label != label[a]) & (DEN * np.minimum(size, size[a]) >= NUM * np.maximum(size, size[a]))
+        other[:a + 1] = False
+        if two:
+            # Pairs within a block are compared where the block meets itself.
+            other &= block != block[a]
+        b = np.flatnonzero(other)
+        if not len(b):
+            continue
+        own = number[starts[a]:starts[a] + size[a]]
+        marked[own] = 1
+        for part in np.array_split(b, 1 + int(size[b].sum()) // PART_TOKENS):
+            at = np.arange(size[part].sum()) + np.repeat(starts[part] - np.cumsum(size[part]) + size[part], size[part])
+            same = np.add.reduceat(marked[number[at]], np.cumsum(size[part]) - size[part])
+            linked = part[DEN * same >= NUM * (size[a] + size[part] - same)]
+            for i in linked:
+                if label[i] != label[a]:
+                    found.append((nodes[a], nodes[i]))
+                    label[label == label[i]] = label[a]
+        marked[own] = 0
+    return pa.Table.from_batches([common.batch_of(schema, list(zip(*found)) or [[], []])])
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, long_list: int = LONG_LIST) -> DataFrame:
@@ -391,24 +448,23 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, long_list: int = LONG_LIST)
     rest = F.greatest(*[F.expr(f"({NUM} * {s} + {DEN - 1}) div {DEN} - 1") for s in ("size_a", "size_b")])
     possible = F.col("n") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) + rest + SLACK
     least = F.expr(f"({NUM} * (size_a + size_b) + {NUM + DEN - 1}) div {NUM + DEN}")
-    links = _verified(pairs.filter(possible >= least), docs, known, n)
+    tried = pairs.filter(possible >= least).select("a", "b")
+    has_lists = not lists.isEmpty()
+    if has_lists:
+        tried = tried.unionAll(_hub_pairs(lists)).distinct()
+    links = _verified(tried, docs, known, n)
     parts = _named(links)
-    if not lists.isEmpty():
+    if has_lists:
         entries = freeze(_mixed_lists(_with_component(lists, parts)))
-        for number in range(HUB_ROUNDS + 1):
-            if entries.isEmpty():
-                break
-            tried = _hub_pairs(entries, number) if number < HUB_ROUNDS else _crossing_pairs(entries)
-            found = _verified(tried, docs, known, n)
-            links = freeze(links.unionAll(found))
+        if not entries.isEmpty():
+            links = links.unionAll(_crossing_links(entries, docs, known, n))
             parts = _named(links)
-            entries = freeze(_mixed_lists(_with_component(lists, parts)))
     return _expanded(rows, known, parts)
 
 
 def _expanded(rows: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
     """Component ids of documents: the smallest doc_id of all nodes in a component."""
-    named = common.small_side(parts.withColumnRenamed("node", "of"))
+    named = parts.withColumnRenamed("node", "of")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("low_doc"))
     joined = nodes.join(named, F.col("node") == F.col("of"), "left").select(
         "node", "low_doc", F.coalesce("component", "node").alias("component")
