@@ -27,8 +27,8 @@ ITERATIONS = 30
 TOLERANCE = 1e-9
 # Documents of a source and slice of the random order that one window task may sort, on average.
 SLICE_ROWS = 50_000
-# Single documents that may still fill the gap that whole documents leave, per source.
-FILL_ROUNDS = 6
+# Rows of a table of sources that one partition holds (and that may be broadcast).
+PARTITION_SOURCES = 250_000
 
 
 def size_of(text: Column) -> Column:
@@ -76,11 +76,14 @@ def tilts(classes: DataFrame, targets: DataFrame, cap: int = MAX_RATE) -> DataFr
     state = freeze(
         targets.select("source", "target", "source_size").withColumn("lambda", F.lit(0.0)).withColumn("error", F.lit(1.0))
     )
+    sources = state.count()
+    parts = 1 + sources // PARTITION_SOURCES
+    shared = F.broadcast if sources <= PARTITION_SOURCES else (lambda df: df)
+    classes = classes.withColumnRenamed("source", "of")
     for _ in range(ITERATIONS):
-        rate = F.exp(F.col("lambda"))
-        tokens = F.col("size") * F.col("n") * rate
+        tokens = F.col("size") * F.col("n") * F.exp(F.col("lambda"))
         sums = (
-            classes.withColumnRenamed("source", "of").join(small_side(state), F.col("of").eqNullSafe(F.col("source")))
+            classes.join(shared(state), F.col("of").eqNullSafe(F.col("source")))
             .groupBy("source", "target", "source_size", "lambda")
             .agg(F.sum(tokens).alias("reached"), F.sum(tokens).alias("curvature"))
         )
@@ -91,7 +94,7 @@ def tilts(classes: DataFrame, targets: DataFrame, cap: int = MAX_RATE) -> DataFr
             "source", "target", "source_size",
             (F.col("lambda") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))).alias("lambda"),
             F.when(wanted, F.abs(F.col("reached") / F.col("target") - 1)).otherwise(F.lit(0.0)).alias("error"),
-        ))
+        ).coalesce(parts))
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
@@ -156,38 +159,34 @@ def _prefix(rows: DataFrame) -> DataFrame:
 
 
 def _fill(rows: DataFrame) -> DataFrame:
-    """Pick single documents that still fit what is missing: the largest first, a few times."""
-    state = (
-        rows.groupBy("source").agg(
-            F.max("short").alias("short"), F.coalesce(F.sum(F.when(F.col("picked"), F.col("size"))), F.lit(0)).alias("got")
-        ).withColumn("gap", F.col("short") - F.col("got")).select(F.col("source").alias("of"), "gap")
+    """Pick single documents more, for what is missing after whole slices.
+
+    Of each source's open documents, the smallest and the largest of every size class (powers of two)
+    that fit at all are candidates; from the largest on, each that fits what is left is taken.
+    """
+    picked = F.sum(F.when(F.col("picked"), F.col("size")).otherwise(F.lit(0)))
+    gaps = rows.groupBy("source").agg((F.max("short") - picked).alias("gap")).withColumnRenamed("source", "of")
+    open_ = rows.filter(~F.col("picked") & (F.col("size") > 0) & F.col("doc_id").isNotNull()).join(
+        small_side(freeze(gaps)), F.col("source").eqNullSafe(F.col("of"))
+    ).filter(F.col("size") <= F.col("gap"))
+    one = F.struct("size", "doc_id")
+    classes = open_.groupBy("of", "gap", F.floor(F.log2("size")).alias("class")).agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    ends = classes.groupBy("of", "gap").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    tried = F.sort_array(F.array_union("lows", "highs"), asc=False)
+    start = F.struct(F.col("gap").cast("double").alias("left"), F.slice("lows", 1, 0).alias("taken"))
+    taken = F.aggregate(
+        tried, start,
+        lambda state, doc: F.when(
+            doc["size"] <= state["left"],
+            F.struct((state["left"] - doc["size"]).alias("left"), F.concat(state["taken"], F.array(doc)).alias("taken")),
+        ).otherwise(state),
+        lambda state: state["taken"],
     )
-    state = freeze(state)
-    chosen = None
-    for _ in range(FILL_ROUNDS):
-        open_ = rows.filter(~F.col("picked") & (F.col("size") > 0) & F.col("doc_id").isNotNull()).join(
-            small_side(state), F.col("source").eqNullSafe(F.col("of"))
-        )
-        if chosen is not None:
-            open_ = open_.join(small_side(chosen.select(F.col("doc_id").alias("had"))), F.col("doc_id") == F.col("had"), "left_anti")
-        best = open_.filter(F.col("size") <= F.col("gap")).groupBy("of", "gap").agg(
-            F.max(F.struct("size", "doc_id")).alias("best")
-        )
-        found = freeze(best.select("of", F.col("best.doc_id").alias("doc_id"), F.col("best.size").alias("size")))
-        if found.isEmpty():
-            break
-        chosen = found if chosen is None else freeze(chosen.unionByName(found))
-        less = found.select(F.col("of").alias("at"), F.col("size").alias("used"))
-        state = freeze(
-            state.join(less, F.col("of").eqNullSafe(F.col("at")), "left")
-            .select("of", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-        )
-    if chosen is None:
-        return rows
-    # A repeated id is picked in one of its rows only.
-    also = small_side(chosen.select(F.col("doc_id").alias("had"), F.col("of").alias("from"), F.col("size").alias("of_size")))
+    more = freeze(ends.select("of", F.explode(taken).alias("doc")).select(
+        F.col("of").alias("from"), F.col("doc.doc_id").alias("had"), F.col("doc.size").alias("of_size")
+    ))
     same = (F.col("doc_id") == F.col("had")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("of_size")) & ~F.col("picked")
-    marked = rows.join(also, same, "left")
+    marked = rows.join(small_side(more), same, "left")
     return marked.withColumn("picked", F.col("picked") | F.col("had").isNotNull()).drop("had", "from", "of_size")
 
 
@@ -199,11 +198,12 @@ def apply_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     names = [unused(docs, n) for n in ("mix_doc", "mix_source", "mix_size", "mix_copies")]
     plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies")).toDF(*names)
     size = unused(docs, "own_size")
+    plan = freeze(plan.filter(F.col(names[3]) > 0))
     same = (
         F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1]))
         & (F.col(size) == F.col(names[2]))
     )
-    joined = docs.withColumn(size, size_of(F.col("text"))).join(small_side(plan.filter(F.col(names[3]) > 0)), same)
+    joined = docs.withColumn(size, size_of(F.col("text"))).join(small_side(plan), same)
     copy = unused(joined, "copy")
     times = F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int")))
     return joined.withColumn(copy, times).select(*[F.col(f"`{c}`") for c in docs.columns])
