@@ -227,17 +227,19 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(post, "bucket int, tokens binary, nodes binary, sizes binary, places binary")
 
 
-def _possible(size_a, size_b, place_a, place_b):
-    """Size and position filters on arrays."""
-    left = 1 + np.minimum(size_a - place_a, size_b - place_b) - 1
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (DEN * small >= NUM * large) & (left + SLACK >= _needed(size_a, size_b))
+def _early(size_a, size_b, place_a, place_b):
+    """Position filter on arrays: whether a common token at these places may be the first of a similar pair.
+
+    The tokens after it must still suffice. It says nothing of later common tokens, so those of a pair
+    are counted whatever their places.
+    """
+    return np.minimum(size_a - place_a, size_b - place_b) + SLACK >= _needed(size_a, size_b)
 
 
 def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
-    """Rows of a bucket: filtered pairs with counts (kind 0), and the entries of long lists (kind 1)."""
+    """Rows of a bucket: pairs with counts of common tokens (kind 0), and the entries of long lists (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()),
-                        ("size_b", pa.int64()), ("n", pa.int64())])
+                        ("size_b", pa.int64()), ("n", pa.int64()), ("early", pa.int32())])
 
     def column(name, kind):
         return np.frombuffer(b"".join(table[name].to_pylist()), kind)
@@ -263,22 +265,24 @@ def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
     for step in range(1, min(long_list, int(lengths.max(initial=1)))):
         a = np.flatnonzero((run[step:] == run[:-step]) & (length[step:] <= long_list))
         b = a + step
-        ok = _possible(sizes[a], sizes[b], places[a], places[b])
+        ok = DEN * np.minimum(sizes[a], sizes[b]) >= NUM * np.maximum(sizes[a], sizes[b])
         found.append((a[ok], b[ok]))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, int)
     b = np.concatenate([x for _, x in found]) if found else np.zeros(0, int)
+    early = _early(sizes[a], sizes[b], places[a], places[b])
     swap = nodes[a] > nodes[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     order = np.lexsort((nodes[b], nodes[a]))
-    a, b = a[order], b[order]
+    a, b, early = a[order], b[order], early[order]
     head = np.ones(len(a), bool)
     head[1:] = (nodes[a][1:] != nodes[a][:-1]) | (nodes[b][1:] != nodes[b][:-1])
     at = np.flatnonzero(head)
     counts = np.diff(np.append(at, len(a)))
-    pairs = [np.zeros(len(at), int), nodes[a[at]], nodes[b[at]], sizes[a[at]], sizes[b[at]], counts]
+    soonest = np.maximum.reduceat(early.astype(int), at) if len(at) else at
+    pairs = [np.zeros(len(at), int), nodes[a[at]], nodes[b[at]], sizes[a[at]], sizes[b[at]], counts, soonest]
     held = np.flatnonzero(length > long_list)
     bucket = table["bucket"][0].as_py()
-    lists = [np.ones(len(held), int), tokens[held].astype(np.int64) | (bucket << 32), nodes[held], sizes[held], sizes[held], places[held]]
+    lists = [np.ones(len(held), int), tokens[held].astype(np.int64) | (bucket << 32), nodes[held], sizes[held], sizes[held], places[held], np.zeros(len(held), int)]
     return pa.Table.from_batches([common.batch_of(schema, [np.concatenate([x, y]) for x, y in zip(pairs, lists)])])
 
 
@@ -434,21 +438,23 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, long_list: int = LONG_LIST)
     posted = postings(linkable, bits, frequent, n)
     met = freeze(posted.groupBy("bucket").applyInArrow(
         lambda table: _list_pairs(table, long_list),
-        "kind int, a bigint, b bigint, size_a bigint, size_b bigint, n bigint",
+        "kind int, a bigint, b bigint, size_a bigint, size_b bigint, n bigint, early int",
     ))
     lists = met.filter("kind = 1").select(
         F.col("a").alias("token"), F.col("b").alias("node"), F.col("size_a").alias("size"), F.col("n").alias("place")
     )
     # Tokens of a node in long lists are not counted pair by pair: they may all be common.
     in_long = common.small_side(freeze(lists.groupBy("node").agg(F.count(F.lit(1)).alias("n_long"))))
-    pairs = met.filter("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    pairs = met.filter("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("early").alias("early"))
     for side in ("a", "b"):
         more = in_long.select(F.col("node").alias(f"of_{side}"), F.col("n_long").alias(f"long_{side}"))
         pairs = pairs.join(more, F.col(side) == F.col(f"of_{side}"), "left")
     rest = F.greatest(*[F.expr(f"({NUM} * {s} + {DEN - 1}) div {DEN} - 1") for s in ("size_a", "size_b")])
     possible = F.col("n") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) + rest + SLACK
     least = F.expr(f"({NUM} * (size_a + size_b) + {NUM + DEN - 1}) div {NUM + DEN}")
-    tried = pairs.filter(possible >= least).select("a", "b")
+    # The first common token may also stand in a long list.
+    in_both = F.col("long_a").isNotNull() & F.col("long_b").isNotNull()
+    tried = pairs.filter((possible >= least) & ((F.col("early") == 1) | in_both)).select("a", "b")
     has_lists = not lists.isEmpty()
     if has_lists:
         tried = tried.unionAll(_hub_pairs(lists)).distinct()

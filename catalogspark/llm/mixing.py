@@ -5,7 +5,8 @@ ones of least relative entropy are exponential tilts, ``rate = exp(lambda[source
 ``MAX_RATE``; the lambdas solve a convex dual. Newton's method finds them: an iteration aggregates
 gradient and curvature of the dual over the (source, size) classes of documents and takes one
 step for every source. The rates are then rounded into copies of whole documents: all get the whole
-part, and in a random but fixed order documents get one copy more until the fraction of the source is reached.
+part, and in a random but fixed order documents get one copy more until the fraction of the source is reached;
+a small reserve of documents of all sizes then settles what is still open.
 
 Only DataFrame functions are used. Defined results: a null text has size 0; a null source is a source
 of its own, last in order; a source without tokens has target 0 and takes nothing; repeated rows
@@ -110,8 +111,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_RATE, slice_ro
     ))
     classes = freeze(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rated = small_side(tilts(classes, source_targets(per_source, weights, cap), cap))
-    rated = rated.withColumnRenamed("source", "of")
+    rated = tilts(classes, source_targets(per_source, weights, cap), cap)
+    parts = 1 + rated.count() // PARTITION_SOURCES
+    rated = small_side(rated).withColumnRenamed("source", "of")
     rows = classes.agg(F.sum("n")).first()[0] or 0
     slices = max(64, 1 << int(rows // slice_rows).bit_length())
     # A fixed random order of documents: by a hash of the id, cut into slices of a power of two.
@@ -124,8 +126,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_RATE, slice_ro
     extra = placed.withColumn("copies", whole).withColumn(
         "short", F.col("target") - whole * F.col("source_size")
     )
-    chosen = _prefix(extra)
-    filled = _fill(freeze(chosen))
+    marked = _with_reserve(extra, parts)
+    chosen = _prefix(marked.filter(~F.col("reserved"))).unionByName(
+        marked.filter("reserved").withColumn("picked", F.lit(False))
+    )
+    filled = _fill(freeze(chosen), parts)
     copies = (F.col("copies") + F.col("picked").cast("bigint")).cast("bigint")
     return filled.select(
         "doc_id", "source", "size", "source_size", "target", "rate",
@@ -158,35 +163,47 @@ def _prefix(rows: DataFrame) -> DataFrame:
     return placed.filter(~border).select(*keep, inside.alias("picked")).unionByName(last)
 
 
-def _fill(rows: DataFrame) -> DataFrame:
-    """Pick single documents more, for what is missing after whole slices.
+def _same_document() -> Column:
+    return (F.col("doc_id") == F.col("had")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("of_size"))
+
 
-    Of each source's open documents, the smallest and the largest of every size class (powers of two)
-    that fit at all are candidates; from the largest on, each that fits what is left is taken.
+def _with_reserve(rows: DataFrame, parts: int) -> DataFrame:
+    """Add ``reserved``: one document of every size class (four per doubling) of each source.
+
+    The reserve settles what whole slices leave open; it is small next to a large source.
     """
+    usable = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
+    first = usable.groupBy("source", F.floor(4 * F.log2("size")).alias("class")).agg(
+        F.min(F.struct("draw", "doc_id", "size")).alias("doc")
+    )
+    reserve = freeze(first.select(
+        F.col("source").alias("from"), F.col("doc.doc_id").alias("had"), F.col("doc.size").alias("of_size")
+    ).coalesce(parts))
+    joined = rows.join(small_side(reserve), _same_document(), "left")
+    return joined.withColumn("reserved", F.col("had").isNotNull()).drop("had", "from", "of_size")
+
+
+def _fill(rows: DataFrame, parts: int) -> DataFrame:
+    """Pick documents of the reserve: from the largest on, each that fits what its source still misses."""
     picked = F.sum(F.when(F.col("picked"), F.col("size")).otherwise(F.lit(0)))
     gaps = rows.groupBy("source").agg((F.max("short") - picked).alias("gap")).withColumnRenamed("source", "of")
-    open_ = rows.filter(~F.col("picked") & (F.col("size") > 0) & F.col("doc_id").isNotNull()).join(
-        small_side(freeze(gaps)), F.col("source").eqNullSafe(F.col("of"))
-    ).filter(F.col("size") <= F.col("gap"))
-    one = F.struct("size", "doc_id")
-    classes = open_.groupBy("of", "gap", F.floor(F.log2("size")).alias("class")).agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    ends = classes.groupBy("of", "gap").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    tried = F.sort_array(F.array_union("lows", "highs"), asc=False)
-    start = F.struct(F.col("gap").cast("double").alias("left"), F.slice("lows", 1, 0).alias("taken"))
+    # Repeated rows of a document are picked together, so their sizes add up.
+    held = rows.filter("reserved").groupBy("source", "doc_id", "size").agg(F.sum("size").alias("mass"))
+    lists = held.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("mass", "doc_id", "size")), asc=False).alias("docs"))
+    lists = lists.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    start = F.struct(F.col("gap").cast("double").alias("left"), F.slice("docs", 1, 0).alias("taken"))
     taken = F.aggregate(
-        tried, start,
+        "docs", start,
         lambda state, doc: F.when(
-            doc["size"] <= state["left"],
-            F.struct((state["left"] - doc["size"]).alias("left"), F.concat(state["taken"], F.array(doc)).alias("taken")),
+            doc["mass"] <= state["left"],
+            F.struct((state["left"] - doc["mass"]).alias("left"), F.concat(state["taken"], F.array(doc)).alias("taken")),
         ).otherwise(state),
         lambda state: state["taken"],
     )
-    more = freeze(ends.select("of", F.explode(taken).alias("doc")).select(
-        F.col("of").alias("from"), F.col("doc.doc_id").alias("had"), F.col("doc.size").alias("of_size")
-    ))
-    same = (F.col("doc_id") == F.col("had")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("of_size")) & ~F.col("picked")
-    marked = rows.join(small_side(more), same, "left")
+    more = freeze(lists.select("source", F.explode(taken).alias("doc")).select(
+        F.col("source").alias("from"), F.col("doc.doc_id").alias("had"), F.col("doc.size").alias("of_size")
+    ).coalesce(parts))
+    marked = rows.join(small_side(more), _same_document(), "left")
     return marked.withColumn("picked", F.col("picked") | F.col("had").isNotNull()).drop("had", "from", "of_size")
 
 
