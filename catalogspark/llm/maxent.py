@@ -7,9 +7,9 @@ the sum of weights of hashed features: the last word, the last two words togethe
 or two words, the endings of those before. The second factor is the smoothed share of the word among
 the training tokens of its class, with one place per class for words never seen in training.
 
-Training: in every round each task starts from the shared weights, walks its training texts in small
-batches with gradient steps, and hands back its weights with the number of its tokens; the weighted
-mean is the start of the next round. All sums have a fixed size. Word counts of all training texts
+Training: every training text has a turn in one of ``ROUNDS`` rounds. In a round each task starts from the
+shared weights, walks the texts in turn in small batches with gradient steps, and hands back its weights with
+the number of its tokens; the weighted mean is the start of the next round. All sums have a fixed size. Word counts of all training texts
 are gathered by hash bucket. Scoring works on whole batches of tokens at once.
 
 Rare words are counted where they meet: scoring sends every token that is not among the most frequent
@@ -34,8 +34,10 @@ CLASSES = 32
 ROWS = 1 << 13
 FEATURES = 4
 ROUNDS = 2
-BATCH = 4096
-RATE = 0.3
+BATCH = 1024
+RATE = 0.1
+# Tokens that are scored at once.
+SCORED = 1 << 14
 SMOOTHING = 0.1
 
 COMMON = 1 << 16
@@ -219,7 +221,7 @@ def counts(rows: DataFrame, bits: int):
 
 
 def trained(rows: DataFrame, level: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and class levels after ``rounds`` rounds over all training texts."""
+    """Weights and class levels after ``rounds`` rounds that take every training text once."""
     spark = rows.sparkSession
     weights = np.zeros((FEATURES * ROWS, CLASSES), np.float32)
     schema = pa.schema([("part", pa.int32()), ("team", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
@@ -228,11 +230,9 @@ def trained(rows: DataFrame, level: np.ndarray, rounds: int = ROUNDS) -> tuple[n
     def task(stream, shared):
         learner = Learner(*shared.value)
         for batch in stream:
-            train = _flags(batch.column(2))
-            for first, last, data, offsets in common.pieces(common.filled(batch.column(1))):
-                token, kind, tail, row, place = tokens_of(data, offsets)
-                used = train[first:last][row]
-                learner.learn(features_of(token, tail, place)[used], kind[used])
+            for _, _, data, offsets in common.pieces(common.filled(batch.column(1))):
+                token, kind, tail, _, place = tokens_of(data, offsets)
+                learner.learn(features_of(token, tail, place), kind)
         if learner.tokens:
             # What changed, times the tokens behind it: sums of these give weighted means.
             change = (learner.weights - shared.value[0]) * np.float32(learner.tokens)
@@ -250,9 +250,10 @@ def trained(rows: DataFrame, level: np.ndarray, rounds: int = ROUNDS) -> tuple[n
             [table["part"][0].as_py()], [0], [n], [total.astype(np.float32).tobytes()],
         ])])
 
-    for _ in range(rounds):
+    for number in range(rounds):
         shared = spark.sparkContext.broadcast((weights, level))
-        changes = rows.mapInArrow(lambda stream, s=shared: task(stream, s), types)
+        turn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(rounds)) == number
+        changes = rows.filter(F.col("train") & turn).mapInArrow(lambda stream, s=shared: task(stream, s), types)
         added = changes.groupBy("part", "team").applyInArrow(add, types).groupBy("part").applyInArrow(add, types)
         weights, level = weights.copy(), level.copy()
         for part in added.collect():  # as many bytes as the weights have
@@ -297,8 +298,8 @@ def language_model_scores(docs: DataFrame, held_out: Column, rounds: int = ROUND
                 size = last - first
                 features = features_of(token, tail, place)
                 chosen = np.empty(len(token))
-                for i in range(0, len(token), 4 * BATCH):
-                    part = slice(i, i + 4 * BATCH)
+                for i in range(0, len(token), SCORED):
+                    part = slice(i, i + SCORED)
                     found = log_softmax(weights, level, features[part])
                     chosen[part] = found[np.arange(len(found)), kind[part]]
                 terms = chosen / np.log(10) - class_terms[kind]

@@ -27,7 +27,7 @@ from catalogspark.llm import common
 from catalogspark.session import freeze
 
 NEIGHBOURS = 5
-FACTOR = 0.25
+FACTOR = 0.5
 PIVOTS = 32
 PIVOT_SAMPLE = 20_000
 SHARD_ROWS = 8192
