@@ -134,7 +134,8 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-keys")
-    line_keys(docs, batches, min_chars).write.partitionBy("batch").parquet(path)
+    # One file per task; its rows come sorted by batch, so a batch reads its own pages.
+    line_keys(docs, batches, min_chars).sortWithinPartitions("batch").write.parquet(path)
     keys = spark.read.schema(f"doc_id bigint, {_KEYS}, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
     for batch in range(batches):
