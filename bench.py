@@ -6,6 +6,7 @@ stored tables, as jobs on a cluster would. Each value is the best of BENCH_RUNS
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,7 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="catalogspark-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -20,9 +20,9 @@ URI_RESERVED = {
 class LinkTargets:
     """Where records, their mirror and their text renditions live."""
 
-    base: str = "https://huggingface.co/datasets"
-    primary_host: str = "huggingface.co"
-    mirror_host: str = "hf-mirror.com"
+    base: str = "https://files.example.org/datasets"
+    primary_host: str = "files.example.org"
+    mirror_host: str = "mirror.example.org"
     text_base: str = "https://text.example.org/txt"
 
 

@@ -67,8 +67,13 @@ def corpus_metadata(cube: DataFrame) -> DataFrame:
         entry("extension", none, ext, "count"), entry("extension_by_repo", repo, ext, "count")
     )
     entries = F.when(ext == "", always).otherwise(F.concat(always, named))
+    # An empty catalog has a total and a text count as well: 0.
+    zero = F.lit(0).cast("bigint").alias("n")
+    least = cube.sparkSession.range(1).select(
+        F.explode(F.array(F.lit("total"), F.lit("text"))).alias("facet"), none.alias("repo"), none.alias("name"), zero
+    )
     return (
-        cube.select(F.explode(entries).alias("e")).select("e.*")
+        cube.select(F.explode(entries).alias("e")).select("e.*").unionAll(least)
         .groupBy("facet", "repo", "name")
         .agg(F.sum("n").alias("count"))
         .filter("count > 0 OR repo IS NULL")

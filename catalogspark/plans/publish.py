@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalogspark.functions.links import encode_component
 from catalogspark.operators.catalog import with_record_id
 from catalogspark.operators.facets import by_name, corpus_metadata, facet_cube, repo_facet
 from catalogspark.operators.index import postings, vocabulary
@@ -13,6 +12,7 @@ from catalogspark.operators.ranking import (
 )
 from catalogspark.operators.tree import folder_counts, folder_tree, root_entries
 from catalogspark.plans.search import SearchIndex
+from catalogspark.session import freeze
 
 # Rows and version of a first page.
 FIRST_PAGE_ROWS = 100
@@ -21,9 +21,6 @@ FIRST_PAGE_VERSION = 2
 # Longest list put into one published document; longer ones continue in further parts.
 PART_ENTRIES = 10_000
 
-# Consecutive records that are stored together.
-ORD_RUN = 1 << 16
-
 
 def with_browse_ranks(catalog: DataFrame) -> DataFrame:
     """Add 1-based corpus_rank, name_rank and size_rank, over everything and within each repo."""
@@ -56,50 +53,102 @@ def browse(ranked: DataFrame, sort: str = "relevance", repo: str = "", page: int
     return rows.filter(F.col(column).between(first + 1, first + page_size)).orderBy(column)
 
 
+def browse_entries(ranked: DataFrame) -> DataFrame:
+    """Slim table of the prepared orders: listing, repo (empty: all), rank, ord."""
+    entries = [
+        F.struct(
+            F.lit(sort).alias("listing"), (F.col("repo") if own else F.lit("")).alias("repo"),
+            F.col(("repo_" if own else "") + column).alias("rank"), F.lit(own).alias("own"), F.col("ord"),
+        )
+        for sort, column in (("relevance", "corpus_rank"), *BROWSE_RANKS.items()) for own in (False, True)
+    ]
+    # A repo may have the empty name, so the kind of listing is part of its name.
+    named = F.transform(F.array(*entries), lambda e: F.struct(
+        F.concat(F.when(e["own"], F.lit("repo_")).otherwise(F.lit("")), e["listing"]).alias("listing"),
+        e["repo"].alias("repo"), e["rank"].alias("rank"), e["ord"].alias("ord"),
+    ))
+    return ranked.select(F.explode(named).alias("e")).select("e.*")
+
+
+def browse_page(stored: DataFrame, entries: DataFrame, sort: str = "relevance", repo: str = "", page: int = 1, page_size: int = 100):
+    """One page of a prepared order, through the slim table.
+
+    Both tables are stored by range: the page's ords come from few files of ``entries``, and the
+    records of those ords (MAX_PAGE_SIZE at most) from the files of ``stored`` that hold them.
+    """
+    page = max(1, page or 1)
+    page_size = max(1, min(MAX_PAGE_SIZE, page_size or DEFAULT_PAGE_SIZE))
+    first = (page - 1) * page_size
+    listing = ("repo_" if repo else "") + (sort if sort in BROWSE_RANKS else "relevance")
+    wanted = entries.filter(
+        (F.col("listing") == listing) & (F.col("repo") == repo) & F.col("rank").between(first + 1, first + page_size)
+    )
+    ords = [r["ord"] for r in wanted.select("ord").collect()]
+    column = ("repo_" if repo else "") + BROWSE_RANKS.get(sort, "corpus_rank")
+    return stored.filter(F.col("ord").isin(ords)).orderBy(column)
+
+
 def publish(catalog: DataFrame, root: str, generation: int) -> None:
-    """Write all tables of one generation; the facets table comes last and marks it complete.
+    """Write all tables of one generation; a row in ``complete``, written last, makes it visible.
 
     Rows are clustered by the columns that queries select on, so Parquet statistics
     prune; ord is part of each range key, so hot tokens and repos split over files.
+    A generation is never written twice: its folders must not exist.
     """
 
     def path(table: str) -> str:
         return f"{root}/{table}/generation={generation}"
 
     def write(df: DataFrame, table: str, *order: str) -> None:
-        df.sortWithinPartitions(*order).write.mode("overwrite").parquet(path(table))
+        df.sortWithinPartitions(*order).write.parquet(path(table))
 
     def by_range(df: DataFrame, table: str, *order: str) -> None:
         write(df.repartitionByRange(*order), table, *order)
 
     spark = catalog.sparkSession
-    # Runs of ords go to the same file without the sampling pass of a range partitioning.
-    run = F.col("ord") - F.pmod("ord", F.lit(ORD_RUN))
-    write(with_browse_ranks(with_record_id(catalog)).repartition(run), "catalog", "ord")
+    # Files hold disjoint ranges of ords, so a list of ords opens few of them.
+    ranked = freeze(with_browse_ranks(with_record_id(catalog)))
+    by_range(ranked, "catalog", "ord")
     stored = spark.read.parquet(path("catalog"))
+    by_range(browse_entries(stored), "browse", "listing", "repo", "rank")
     by_range(postings(stored), "postings", "scope", "token", "ord")
     by_range(vocabulary(spark.read.parquet(path("postings"))), "vocab", "scope", "token")
     by_range(folder_tree(folder_counts(stored)), "folder_nodes", "repo", "path")
-    corpus_metadata(facet_cube(stored)).write.mode("overwrite").parquet(path("facets"))
+    corpus_metadata(facet_cube(stored)).write.parquet(path("facets"))
+    _mark(spark, path("complete"))
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    """One row below ``path``; fails if the path exists."""
+    spark.range(1).coalesce(1).write.parquet(path)
 
 
 def replace_corpus(catalog: DataFrame, root: str) -> int:
-    """Publish a corpus as the next generation and return its number."""
+    """Publish a corpus as the next generation and return its number.
+
+    A number is claimed before anything is written, so a crashed attempt is skipped by the next one
+    and of two writers that want the same number one fails.
+    """
     spark = catalog.sparkSession
-    generation = latest_generation(spark, root) + 1
+    generation = _highest(spark, f"{root}/claimed") + 1
+    _mark(spark, f"{root}/claimed/generation={generation}")
     publish(catalog, root, generation)
     return generation
 
 
-def latest_generation(spark: SparkSession, root: str) -> int:
-    """Number of the newest complete generation; 0 when there is none."""
+def _highest(spark: SparkSession, path: str) -> int:
     try:
-        facets = spark.read.parquet(f"{root}/facets")
+        marks = spark.read.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return 0
         raise
-    return facets.agg(F.max("generation")).first()[0] or 0
+    return marks.agg(F.max("generation")).first()[0] or 0
+
+
+def latest_generation(spark: SparkSession, root: str) -> int:
+    """Number of the newest complete generation; 0 when there is none."""
+    return _highest(spark, f"{root}/complete")
 
 
 def read_published(spark: SparkSession, root: str, table: str, generation: int) -> DataFrame:
@@ -204,25 +253,28 @@ def write_root_listings(catalog: DataFrame, path: str) -> None:
     repo_counts(catalog).write.mode("overwrite").json(f"{path}/global")
 
 
-def manifest_entries(catalog: DataFrame, base: str) -> DataFrame:
-    """(position, url) of published documents: the overall one, then repos by name."""
-    names = catalog.select("repo").distinct()
-    placed = sorted_position(names, ["repo"], "position")
-    short = F.substring_index("repo", "/", -1)
-    repos = placed.select(
-        (F.col("position") + 1).alias("position"),
-        F.concat(F.lit(base + "/repos/"), encode_component(short), F.lit(".json")).alias("url"),
-    )
-    head = catalog.sparkSession.range(1, 2).select(
-        F.col("id").alias("position"), F.lit(base + "/global.json").alias("url")
+# The end of a written document's path: its set, its name where it has one, and the file.
+_DOCUMENT = r"((?:page_set=[^/]+/page_name=[^/]+|repos/page_name=[^/]+|global)/[^/]+)$"
+
+
+def manifest_entries(spark: SparkSession, path: str, base: str) -> DataFrame:
+    """(position, url) of the documents that were written below ``path``, in order of their urls.
+
+    The files themselves are listed, so every url exists, long listings appear with all parts, and
+    repos of equal short names stay apart.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*")
+        .load(path).select(F.regexp_extract("_metadata.file_path", _DOCUMENT, 1).alias("document"))
     )
-    return head.union(repos)
+    urls = files.filter("document <> ''").select(F.concat(F.lit(base + "/"), "document").alias("url"))
+    return sorted_position(urls, ["url"], "position")
 
 
-def manifest(catalog: DataFrame, base: str, part_entries: int = PART_ENTRIES) -> DataFrame:
-    """Manifest documents {version, urls}."""
+def manifest(spark: SparkSession, path: str, base: str, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """Manifest documents {version, urls} of the documents below ``path``."""
     return (
-        _in_parts(manifest_entries(catalog, base), part_entries)
+        _in_parts(manifest_entries(spark, path, base), part_entries)
         .groupBy("part")
         .agg(F.array_sort(F.collect_list(F.struct("position", "url"))).alias("entries"))
         .select(
@@ -232,8 +284,8 @@ def manifest(catalog: DataFrame, base: str, part_entries: int = PART_ENTRIES) ->
     )
 
 
-def write_manifest(catalog: DataFrame, base: str, path: str) -> None:
-    manifest(catalog, base).write.mode("overwrite").json(path)
+def write_manifest(spark: SparkSession, path: str, base: str, out: str) -> None:
+    manifest(spark, path, base).write.mode("overwrite").json(out)
 
 
 def write_links(links: DataFrame, path: str) -> None:

@@ -124,7 +124,7 @@ def search_batch(
     """
     prepared = freeze(m.prepare_queries(queries))
     profile = prepared.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("n_ids"),
         F.count_if(F.col("mode") == "token").alias("n_token"),
         F.collect_set(F.when(F.col("gram") != "", F.length("gram"))).alias("lengths"),
         F.collect_set("pairing.kind").alias("kinds"),
@@ -133,6 +133,8 @@ def search_batch(
         row_bytes("*").alias("bytes"), *used_filters(),
     ).first().asDict()
 
+    if profile["n_ids"] != profile["n"]:
+        raise ValueError("query ids must be unique and not NULL")
     record = _record_columns(catalog)
     records = catalog.select(*record).withColumns(m.searchable())
     if any(profile["uses_" + f] for f in FOLDER_FIELDS):
@@ -198,12 +200,23 @@ def search_batch(
     counted = hits(asked.filter(~F.col("known")).drop("known"))
     totals = (
         asked.select("query_id", "page", "page_size", F.when(F.col("known"), F.col("cost")).alias("df"))
-        .join(counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")), "query_id", "left")
+        .join(_hits_of(counted), "query_id", "left")
         .select("query_id", "page", "page_size", F.coalesce("df", "hits", F.lit(0)).alias("total"))
     )
     return SearchResult(_batch_page(matched, record, profile["last_row"]), totals, matched)
 
 
+# Parts into which the hits of a popular query are dealt before they are counted.
+COUNT_PARTS = 64
+
+
+def _hits_of(counted: DataFrame) -> DataFrame:
+    """query_id, hits. Counted by parts of the record order first, so no query has all its hits in one task."""
+    part = F.pmod(F.xxhash64("ord"), F.lit(COUNT_PARTS)).alias("part")
+    partial = counted.groupBy("query_id", part).agg(F.count(F.lit(1)).alias("n"))
+    return partial.groupBy("query_id").agg(F.sum("n").alias("hits"))
+
+
 def _one_exact_term():
     one = (F.size("token_terms") == 1) & (F.size("driver_terms") == 1)
     return one & (F.get("driver_terms", F.lit(0)) == F.get("q_tokens", F.lit(0)))
@@ -326,7 +339,7 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
 
 
 # Rows a single page query may skip before it ranks by a distributed sort instead.
-DEEP_PAGE_ROWS = 100_000
+DEEP_PAGE_ROWS = 1000
 
 
 def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> SearchResult:

@@ -38,7 +38,7 @@ FLAT = "ord, repo, file, ext, folder_path, size, has_txt"
 FULL_NAME = "CASE WHEN ext = '' THEN file ELSE concat(file, '.', ext) END"
 PATH = f"concat(CASE WHEN folder_path = '' THEN '' ELSE concat(folder_path, '/') END, {FULL_NAME})"
 ENCODED = "replace(url_encode({}), '%2F', '/')"
-HF = "https://huggingface.co/datasets/"
+BASE = "https://files.example.org/datasets/"
 PARTS = "CASE WHEN folder_path = '' THEN []::VARCHAR[] ELSE string_split(folder_path, '/') END"
 
 
@@ -267,7 +267,7 @@ def build() -> dict:
     value, unit = compact("(size * 1000)")
     narrow_value, narrow_unit = compact("floor(size / 1000.0)")
     glued_value, glued_unit = compact("size")
-    direct = f"concat('{HF}', repo, '/resolve/main/', {ENCODED.format(PATH)})"
+    direct = f"concat('{BASE}', repo, '/resolve/main/', {ENCODED.format(PATH)})"
     upper_name = f"CASE WHEN has_txt THEN upper({FULL_NAME}) ELSE file END"
     browser = f"CASE WHEN ext = '' OR has_txt THEN {upper_name} ELSE concat(file, '.', ext) END"
     leaf_path = f"concat(CASE WHEN folder_path = '' THEN '' ELSE concat(folder_path, '/') END, {browser})"
@@ -295,8 +295,9 @@ def build() -> dict:
             "FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY kind DESC, name, ord) AS n FROM entries) e GROUP BY ALL", ROOT_ENTRIES
         ),
         "snk3_manifest": part(
-            "SELECT n // 10 AS part, 2 AS version, n % 10 AS row, url FROM (SELECT 0 AS n, '/data/global.json' AS url UNION ALL "
-            "SELECT row_number() OVER (ORDER BY repo), concat('/data/repos/', url_encode(regexp_extract(repo, '([^/]*)$', 1)), '.json') FROM (SELECT DISTINCT repo FROM cat) r) u"
+            "SELECT n // 10 AS part, 2 AS version, n % 10 AS row, page_set, page_name FROM ("
+            "SELECT 0 AS n, '/data/page_set=global' AS page_set, 'all' AS page_name UNION ALL "
+            "SELECT row_number() OVER (ORDER BY url_encode(repo)), '/data/page_set=repo', repo FROM (SELECT DISTINCT repo FROM cat) r) u"
         ),
         "snk4_selected_links": part(f"SELECT ord, {FULL_NAME} AS filename, {direct} AS link FROM cat WHERE has_txt AND ext = 'pdf'"),
         "col1_relative_path": part(f"SELECT ord, {PATH} AS path FROM cat"),
@@ -309,7 +310,7 @@ def build() -> dict:
             f"SELECT ord, CASE WHEN has_txt THEN concat('https://text.example.org/txt/', {ENCODED.format(stem)}, '.txt') END AS text FROM cat"
         ),
         "col5_browser_name": part(
-            f"SELECT ord, {browser} AS name, concat('{HF}', repo, '/resolve/main/', {ENCODED.format(leaf_path)}) AS link FROM cat"
+            f"SELECT ord, {browser} AS name, concat('{BASE}', repo, '/resolve/main/', {ENCODED.format(leaf_path)}) AS link FROM cat"
         ),
         "col6_human_size": part(
             f"SELECT ord, {human('floor(size / 10000.0)')} AS small, {human('(size * CASE ord % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END)')} AS large FROM cat"
@@ -417,6 +418,16 @@ def build() -> dict:
                row_number() OVER (PARTITION BY repo ORDER BY file, ord) AS repo_name_rank,
                row_number() OVER (PARTITION BY repo ORDER BY coalesce(size, 0) DESC, ord) AS repo_size_rank FROM cat"""
         ),
+        "sort5_browse_page": part(
+            """SELECT * FROM (
+                 SELECT 'relevance' AS sort, '' AS listed, row_number() OVER (ORDER BY ord) AS position, ord FROM cat
+                 UNION ALL SELECT 'name', '', row_number() OVER (ORDER BY file, ord), ord FROM cat
+                 UNION ALL SELECT 'size', '', row_number() OVER (ORDER BY coalesce(size, 0) DESC, ord), ord FROM cat
+                 UNION ALL SELECT 'relevance', repo, row_number() OVER (ORDER BY ord), ord FROM cat WHERE repo = 'shop/Brand#7'
+                 UNION ALL SELECT 'name', repo, row_number() OVER (ORDER BY file, ord), ord FROM cat WHERE repo = 'shop/Brand#7'
+                 UNION ALL SELECT 'size', repo, row_number() OVER (ORDER BY coalesce(size, 0) DESC, ord), ord FROM cat WHERE repo = 'shop/Brand#7'
+               ) x WHERE position BETWEEN 31 AND 60"""
+        ),
         "page1_page": part(page("coalesce(size, 0) DESC, ord", literal.format("*", score(), "true"), 81, 120)),
         "page1_clamp": """SELECT p_partkey AS ord, CAST(CASE WHEN p_size = 5 THEN 100 ELSE greatest(1, least(500, p_size * 20 - 100)) END AS BIGINT) AS page_size,
             CAST(greatest(1, p_size - 10) AS BIGINT) AS page FROM part""",
@@ -434,6 +445,7 @@ def build() -> dict:
                UNION ALL SELECT 'text', '', '', CAST(sum(t) AS BIGINT) FROM cube
                UNION ALL SELECT 'text', repo, '', CAST(sum(t) AS BIGINT) FROM cube GROUP BY repo HAVING sum(t) > 0""", CUBE
         ),
+        "agg5_metadata_empty": "SELECT unnest(['total', 'text']) AS facet, 0 AS count",
         "agg6_extension_panel": (
             f"WITH {PAGES.replace('cat AS', 'pcat AS', 1)}, {PART}, shown AS (SELECT name, max(c) AS c FROM "
             "(SELECT lower(ext) AS name, count(*) AS c FROM cat WHERE ext <> '' GROUP BY 1 UNION ALL SELECT DISTINCT lower(ext), 0 FROM pcat WHERE ext <> '') u GROUP BY name), "

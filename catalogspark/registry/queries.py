@@ -114,9 +114,14 @@ def snk2(spark, sf_dir):
 
 
 def snk3(spark, sf_dir):
-    docs = publish.manifest(part(spark, sf_dir), "/data", part_entries=10)
+    path = tables.scratch(spark, "pages")
+    publish.write_first_pages(part(spark, sf_dir), path)
+    docs = publish.manifest(spark, path, "/data", part_entries=10)
+    # File names differ by run. Names are escaped once as folders and once more as urls.
+    name = F.url_decode(F.url_decode(F.regexp_extract("url", "page_name=([^/]*)/", 1)))
     return docs.select("part", "version", F.posexplode("urls").alias("row", "url")).select(
-        "part", "version", F.col("row").cast("bigint").alias("row"), "url"
+        "part", "version", F.col("row").cast("bigint").alias("row"),
+        F.regexp_extract("url", "^(/data/page_set=[^/]*)/", 1).alias("page_set"), name.alias("page_name"),
     )
 
 
@@ -477,6 +482,28 @@ def agg5(spark, sf_dir):
     )
 
 
+def agg5_empty(spark, sf_dir):
+    none = part(spark, sf_dir).filter("size < 0")
+    return facets.corpus_metadata(facets.facet_cube(none)).select("facet", "count")
+
+
+def sort5_page(spark, sf_dir):
+    """Page 2 of all three orders, over everything and within one repo, through the stored tables."""
+    root = tables.scratch(spark, "browse")
+    generation = publish.replace_corpus(part(spark, sf_dir), root)
+    stored = publish.read_published(spark, root, "catalog", generation)
+    entries = publish.read_published(spark, root, "browse", generation)
+    pages = None
+    for sort in ("relevance", "name", "size"):
+        for repo in ("", "shop/Brand#7"):
+            rank = ("repo_" if repo else "") + publish.BROWSE_RANKS.get(sort, "corpus_rank")
+            page = publish.browse_page(stored, entries, sort, repo, page=2, page_size=30).select(
+                F.lit(sort).alias("sort"), F.lit(repo).alias("listed"), F.col(rank).cast("bigint").alias("position"), "ord"
+            )
+            pages = page if pages is None else pages.unionAll(page)
+    return pages
+
+
 def agg6(spark, sf_dir):
     """Extension panel of the catalog, with the page extensions as the selection."""
     counted = facets.extension_facet(facets.facet_cube(part(spark, sf_dir)))
@@ -620,6 +647,7 @@ QUERIES = {
     "sort3_size": _page(part, q="ECONOMY", exact=True, sort="size", page_size=500),
     "sort4_corpus_order": _page(part, q=" ", repos=["shop/Brand#7", "shop/Brand#8"], page_size=500),
     "sort5_browse_ranks": sort5,
+    "sort5_browse_page": sort5_page,
     "page1_page": _page(part, q="", sort="size", page=3, page_size=40),
     "page1_clamp": page1_clamp,
     "agg1_repo": _facet(facets.repo_facet),
@@ -627,6 +655,7 @@ QUERIES = {
     "agg3_extension_by_repo": _facet(facets.extension_by_repo_facet),
     "agg4_text": agg4,
     "agg5_metadata": agg5,
+    "agg5_metadata_empty": agg5_empty,
     "agg6_extension_panel": agg6,
     "agg7_complement": agg7,
     "agg7_folder_complement": agg7_folders,

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogspark.operators.ranking import sorted_position
 from catalogspark.schema import COMPACT
 
 # Records of shard s get ord = s * SHARD_STRIDE + position; one document cannot hold more.
@@ -25,11 +26,11 @@ def read_compact(spark: SparkSession, path) -> DataFrame:
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
     )
-    files = sorted(raw.inputFiles())
-    shards = spark.createDataFrame(list(enumerate(files)), "shard BIGINT, shard_file STRING")
-    located = raw.withColumn("shard_file", F.input_file_name())
-    # One short row per input file.
-    placed = located.join(F.broadcast(shards), "shard_file", "left")
+    located = raw.withColumn("shard_file", F.col("_metadata.file_path"))
+    # File names are read without parsing, and numbered by a distributed sort.
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("shard_file"))
+    shards = sorted_position(names, ["shard_file"], "place").select("shard_file", (F.col("place") - 1).alias("shard"))
+    placed = located.join(shards, "shard_file", "left")
     lost = F.raise_error(F.lit("UNKNOWN_SHARD")).cast("bigint")
     return placed.withColumn("shard", F.coalesce("shard", lost)).drop("shard_file")
 
@@ -47,15 +48,16 @@ def decode_compact(raw: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.lit("UNSUPPORTED_CORPUS")).cast("array<variant>"))
     )
     # Dictionaries are resolved inside the array, so they are never copied per record.
-    records = F.transform(checked, lambda item: _record(item, F.col("rp"), F.col("fd")))
+    # Each record is taken apart once; its fields are then read from the array.
+    taken = F.transform(checked, lambda item: F.try_variant_get(item, "$", "array<variant>"))
+    records = F.transform(taken, lambda fields: _record(fields, F.col("rp"), F.col("fd")))
     shard = F.col("shard") if "shard" in raw.columns else F.lit(0)
     return raw.select(shard.alias("shard"), F.posexplode(records).alias("pos", "r")).select(
         (F.col("shard") * SHARD_STRIDE + F.col("pos")).cast("bigint").alias("ord"), "r.*"
     )
 
 
-def _record(item: Column, repos: Column, folders: Column) -> Column:
-    fields = F.try_variant_get(item, "$", "array<variant>")
+def _record(fields: Column, repos: Column, folders: Column) -> Column:
     folder = F.coalesce(F.get(folders, _index(F.get(fields, 3))), F.array().cast("array<string>"))
     kept = F.filter(folder, lambda part: part.isNotNull() & (part != ""))
     size = F.get(fields, 4)

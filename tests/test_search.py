@@ -236,3 +236,12 @@ def test_fuzzy_cap_keeps_the_crossing_term(spark):
     tokens = spark.createDataFrame([("all", "ring")], "scope string, token string")
     used = fuzzy.fuzzy_terms(tokens, vocab).orderBy("term_pos").collect()
     assert [(r.term, r.term_pos) for r in used] == [("rings", 0), ("ringo", 1), ("sring", 2)]
+
+
+def test_batch_needs_unique_query_ids(spark, make):
+    catalog = make([("o/a", "f", "pdf", [], 1, False)])
+    fields = [f.split()[0] for f in QUERY.split(", ")]
+    for ids in ((1, 1), (1, None)):
+        rows = [tuple({"query_id": i, "q": "f"}.get(f) for f in fields) for i in ids]
+        with pytest.raises(ValueError, match="unique"):
+            plans.search_batch(catalog, plans.build_index(catalog), spark.createDataFrame(rows, QUERY))

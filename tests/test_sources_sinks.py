@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import gzip
 import json
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,12 +121,63 @@ def test_listing_normalisation(spark, tmp_path):
     assert [tuple(f) for f in row.files] == [("f", "", True, None), ("", "", False, None)]
 
 
-def test_manifest(spark, catalog, tmp_path):
-    publish.write_manifest(catalog, "/data", str(tmp_path / "m"))
-    doc = spark.read.json(str(tmp_path / "m")).first()
-    assert doc.urls == ["/data/global.json", "/data/repos/a.json", "/data/repos/b%20c.json"]
-    parts = publish.manifest(catalog, "/data", 2).orderBy("part").collect()
-    assert [len(p.urls) for p in parts] == [2, 1]
+def test_manifest_names_the_files_that_exist(spark, make, tmp_path):
+    rows = [(repo, f"f{i}", "pdf", [], i, False) for i, repo in enumerate(["a/x", "b/x", "o/b c"] * 3)]
+    pages = tmp_path / "pages"
+    publish.write_first_pages(make(rows), str(pages))
+    publish.write_manifest(spark, str(pages), "/data", str(tmp_path / "m"))
+    urls = spark.read.json(str(tmp_path / "m")).first().urls
+    # Equal short names are different documents.
+    assert len(urls) == len(set(urls)) == 4
+    for url in urls:
+        assert url.startswith("/data/")
+        assert (pages / unquote(url.removeprefix("/data/"))).is_file()
+    parts = publish.manifest(spark, str(pages), "/data", 3).orderBy("part").collect()
+    assert [len(p.urls) for p in parts] == [3, 1]
+
+
+def test_manifest_of_listings_has_all_parts(spark, catalog, tmp_path):
+    publish.write_root_listings(catalog, str(tmp_path / "l"))
+    urls = [u for d in publish.manifest(spark, str(tmp_path / "l"), "/d").collect() for u in d.urls]
+    written = [f for f in (tmp_path / "l").rglob("*.json")]
+    assert len(urls) == len(written) and all((tmp_path / "l" / unquote(u.removeprefix("/d/"))).is_file() for u in urls)
+
+
+def test_an_empty_corpus_is_a_generation(spark, catalog, tmp_path):
+    root = str(tmp_path / "g")
+    assert publish.replace_corpus(catalog, root) == 1
+    assert publish.replace_corpus(catalog.filter("false"), root) == 2
+    assert publish.latest_generation(spark, root) == 2
+    facets = publish.read_published(spark, root, "facets", 2).collect()
+    assert sorted((r.facet, r["count"]) for r in facets) == [("text", 0), ("total", 0)]
+    # A claimed number is never written again, whether that attempt came to its end or not.
+    publish._mark(spark, f"{root}/claimed/generation=3")
+    assert publish.replace_corpus(catalog, root) == 4 and publish.latest_generation(spark, root) == 4
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        publish.publish(catalog, root, 4)
+
+
+def test_pages_of_prepared_orders(spark, catalog, tmp_path):
+    root = str(tmp_path / "g")
+    publish.publish(catalog, root, 1)
+    stored, entries = (publish.read_published(spark, root, t, 1) for t in ("catalog", "browse"))
+    for sort in ("name", "size", "relevance"):
+        for repo in ("", "o/a"):
+            expected = [r.ord for r in publish.browse(stored, sort, repo, 2, 30).collect()]
+            assert [r.ord for r in publish.browse_page(stored, entries, sort, repo, 2, 30).collect()] == expected
+
+
+def test_stored_files_hold_disjoint_ranges(spark, make, tmp_path):
+    """A page of a prepared order, and a list of ords, touch few files."""
+    rows = [(f"o/{i % 7}", f"n{i * 37 % 1000}", "pdf", [], i * 13 % 997, False) for i in range(1000)]
+    publish.publish(make(rows).repartition(4), str(tmp_path), 1)
+    for table, column in (("catalog", "ord"), ("browse", "rank")):
+        stored = publish.read_published(spark, str(tmp_path), table, 1)
+        if table == "browse":
+            stored = stored.filter("listing = 'name'")
+        ranges = stored.groupBy(F.col("_metadata.file_path")).agg(F.min(column).alias("a"), F.max(column).alias("b"))
+        spans = sorted((r.a, r.b) for r in ranges.collect())
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:])), table
 
 
 def test_selected_links(spark, catalog, tmp_path):
