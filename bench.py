@@ -16,7 +16,7 @@ from catalogspark.operators import catalog as records
 from catalogspark.operators import facets, index, sampling, tree
 from catalogspark.plans import publish, search
 from catalogspark.schema import QUERY
-from catalogspark.sources import tables
+from catalogspark.sources import compact, tables
 from catalogspark.streaming import recent
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -87,6 +87,8 @@ def main() -> None:
 
         return run
 
+    tables.write_compact(raw, f"{root}/compact", 20_000)
+    timed("corpus_decode", lambda: noop(compact.decode_compact(compact.read_compact(spark, f"{root}/compact"))))
     timed("index_build", lambda: noop(index.vocabulary(index.postings(raw))))
     timed("record_ids", lambda: noop(records.with_record_id(raw)))
     timed("literal_query", lambda: one(q="ed r", exact=True)())
@@ -98,7 +100,8 @@ def main() -> None:
     timed("name_sorted_query", lambda: one(q="gear", exact=True, sort="name")())
     timed("token_batch_100", many("token"))
     timed("literal_batch_100", many("literal"))
-    timed("browse_page", lambda: publish.browse(catalog, "name", page=50).collect())
+    entries = stored.browse
+    timed("browse_page", lambda: publish.browse_page(catalog, entries, "name", page=50).collect())
     timed("facets", lambda: facets.corpus_metadata(facets.facet_cube(catalog)).collect())
     timed("folder_tree", lambda: noop(tree.folder_tree(tree.folder_counts(catalog))))
     timed("random_per_repo", lambda: sampling.random_record_per_repo(catalog, 0.5).collect())

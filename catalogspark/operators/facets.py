@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.ranking import sorted_position
+
 # Extensions shown by name, in display order; all others form one bucket.
 EXTENSION_ORDER = [
     "pdf", "txt", "epub", "mobi", "azw3", "fb2", "djvu", "chm", "caj",
@@ -109,7 +111,9 @@ def extension_panel(extensions: DataFrame, selected: DataFrame) -> DataFrame:
         (last + 2).alias("major"), F.lit("other_child").alias("kind"), "ext",
         F.lit(1).cast("bigint").alias("kinds"), "count",
     )
-    return known.union(other).union(children).orderBy("major", by_name("ext"))
+    rows = known.union(other).union(children)
+    placed = sorted_position(rows, ["major", by_name("ext"), "ext"], "position")
+    return placed.select("position", "kind", "ext", "kinds", "count").orderBy("position")
 
 
 def facet_complement(values: DataFrame, selected: DataFrame, column: str) -> DataFrame:

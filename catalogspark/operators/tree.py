@@ -8,10 +8,14 @@ from catalogspark.functions.paths import clean_path
 from .facets import by_name
 
 
+def _cleaned(catalog: DataFrame) -> DataFrame:
+    """Folders without blank components, so files and nodes have the same paths."""
+    return catalog.withColumn("folder", F.array_remove("folder", ""))
+
+
 def folder_counts(catalog: DataFrame) -> DataFrame:
     """Records per (repo, folder): shrinks the catalog before prefixes multiply it."""
-    folder = F.array_remove("folder", "")
-    return catalog.groupBy("repo", folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    return _cleaned(catalog).groupBy("repo", "folder").agg(F.count(F.lit(1)).alias("n"))
 
 
 def folder_tree(counts: DataFrame) -> DataFrame:
@@ -48,7 +52,7 @@ def folder_contents(catalog: DataFrame, repo: str, path: str = "") -> tuple[Data
     parts = [p for p in [path.strip("/")] if p]
     parts = parts[0].split("/") if parts else []
     depth = len(parts)
-    here = catalog.filter((F.col("repo") == repo) & (F.size("folder") >= depth))
+    here = _cleaned(catalog).filter((F.col("repo") == repo) & (F.size("folder") >= depth))
     if depth:
         here = here.filter(
             F.slice("folder", 1, depth) == F.array(*[F.lit(p) for p in parts])
@@ -84,7 +88,7 @@ def listing_entries(catalog: DataFrame) -> DataFrame:
 
 
 def file_entries(catalog: DataFrame) -> DataFrame:
-    return catalog.select(
+    return _cleaned(catalog).select(
         "repo", F.array_join("folder", "/").alias("path"), F.lit("file").alias("kind"),
         F.col("file").alias("name"), F.lit(None).cast("bigint").alias("count"),
         "ext", "has_txt", "size", "ord",
@@ -93,6 +97,7 @@ def file_entries(catalog: DataFrame) -> DataFrame:
 
 def root_entries(catalog: DataFrame) -> DataFrame:
     """Depth-1 listing of every repo: top folders with recursive counts, and root files."""
+    catalog = _cleaned(catalog)
     top = F.get("folder", F.lit(0))
     folders = (
         catalog.filter(F.size("folder") > 0)

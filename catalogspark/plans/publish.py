@@ -162,6 +162,7 @@ def read_index(spark: SparkSession, root: str, generation: int) -> SearchIndex:
     return SearchIndex(
         read_published(spark, root, "postings", generation),
         read_published(spark, root, "vocab", generation),
+        read_published(spark, root, "browse", generation),
     )
 
 

@@ -27,10 +27,11 @@ RECORD = ("ord", "repo", "file", "ext", "folder", "size", "has_txt")
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Postings and vocabulary of one catalog generation."""
+    """Postings and vocabulary of one catalog generation, and its prepared orders where it has them."""
 
     postings: DataFrame
     vocab: DataFrame
+    browse: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -338,6 +339,23 @@ def _token_hits(found: DataFrame, index: SearchIndex, asked) -> tuple:
     return hits, m.match_tie(F.lit(lists[0]), F.col("held")), None
 
 
+def _prepared_page(records: DataFrame, entries: DataFrame, asked) -> SearchResult:
+    """A page of everything from the prepared orders: no scan and no sort of the catalog."""
+    listing = asked["sort"] if asked["sort"] in ("name", "size") else "relevance"
+    order = entries.filter((F.col("listing") == listing) & (F.col("repo") == ""))
+    page = order.filter(F.col("rank").between(asked["first_row"], asked["last_row"])).select("ord", "rank")
+    # One page of ords reaches the driver and becomes a predicate on the stored ranges.
+    ords = [r["ord"] for r in page.collect()]
+    scored = records.withColumns({"score": F.lit(0), "tie": F.lit(0)})
+    rows = scored.filter(F.col("ord").isin(ords)).join(F.broadcast(page), "ord").select(
+        F.col("rank").cast("bigint").alias("position"), "score", *records.columns
+    )
+    totals = order.agg(F.coalesce(F.max("rank"), F.lit(0)).cast("bigint").alias("total")).select(
+        "total", F.lit(asked["page"]).alias("page"), F.lit(asked["page_size"]).alias("page_size")
+    )
+    return SearchResult(rows, totals, scored)
+
+
 # Rows a single page query may skip before it ranks by a distributed sort instead.
 DEEP_PAGE_ROWS = 1000
 
@@ -359,6 +377,8 @@ def search(catalog: DataFrame, index: SearchIndex | None = None, **params) -> Se
     asked = prepared.first()
 
     record = _record_columns(catalog)
+    if index is not None and index.browse is not None and asked["mode"] == "all" and asked["unfiltered"]:
+        return _prepared_page(catalog.select(*record), index.browse, asked)
     folders = F.lit(asked["search_folders"])
     found = catalog.select(*record).filter(
         passes_filters(_record(), {f: asked[f] for f in FILTER_FIELDS})

@@ -450,9 +450,10 @@ def build() -> dict:
             f"WITH {PAGES.replace('cat AS', 'pcat AS', 1)}, {PART}, shown AS (SELECT name, max(c) AS c FROM "
             "(SELECT lower(ext) AS name, count(*) AS c FROM cat WHERE ext <> '' GROUP BY 1 UNION ALL SELECT DISTINCT lower(ext), 0 FROM pcat WHERE ext <> '') u GROUP BY name), "
             f"ranked AS (SELECT name, c, {EXT_RANK} AS r FROM shown) "
-            "SELECT 'known' AS kind, name AS ext, 1 AS kinds, c AS count FROM ranked WHERE r IS NOT NULL "
-            "UNION ALL SELECT 'other_child', name, 1, c FROM ranked WHERE r IS NULL "
-            "UNION ALL SELECT 'other', '', count(*), CAST(sum(c) AS BIGINT) FROM ranked WHERE r IS NULL HAVING count(*) > 0"
+            "SELECT row_number() OVER (ORDER BY major, ext) AS position, kind, ext, kinds, count FROM ("
+            "SELECT r AS major, 'known' AS kind, name AS ext, 1 AS kinds, c AS count FROM ranked WHERE r IS NOT NULL "
+            "UNION ALL SELECT 1002, 'other_child', name, 1, c FROM ranked WHERE r IS NULL "
+            "UNION ALL SELECT 1001, 'other', '', count(*), CAST(sum(c) AS BIGINT) FROM ranked WHERE r IS NULL HAVING count(*) > 0) p"
         ),
         "agg7_complement": part(
             "SELECT DISTINCT lower(ext) AS ext FROM cat WHERE ext <> '' EXCEPT SELECT lower(ext) FROM cat WHERE ext LIKE '%p%'"

@@ -509,7 +509,7 @@ def agg6(spark, sf_dir):
     counted = facets.extension_facet(facets.facet_cube(part(spark, sf_dir)))
     chosen = tables.page_catalog(spark, sf_dir).select(F.lower("ext").alias("ext"))
     return facets.extension_panel(counted, chosen).select(
-        "kind", F.coalesce("ext", F.lit("")).alias("ext"), "kinds", "count"
+        "position", "kind", F.coalesce("ext", F.lit("")).alias("ext"), "kinds", "count"
     )
 
 

@@ -167,6 +167,18 @@ def test_pages_of_prepared_orders(spark, catalog, tmp_path):
             assert [r.ord for r in publish.browse_page(stored, entries, sort, repo, 2, 30).collect()] == expected
 
 
+@pytest.mark.parametrize("sort", ["name", "size", "relevance"])
+def test_unfiltered_search_reads_the_prepared_orders(spark, catalog, tmp_path, sort):
+    publish.publish(catalog, str(tmp_path), 1)
+    stored, index = publish.read_published(spark, str(tmp_path), "catalog", 1), publish.read_index(spark, str(tmp_path), 1)
+    found = search.search(stored, index, q=" ", sort=sort, page=2, page_size=30)
+    plain = search.search(catalog, None, q=" ", sort=sort, page=2, page_size=30)
+    columns = ["position", "ord", "score", "repo", "file"]
+    assert found.rows.select(*columns).orderBy("position").collect() == plain.rows.select(*columns).orderBy("position").collect()
+    assert found.totals.collect() == plain.totals.collect()
+    assert "Sort" not in found.rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_files_hold_disjoint_ranges(spark, make, tmp_path):
     """A page of a prepared order, and a list of ords, touch few files."""
     rows = [(f"o/{i % 7}", f"n{i * 37 % 1000}", "pdf", [], i * 13 % 997, False) for i in range(1000)]
