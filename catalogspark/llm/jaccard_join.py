@@ -32,8 +32,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 
 # Postings of one bucket are handled by one task; buckets grow with the corpus.
-BUCKET_TOKENS = 1 << 22
-FLUSH_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 20
+FLUSH_TOKENS = 1 << 20
 # Shingles of at least this many documents are ordered last, if they are among the most frequent.
 FREQUENT = 8
 MAX_FREQUENT = 2_000_000
@@ -218,7 +218,7 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
                 prefix = tokens[:prefix_length(len(hashes))]
                 held.append((prefix, node, len(hashes)))
                 total += len(prefix)
-                if total >= FLUSH_TOKENS // 4:
+                if total >= FLUSH_TOKENS // 2:
                     yield rows()
                     held, seen, total = [], set(), 0
         if held:
