@@ -29,7 +29,7 @@ OPEN_WINDOWS = 64
 MERGED_TASKS = 16
 END_ID = 1
 # Words whose ids a worker remembers; about 150 bytes each.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 
 _TASK_BITS = 32
 
