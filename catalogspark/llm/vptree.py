@@ -7,6 +7,8 @@ once: the near side of a node first, the far side only if the triangle inequalit
 neighbour there. That test is relaxed by ``factor``: a side is skipped once its distance bound exceeds ``factor``
 times the distance of the neighbours found so far; factor 1 restores exact search. Cells are
 skipped by the same test: queries search their nearest cells first and take the distance reached to the others.
+Distances of unit vectors carry rounding noise, so every class within ``NOISE`` of the last place, however many
+there are, gets its exact score in the task; the best ``k + 1`` by score, then id, leave it.
 
 Queries and classes meet by shard number and block of queries; neither side is ever held whole.
 The pivots are fitted on a sample of ``PIVOT_SAMPLE`` rows, every row is indexed.
@@ -34,8 +36,10 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 65_536
 FIRST_CELLS = 3
 LEAF = 256
-# Candidates that are scored exactly beyond those asked for: rounding may swap the last places.
-SPARE = 3
+# Above the rounding noise of distances, which is largest near 0 (root of a rounding error of 1e-13 at most).
+NOISE = 1e-6
+# Pairs that are scored exactly at once.
+SCORED = 1 << 16
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -48,18 +52,26 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     return kept.filter(F.size("embedding") == F.lit(first or 0)).distinct()
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+def _raw(column) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, summed in order."""
-    return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed in order."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def cosines(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows in double precision, summed in order."""
+    sizes_a, sizes_b = np.sqrt(_dots(a, a)), np.sqrt(_dots(b, b))
+    parts = [slice(i, i + SCORED) for i in range(0, len(at_a), SCORED)]
+    return np.concatenate([np.zeros(0), *[
+        _dots(a[at_a[i]], b[at_b[i]]) / (sizes_a[at_a[i]] * sizes_b[at_b[i]]) for i in parts
+    ]])
 
 
 def _units(column) -> np.ndarray:
-    raw = np.stack(column.to_numpy()).astype(np.float64)
+    raw = _raw(column)
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
@@ -90,8 +102,20 @@ class Tree:
             return at
         return point, radius, self._build(at[inner]), self._build(at[~inner])
 
-    def search(self, queries: np.ndarray, reach: np.ndarray, k: int, pruned_by: int, factor: float):
-        """Distances and numbers of the ``k`` best points of every query; ``reach`` bounds the search."""
+    def candidates(self, queries: np.ndarray, reach: np.ndarray, k: int, factor: float):
+        """Pairs (query, point) within noise of the ``k``-th distance found, or of ``reach`` if that is less."""
+        held = []
+        best, _ = self.search(queries, reach, k, k, factor, held)
+        limit = np.minimum(reach, best[:, k - 1])
+        q, point, d = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        near = d <= limit[q] + NOISE
+        return q[near], point[near]
+
+    def search(self, queries: np.ndarray, reach: np.ndarray, k: int, pruned_by: int, factor: float, held: list | None = None):
+        """Distances and numbers of the ``k`` best points of every query; ``reach`` bounds the search.
+
+        ``held`` collects (queries, points, distances) of all that may be within noise of the limit.
+        """
         best = np.full((len(queries), k), np.inf)
         index = np.full((len(queries), k), -1)
         limit = reach.copy()
@@ -100,19 +124,23 @@ class Tree:
             if not len(q):
                 return
             if isinstance(node, np.ndarray):
-                d = np.concatenate([best[q], _distances(queries[q], self.points[node])], axis=1)
+                here = _distances(queries[q], self.points[node])
+                d = np.concatenate([best[q], here], axis=1)
                 i = np.concatenate([index[q], np.broadcast_to(node, (len(q), len(node)))], axis=1)
                 few = np.argpartition(d, k - 1, axis=1)[:, :k]
                 order = np.take_along_axis(few, np.argsort(np.take_along_axis(d, few, 1), axis=1), 1)
                 best[q], index[q] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
                 limit[q] = np.minimum(reach[q], best[q, pruned_by - 1])
+                if held is not None:
+                    r, c = np.nonzero(here <= limit[q][:, None] + NOISE)
+                    held.append((q[r], node[c], here[r, c]))
                 return
             point, radius, inner, outer = node
             d = _distances(queries[q], point[None])[:, 0]
             near = d <= radius
             visit(inner, q[near])
             visit(outer, q[~near])
-            far = np.abs(d - radius) <= factor * limit[q]
+            far = np.abs(d - radius) <= factor * limit[q] + NOISE
             visit(outer, q[near & far])
             visit(inner, q[~near & far])
 
@@ -171,7 +199,6 @@ def nearest(
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     # Every block of queries meets a shard in a task of its own.
     stored = placed.select(shard.cast("int").alias("shard"), "embedding", "ids", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keep = k + 1 + SPARE
 
     def route(nearest_ones: bool):
         def to_shards(frames):
@@ -183,7 +210,7 @@ def nearest(
                 near = np.zeros(d.shape, bool)
                 near[np.arange(len(d))[:, None], np.argsort(bound, axis=1)[:, :first_cells]] = True
                 near &= parts > 0
-                wanted = near if nearest_ones else ~near & (bound <= factor * frame["reach"].to_numpy()[:, None])
+                wanted = near if nearest_ones else ~near & (bound <= factor * frame["reach"].to_numpy()[:, None] + NOISE)
                 row, cell = np.nonzero(wanted)
                 n = parts[cell]
                 again = np.repeat(np.arange(len(row)), n)
@@ -194,40 +221,39 @@ def nearest(
 
     def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=["query_id", "distance", "embedding", "ids"], dtype=object)
+            return pd.DataFrame(columns=["query_id", "score", "ids"], dtype=object)
         right = right.assign(low=right["ids"].str[0]).sort_values("low", ignore_index=True)
         tree = Tree(_units(right["embedding"]))
-        d, at = tree.search(_units(left["embedding"]), left["reach"].to_numpy(), keep, k + 1, factor)
-        row, column = np.nonzero(at >= 0)
-        found = right.iloc[at[row, column]]
+        row, at = tree.candidates(_units(left["embedding"]), left["reach"].to_numpy(), k + 1, factor)
+        score = cosines(_raw(left["embedding"]), row, _raw(right["embedding"]), at)
+        # Classes are numbered by their smallest id; k + 1 of them hold k ids besides the query.
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        row, at, score = row[kept], at[kept], score[kept]
         return pd.DataFrame({
-            "query_id": left["query_id"].to_numpy()[row], "distance": d[row, column],
-            "embedding": found["embedding"].to_numpy(), "ids": found["ids"].to_numpy(),
+            "query_id": left["query_id"].to_numpy()[row], "score": score, "ids": right["ids"].to_numpy()[at],
         })
 
     def searched(sent: DataFrame) -> DataFrame:
         return freeze(
             sent.withColumn("block", block).groupBy("shard", "block").cogroup(stored.groupBy("shard", "block"))
-            .applyInPandas(look, "query_id bigint, distance double, embedding array<float>, ids array<bigint>")
+            .applyInPandas(look, "query_id bigint, score double, ids array<bigint>")
         )
 
     sent = "query_id bigint, embedding array<float>, reach double, shard int"
     near = searched(asked.withColumn("reach", F.lit(float("inf"))).mapInPandas(route(True), sent))
-    by_distance = Window.partitionBy("query_id").orderBy("distance")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
+    distance = F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)))
     reached = (
-        near.withColumn("place", F.row_number().over(by_distance)).filter(F.col("place") == k + 1)
-        .select(F.col("query_id").alias("of"), F.col("distance").alias("reach"))
+        near.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") == k + 1)
+        .select(F.col("query_id").alias("of"), distance.alias("reach"))
     )
     again = asked.join(reached, F.col("query_id") == F.col("of"), "left").drop("of").withColumn(
         "reach", F.coalesce("reach", F.lit(float("inf")))
     )
     far = searched(again.mapInPandas(route(False), sent))
-    # Exact scores for the few that are left of each query.
-    left = near.unionByName(far).withColumn("place", F.row_number().over(by_distance.orderBy("distance", F.col("ids")[0])))
-    left = left.filter(F.col("place") <= keep)
-    scored = left.join(asked.select(F.col("query_id").alias("of"), F.col("embedding").alias("asked")), F.col("query_id") == F.col("of"))
-    scored = scored.withColumn("score", cosine(F.col("asked"), F.col("embedding"))).select(
-        "query_id", "score", F.explode("ids").alias("vec_id")
-    ).filter(F.col("vec_id") != F.col("query_id"))
+    left = near.unionByName(far).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1)
+    scored = left.select("query_id", "score", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

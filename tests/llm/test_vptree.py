@@ -64,6 +64,25 @@ def test_factor_one_is_exact_over_many_cells_and_blocks(spark, monkeypatch):
     check(vptree.nearest(df, F.col("vec_id") % 50 == 0, factor=1.0, pivots=6).collect(), expected)
 
 
+def test_ties_of_many_different_vectors(spark):
+    """Multiples of one vector are equally far but for rounding: exact score, then id decide, however many there are."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-500, 500, 24)
+    rows = [(i, (base * (i * 7 % 41 + 1)).astype(float).tolist(), 0) for i in range(10, 51)]
+    rows += [(0, (base + rng.integers(-200, 200, 24)).astype(float).tolist(), 0)]
+    rows += [(i, rng.standard_normal(24).tolist(), 0) for i in range(60, 100)]
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
+    dot = lambda a, b: np.cumsum(a * b)[-1]
+    score = lambda a, b: dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+    expected = {
+        q: sorted((-score(vectors[q], v), i) for i, v in vectors.items() if i != q)[:5] for q in (0, 50)
+    }
+    found = vptree.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 50 == 0, factor=1.0).collect()
+    for q, wanted in expected.items():
+        got = sorted((r["rank"], -r.score, r.vec_id) for r in found if r.query_id == q)
+        assert [g[1:] for g in got] == wanted
+
+
 def test_few_candidates_and_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert vptree.nearest(none, F.col("vec_id") % 50 == 0).count() == 0
