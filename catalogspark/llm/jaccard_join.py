@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogspark.llm import common
 from catalogspark.llm.components import components
@@ -429,6 +430,14 @@ def _block_links(table: pa.Table, schema: pa.Schema) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return _decided(docs, n, long_list).select("doc_id", "n_shingles", "component_id")
+
+
+def _decided(docs: DataFrame, n: int, long_list: int = LONG_LIST) -> DataFrame:
+    """doc_id, n_shingles, component_id, node, stays for every row of ``docs``.
+
+    ``stays`` marks the rows of one node and ``doc_id`` of each component, the smallest ``doc_id``.
+    """
     rows = freeze(_set_rows(docs, n))
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
@@ -477,37 +486,53 @@ def _expanded(rows: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
     )
     joined = freeze(joined)
     # Only components of several nodes need a second look.
-    several = joined.groupBy("component").agg(F.min("low_doc").alias("lowest"), F.count(F.lit(1)).alias("n_nodes"))
+    several = joined.groupBy("component").agg(F.min(F.struct("low_doc", "node")).alias("first"))
     named = joined.join(several.withColumnRenamed("component", "in"), F.col("component") == F.col("in")).select(
-        F.col("node").alias("of_node"), "lowest"
+        F.col("node").alias("of_node"), F.col("first.low_doc").alias("lowest"), F.col("first.node").alias("first_node")
     )
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
     return rows.join(named, F.col("node") == F.col("of_node"), "left").select(
-        "doc_id", "n_shingles", at.alias("component_id")
+        "doc_id", "n_shingles", at.alias("component_id"), "node",
+        ((F.col("doc_id") == F.col("lowest")) & (F.col("node") == F.col("first_node"))).alias("stays"),
     )
 
 
 def one_per_group(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """``docs`` without near duplicates: of each component the row of the smallest ``doc_id`` stays.
 
-    Repeated rows of that document count as copies too, so one row of them stays. Rows without
-    words, and rows without ``doc_id``, all stay.
+    Repeated rows of that document with the same shingle set count as copies too, so one row of them stays.
+    Unlike texts under one ``doc_id`` are decided one by one. Rows without words, and rows without ``doc_id``, all stay.
     """
-    found = near_duplicates(docs, n)
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id")
-    gone = freeze(gone.distinct()).toDF(common.unused(docs, "gone_doc"))
-    kept = docs.join(common.small_side(gone), F.col("doc_id").cast("bigint") == F.col(gone.columns[0]), "left_anti")
-    return _without_repeats(kept, found)
-
-
-def _without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Drop all but one of the rows that share a doc_id with words (only such rows are shuffled)."""
-    twice = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count()
-    twice = freeze(twice.filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return docs
-    key = common.unused(docs, "twice_doc")
-    twice = common.small_side(twice.toDF(key))
+    found = _decided(docs, n).filter(F.col("doc_id").isNotNull())
+    shared = freeze(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    gone = freeze(found.filter(F.col("node").isNotNull() & ~F.col("stays")).select("doc_id").distinct())
+    if shared.isEmpty():
+        return _without(docs, gone)
+    key = common.unused(docs, "shared_doc")
+    shared = common.small_side(shared.toDF(key))
     same = F.col("doc_id").cast("bigint") == F.col(key)
-    single = docs.join(twice, same, "left_anti")
-    return single.unionByName(docs.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    stay = found.filter("stays").join(shared, same, "left_semi").select("doc_id", "node").distinct()
+    single = _without(docs.join(shared, same, "left_anti"), gone)
+    return single.unionByName(_one_per_node(docs.join(shared, same, "left_semi"), stay, n))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    key = common.unused(docs, "gone_doc")
+    return docs.join(common.small_side(gone.toDF(key)), F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
+
+
+def _one_per_node(docs: DataFrame, stay: DataFrame, n: int) -> DataFrame:
+    """Of rows that share a doc_id: those without words, and one of each (doc_id, node) in ``stay``."""
+    node, doc, of = (common.unused(docs, c) for c in ("own_node", "stay_doc", "stay_node"))
+    at = docs.columns.index("text")
+    names = [*docs.columns, node]
+
+    def with_node(stream):
+        for batch in stream:
+            nodes = [node_of(h) if len(h) else None for h in shingle_sets(common.filled(batch.column(at)), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=names)
+
+    marked = docs.mapInArrow(with_node, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    met = (F.col("doc_id").cast("bigint") == F.col(doc)) & (F.col(node) == F.col(of))
+    kept = marked.join(common.small_side(freeze(stay).toDF(doc, of)), met, "left_semi").dropDuplicates(["doc_id", node])
+    return marked.filter(F.col(node).isNull()).unionByName(kept).drop(node)

@@ -100,6 +100,14 @@ def test_one_row_of_each_group_stays(odd, spark):
     assert ids.count(6) == 1 and not {7, 8} & set(ids) and ids.count(1) == 2 and ids.count(None) == 2
 
 
+def test_unlike_texts_under_one_id_are_decided_one_by_one(spark):
+    a, b, c, d = (words(seed, 60, 10 ** 6) for seed in (501, 502, 503, 504))
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b.upper()), (6, b + " more"), (7, c), (7, d), (7, None), (8, a), (8, ""), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in jaccard_join.one_per_group(df).collect())
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, d), (7, ""), (8, "")])
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
