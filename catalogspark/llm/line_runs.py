@@ -2,8 +2,9 @@
 
 A run holds one row per line key: in how many documents it was found, and the largest
 ``doc_id`` among them, sorted by hash. Every batch adds a run; once a level has ``fanout`` runs
-they are merged into one run of the next level. A lookup is a merge join of a batch's keys
-with the few runs that are left.
+they are merged into one run of the next level. ``dedup_lines`` adds all batches, sums the few runs
+that are left by key, and joins all lines with the repeated keys. It has no anti-join per batch: counts and largest
+``doc_id`` are needed of every key, seen before or not. ``unseen`` and ``first_holders`` are such anti-joins, apart from it.
 
 Defined results: a null or empty text is one empty line; rows without ``doc_id`` count as
 documents but lose no line; repeated rows count one by one; lines of an eligible key that stand
