@@ -1,9 +1,9 @@
-"""Grouped prefix join: near-duplicate documents by Jaccard similarity of word n-grams.
+"""Prefix join over groups of equal sets: near-duplicate documents by Jaccard similarity of word n-grams.
 
 1. Documents with the same shingle set are one *node* (rows with equal texts, for example).
 2. Shingles are counted, and ordered by frequency class, then by hash; of every node only the prefix
    of that order which any similar partner must share is posted, with place and set size.
-   Nodes of equal size and prefix tokens meet as one group entry per token.
+   Nodes of equal size and prefix are not grouped further: each has its own entries.
 3. Pairs of a token's list pass the size, position and prefix-count filters, and are verified on the
    whole sets. Long lists are not paired out: their entries are first compared with a few common
    partners; entries that are still in different components are then compared block by block.
