@@ -34,6 +34,12 @@ def small_side(df: DataFrame) -> DataFrame:
     return broadcast_if_small(df, size)
 
 
+def lower_ascii(text):
+    """A-Z of a text column in lower case, other letters as they are."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, upper, upper.lower())
+
+
 def fold_of(doc_id: str, parts: int):
     """Fold of a document: crc32 of its id as text, modulo ``parts`` (no id: the empty text)."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalogspark.llm import hilbert, jaccard_join, line_runs, maxent, mixing, packing, quality, toxicity, trie_counts, vptree
+from catalogspark.llm import (
+    divergence, hilbert, jaccard_join, license_scan, line_runs, maxent, mixing, packing, quality, spelling, toxicity,
+    trie_counts, vptree,
+)
 from catalogspark.llm.common import fold_of, read
 
 
@@ -67,6 +70,18 @@ def op10(spark, sf_dir):
     return trie_counts.token_counts(_documents(spark, sf_dir), pieces)
 
 
+def op11(spark, sf_dir):
+    return divergence.divergence(_documents(spark, sf_dir))
+
+
+def op12(spark, sf_dir):
+    return license_scan.license_scan(_documents(spark, sf_dir))
+
+
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pack_sequences": op1,
     "op2_quality_rules": op2,
@@ -78,4 +93,7 @@ QUERIES = {
     "op8_hilbert_shards": op8,
     "op9_line_dedup": op9,
     "op10_token_counts": op10,
+    "op11_source_divergence": op11,
+    "op12_license_scan": op12,
+    "op13_spelling_variants": op13,
 }
