@@ -119,27 +119,52 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
+def _powers() -> dict:
+    """Powers of an odd base modulo 2^64 and of its inverse, PIECE_BYTES of each, and a random value per byte."""
     known = worker_state("powers", dict)
-    if len(known.get("up", ())) < n:
-        size = max(n, 2 * PIECE_BYTES)
+    if not known:
         for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(PIECE_BYTES + 1, base, np.uint64)
             steps[0] = 1
             known[name] = np.cumprod(steps, dtype=np.uint64)
         rng = np.random.default_rng(20)
         known["bytes"] = rng.integers(1, _HALF, 256, np.uint64)
-    return known["up"], known["down"]
+    return known
+
+
+def _long_span(data: np.ndarray) -> int:
+    """The polynomial of one span of any length, block by block."""
+    known, total, scale = _powers(), 0, 1
+    for first in range(0, len(data), PIECE_BYTES):
+        part = data[first:first + PIECE_BYTES]
+        total += scale * int(np.add.reduce(known["bytes"][part] * known["up"][:len(part)]))
+        scale = scale * pow(_ODD, len(part), 1 << 64) % (1 << 64)
+    return total % (1 << 64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial over random byte values, then scrambled."""
-    up, down = _powers(len(data) + 1)
-    values = worker_state("powers", dict)["bytes"][data] * up[:len(data)]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans (in order, apart): a polynomial over random byte values, then scrambled.
+
+    Spans are taken in groups that lie within PIECE_BYTES, so memory does not grow with the text; a hash does
+    not depend on where its span stands.
+    """
+    known = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = int(np.searchsorted(ends, base + PIECE_BYTES, "right"))
+        if last <= first:
+            out[first] = _long_span(data[base:ends[first]])
+            first += 1
+            continue
+        part = data[base:ends[last - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(known["bytes"][part] * known["up"][:len(part)], out=sums[1:])
+        at, to = starts[first:last] - base, ends[first:last] - base
+        out[first:last] = (sums[to] - sums[at]) * known["down"][at]
+        first = last
+    return mixed(out + (ends - starts).astype(np.uint64))
 
 
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -6,12 +6,15 @@ grid and the sorted order is cut into runs of equal row counts, so each shard co
 every dimension and a filter on any of them skips most files.
 
 Only DataFrame functions are used. Defined results: null texts come before all others, null
-numbers are level 0; equal places on the curve are ordered by text checksum (so that equal texts with
-equal metadata stay together), then ``doc_id``, nulls first; repeated rows take places of
+numbers are level 0; documents of equal texts lie together, where the one with the smallest ``doc_id`` lies; equal
+places on the curve are ordered by text checksum, then ``doc_id``, nulls first; repeated rows take places of
 their own; an empty table gives an empty table. Row counts differ by one at most, also with fewer
 rows than shards.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,12 +101,25 @@ def _number_level(rows: DataFrame, name: str, bits: int, out: str) -> DataFrame:
     return rows.withColumn(out, level.cast("int"))
 
 
+def _together(leveled: DataFrame, curve: str, key: str, group: list) -> DataFrame:
+    """Rows of a group take the curve index of the one with the smallest key."""
+    names = [unused(leveled, f"group_{c}") for c in group]
+    moved = unused(leveled, "moved")
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(curve).alias("at"))).alias(moved)
+    several = leveled.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), first).filter("rows > 1")
+    several = freeze(several.select(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(moved)["at"].alias(moved)))
+    same = reduce(and_, [F.col(c) == F.col(n) for c, n in zip(group, names)])
+    joined = leveled.join(small_side(several), same, "left")
+    return joined.withColumn(curve, F.coalesce(moved, curve)).drop(moved, *names)
+
+
 def hilbert_shards(
-    rows: DataFrame, key: str, texts: list, numbers: list, ties: list, shards: int = SHARDS, bits: int = BITS
+    rows: DataFrame, key: str, texts: list, numbers: list, ties: list, shards: int = SHARDS, bits: int = BITS, group: list | None = None
 ) -> DataFrame:
     """``rows`` with ``curve``, ``shard`` and ``slot`` (place in the shard, from 0).
 
-    ``rows`` should be narrow and stored: it is read several times.
+    ``rows`` should be narrow and stored: it is read several times. Rows of equal ``group`` columns lie together, where the
+    row with the smallest key lies; of a group only what passes the end of a shard stands in the next.
     """
     leveled, levels = rows, []
     for make, names in ((_text_level, texts), (_number_level, numbers)):
@@ -113,6 +129,8 @@ def hilbert_shards(
             levels.append(level)
     curve, place = unused(leveled, "curve"), unused(leveled, "place")
     leveled = leveled.withColumn(curve, hilbert_index([F.col(c) for c in levels], bits)).drop(*levels)
+    if group:
+        leveled = _together(leveled, curve, key, group)
     placed = sorted_position(leveled, [curve, *ties, key], place)
     total = max(rows.count(), 1)
     at = F.col(place) - 1
@@ -127,9 +145,10 @@ def document_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
     narrow = freeze(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang",
         (F.octet_length(body) + ROW_BYTES).cast("bigint").alias("size"),
-        F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"),
+        F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"), F.xxhash64(body).alias("text_hash"),
     ))
-    return hilbert_shards(narrow, "doc_id", ["source", "lang"], ["size"], ["text_crc32"], shards, bits)
+    same_text = ["text_crc32", "text_hash"]
+    return hilbert_shards(narrow, "doc_id", ["source", "lang"], ["size"], same_text, shards, bits, same_text).drop("text_hash")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, shards: int = SHARDS) -> None:

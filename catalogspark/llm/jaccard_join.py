@@ -1,13 +1,14 @@
-"""Prefix join over groups of equal sets: near-duplicate documents by Jaccard similarity of word n-grams.
+"""Grouped prefix join: near-duplicate documents by Jaccard similarity of word n-grams.
 
 1. Documents with the same shingle set are one *node* (rows with equal texts, for example).
-2. Shingles are counted, and ordered by frequency class, then by hash; of every node only the prefix
-   of that order which any similar partner must share is posted, with place and set size.
-   Nodes of equal size and prefix are not grouped further: each has its own entries.
-3. Pairs of a token's list pass the size, position and prefix-count filters, and are verified on the
-   whole sets. Long lists are not paired out: their entries are first compared with a few common
-   partners; entries that are still in different components are then compared block by block.
-4. Verified links give components over nodes, which are expanded to documents.
+2. Shingles are counted, and ordered by frequency class, then by hash. Of every node the prefix of that order which
+   any similar partner must share is taken; nodes of the same prefix and size are one *group*, which is posted once.
+3. Pairs of groups within a token's list pass the size, position and prefix-count filters; only then are they
+   expanded to pairs of nodes (and each group to the pairs of its own nodes), which are verified on the whole sets. Sets
+   reach the tasks block by block, not pair by pair.
+4. Long lists of a token, and groups of many nodes, are not paired out: their nodes are first compared with a few common
+   partners; nodes that are still in different components are then compared block by block.
+5. Verified links give components over nodes, which are expanded to documents.
 
 All counts cover all documents. The frequency table that reaches the tasks holds the most frequent
 shingles, ``MAX_FREQUENT`` of them at most; it only orders shingles, so results do not depend on it.
@@ -32,8 +33,10 @@ WORDS = 5
 # Similarity as a ratio of whole numbers: 75 / 100.
 NUM, DEN = 75, 100
 
-# Postings of one bucket are handled by one task; buckets grow with the corpus.
-BUCKET_TOKENS = 1 << 20
+# Shingles (all, of which about a quarter are posted) of one bucket, which one task handles; buckets grow with the corpus.
+BUCKET_TOKENS = 1 << 19
+# Bytes of text to a shingle, about.
+SHINGLE_BYTES = 6
 FLUSH_TOKENS = 1 << 20
 # Shingles of at least this many documents are ordered last, if they are among the most frequent.
 FREQUENT = 8
@@ -41,6 +44,8 @@ MAX_FREQUENT = 2_000_000
 # Lists above this length are linked to common partners before they are paired.
 LONG_LIST = 32
 HUBS = 3
+# Bytes of the sets that a task holds while it verifies pairs.
+VERIFY_BYTES = 1 << 23
 # Bytes of the sets that make one block of a cluster, and tokens that are compared at once.
 BLOCK_BYTES = 1 << 20
 PART_TOKENS = 1 << 22
@@ -85,18 +90,40 @@ def _needed(size_a, size_b):
     return (NUM * (size_a + size_b) + NUM + DEN - 1) // (NUM + DEN)
 
 
-def _set_rows(docs: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+def prefix_of(hashes: np.ndarray, shift, known: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shortened shingles of a set's prefix, in the common order."""
+    tokens = hashes >> shift
+    if len(known):
+        at = np.searchsorted(known, tokens)
+        at[at == len(known)] = 0
+        level = np.where(known[at] == tokens, levels[at], 0).astype(np.uint64)
+        tokens = np.sort(tokens | (level << np.uint64(56))) % np.uint64(1 << 56)
+    # A copy: a view would keep all tokens of the set alive.
+    return tokens[:prefix_length(len(hashes))].copy()
+
+
+def group_of(prefix: np.ndarray, size: int) -> int:
+    """A 64-bit name of a prefix together with the size of its set."""
+    name = np.array([node_of(prefix)], np.int64).view(np.uint64) + np.uint64(size)
+    return int(common.mixed(name).view(np.int64)[0])
+
+
+def _set_rows(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
+    """doc_id, n_shingles, node, grp of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shift = np.uint64(32 - bits)
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "node", "grp")])
 
     def rows(stream):
         for batch in stream:
-            sizes, nodes = [], []
+            sizes, nodes, groups = [], [], []
             for hashes in shingle_sets(common.filled(batch.column(1)), n):
                 sizes.append(len(hashes))
                 nodes.append(node_of(hashes) if len(hashes) else None)
-            yield common.batch_of(schema, [batch.column(0), sizes, nodes])
+                groups.append(group_of(prefix_of(hashes, shift, *shared.value), len(hashes)) if len(hashes) else None)
+            yield common.batch_of(schema, [batch.column(0), sizes, nodes, groups])
 
-    return _texts(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint")
+    return _texts(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, grp bigint")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -176,22 +203,19 @@ def frequent_tokens(docs: DataFrame, bits: int, n: int) -> tuple[np.ndarray, np.
 
 
 def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
-    """Per task and bucket, the prefix tokens of its nodes as packed columns."""
+    """Per task and bucket, the prefix tokens of its groups as packed columns."""
     buckets = 1 << bits
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(32 - bits)
-    out = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places")]])
-    most = np.uint64(1 << 56)
+    out = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "groups", "sizes", "places")]])
 
     def post(stream):
-        known, levels = shared.value
         held, seen, total = [], set(), 0
 
         def rows():
             tokens = np.concatenate([t for t, _, _ in held])
             lengths = [len(t) for t, _, _ in held]
-            nodes = np.repeat(np.array([x for _, x, _ in held], "<i8"), lengths)
+            groups = np.repeat(np.array([x for _, x, _ in held], "<i8"), lengths)
             sizes = np.repeat(np.array([x for _, _, x in held], "<u4"), lengths)
             places = np.concatenate([np.arange(x) for x in lengths]).clip(max=65535).astype("<u2")
             order = np.argsort((tokens >> np.uint64(32)).astype(np.uint32), kind="stable")
@@ -199,25 +223,19 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
             low = tokens.astype("<u4")
             return common.batch_of(out, [
                 [b for b, _, _ in cuts],
-                *[[column[order[i:j]].tobytes() for _, i, j in cuts] for column in (low, nodes, sizes, places)],
+                *[[column[order[i:j]].tobytes() for _, i, j in cuts] for column in (low, groups, sizes, places)],
             ])
 
         for batch in stream:
             for hashes in shingle_sets(common.filled(batch.column(1)), n):
                 if not len(hashes):
                     continue
-                node = node_of(hashes)
-                if node in seen:
+                prefix = prefix_of(hashes, shift, *shared.value)
+                group = group_of(prefix, len(hashes))
+                if group in seen:
                     continue
-                seen.add(node)
-                tokens = hashes >> shift
-                if len(known):
-                    at = np.searchsorted(known, tokens)
-                    at[at == len(known)] = 0
-                    level = np.where(known[at] == tokens, levels[at], 0).astype(np.uint64)
-                    tokens = np.sort(tokens | (level << np.uint64(56))) % most
-                prefix = tokens[:prefix_length(len(hashes))]
-                held.append((prefix, node, len(hashes)))
+                seen.add(group)
+                held.append((prefix, group, len(hashes)))
                 total += len(prefix)
                 if total >= FLUSH_TOKENS // 2:
                     yield rows()
@@ -225,7 +243,7 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
         if held:
             yield rows()
 
-    return _texts(docs).mapInArrow(post, "bucket int, tokens binary, nodes binary, sizes binary, places binary")
+    return _texts(docs).mapInArrow(post, "bucket int, tokens binary, groups binary, sizes binary, places binary")
 
 
 def _early(size_a, size_b, place_a, place_b):
@@ -238,14 +256,14 @@ def _early(size_a, size_b, place_a, place_b):
 
 
 def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
-    """Rows of a bucket: pairs with counts of common tokens (kind 0), and the entries of long lists (kind 1)."""
+    """Rows of a bucket: pairs of groups with counts of common tokens (kind 0), and the entries of long lists (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()),
                         ("size_b", pa.int64()), ("n", pa.int64()), ("early", pa.int32())])
 
     def column(name, kind):
         return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-    tokens, nodes = column("tokens", "<u4"), column("nodes", "<i8")
+    tokens, nodes = column("tokens", "<u4"), column("groups", "<i8")
     sizes, places = column("sizes", "<u4").astype(np.int64), column("places", "<u2").astype(np.int64)
     order = np.argsort(tokens, kind="stable")
     twin = np.zeros(len(tokens), bool)
@@ -255,7 +273,7 @@ def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
     at = np.flatnonzero(twin)
     at = at[np.lexsort((nodes[at], sizes[at], tokens[at]))]
     tokens, nodes, sizes, places = tokens[at], nodes[at], sizes[at], places[at]
-    # The same node posted by several tasks (copies) counts once.
+    # The same group posted by several tasks counts once.
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
     tokens, nodes, sizes, places = tokens[new], nodes[new], sizes[new], places[new]
@@ -298,33 +316,67 @@ def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFr
 
     def sets(stream):
         for batch in stream:
-            found = [h for h in shingle_sets(common.filled(batch.column(1)), n) if len(h)]
-            yield common.batch_of(schema, [[node_of(h) for h in found], [h.tobytes() for h in found]])
+            held, total = [], 0
+            for hashes in shingle_sets(common.filled(batch.column(1)), n):
+                if len(hashes):
+                    held.append((node_of(hashes), hashes.tobytes()))
+                    total += len(hashes)
+                if total * 8 >= common.PIECE_BYTES:
+                    yield common.batch_of(schema, list(zip(*held)))
+                    held, total = [], 0
+            if held:
+                yield common.batch_of(schema, list(zip(*held)))
 
     return chosen.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
+def _placed(pairs: DataFrame) -> DataFrame:
+    """Pairs with the place (key, low, high) where both sets are compared.
+
+    Pairs of near copies meet at their smallest node, so a set travels there once, however many pairs it is in. Small
+    meetings share a place; a meeting of more than VERIFY_BYTES is cut into pairs of blocks.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
+    at = ends.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("at"))
+    met = freeze(pairs.join(at.withColumnRenamed("node", "of"), F.col("a") == F.col("of")).drop("of"))
+    sides = met.select("at", F.col("a").alias("node"), F.col("size_a").alias("size")).unionAll(met.select("at", "b", "size_b"))
+    sizes = sides.distinct().groupBy(F.col("at").alias("of")).agg((F.sum("size") * 8).alias("bytes"))
+    sizes = freeze(sizes)
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    small = F.col("bytes") <= VERIFY_BYTES
+    blocks = F.expr(f"1 + bytes div {VERIFY_BYTES}")
+    first, second = (F.when(small, 0).otherwise(F.pmod(F.xxhash64(c), blocks)).cast("int") for c in ("a", "b"))
+    shared = F.pmod(F.xxhash64("at"), F.lit(1 + total // VERIFY_BYTES))
+    return met.join(sizes, F.col("at") == F.col("of")).select(
+        "a", "b", small.alias("small"), F.when(small, shared).otherwise(F.col("at")).alias("key"),
+        F.least(first, second).alias("low"), F.greatest(first, second).alias("high"),
+    )
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose whole sets are similar enough."""
-    pairs = freeze(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("want")).unionAll(pairs.select("b")).distinct()
-    sets_ = _sets(wanted, docs, rows, n)
+    """Pairs (a, b) of the given (a, b, size_a, size_b) whose whole sets are similar enough."""
+    place = ["small", "key", "low", "high"]
+    placed = freeze(_placed(pairs))
+    sides = placed.select(*place, F.col("a").alias("want")).unionAll(placed.select(*place, "b")).distinct()
+    sets_ = sides.join(_sets(sides.select("want").distinct(), docs, rows, n), F.col("want") == F.col("node")).drop("want")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def check(stream):
-        for batch in stream:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * common_ >= NUM * (len(x) + len(y) - common_))
-            keep = pa.array(keep, pa.bool_())
-            yield common.batch_of(links, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {node: h for node, h in zip(sets["node"].to_pylist(), sets["hashes"])}
+        found = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = (np.frombuffer(held[i].as_buffer(), np.uint64) for i in (a, b))
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            same = int((x[at] == y).sum())
+            if DEN * same >= NUM * (len(x) + len(y) - same):
+                found.append((a, b))
+        return pa.Table.from_batches([common.batch_of(links, list(zip(*found)) or [[], []])])
 
-    return freeze(
-        pairs.join(sets_.toDF("a", "set_a"), "a").join(sets_.toDF("b", "set_b"), "b")
-        .select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint")
-    )
+    # Both sides come from ``placed``; new names keep them apart.
+    theirs = [f"{c}_of" for c in place]
+    sets_ = sets_.select(*[F.col(c).alias(n) for c, n in zip(place, theirs)], "node", "hashes")
+    return freeze(placed.groupBy(*place).cogroup(sets_.groupBy(*theirs)).applyInArrow(check, "a bigint, b bigint"))
 
 
 def _named(links: DataFrame) -> DataFrame:
@@ -357,7 +409,42 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     met = entries.join(hubs, F.col("token") == F.col("at")).filter(
         (F.col("node") != F.col("hub")) & _column_filter("size", "hub_size", "place", "hub_place")
     )
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    ends = [F.struct(node, F.col(size).alias("size")) for node, size in ((F.col("node"), "size"), (F.col("hub").alias("node"), "hub_size"))]
+    ordered = met.select(F.least(*ends).alias("one"), F.greatest(*ends).alias("two")).distinct()
+    return ordered.select(
+        F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("size_a"), F.col("two.size").alias("size_b")
+    )
+
+
+def _members_of(pairs: DataFrame, members: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes for pairs of groups (a, b), and lists of nodes in place of what would be too many pairs.
+
+    A group's own nodes are paired too. Groups of more than ``long_list`` nodes, and pairs with such a group, become lists.
+    """
+    counted = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n_nodes"))
+    several = freeze(counted.filter("n_nodes > 1"))
+    sized = pairs.select("a", "b")
+    for side in ("a", "b"):
+        sized = sized.join(
+            common.small_side(several.toDF(f"of_{side}", f"n_{side}")), F.col(side) == F.col(f"of_{side}"), "left"
+        ).drop(f"of_{side}")
+    large = F.greatest(F.coalesce("n_a", F.lit(1)), F.coalesce("n_b", F.lit(1))) > long_list
+    own = several.select(F.col("grp").alias("a"), F.col("grp").alias("b"), (F.col("n_nodes") > long_list).alias("large"))
+    asked = freeze(sized.select("a", "b", large.alias("large")).unionAll(own))
+
+    def side(name):
+        return members.select(F.col("grp").alias(f"grp_{name}"), F.col("node").alias(f"node_{name}"), F.col("size").alias(f"size_{name}"))
+
+    met = asked.filter(~F.col("large")).join(side("a"), F.col("a") == F.col("grp_a")).join(side("b"), F.col("b") == F.col("grp_b"))
+    met = met.filter((F.col("a") != F.col("b")) | (F.col("node_a") < F.col("node_b")))
+    swap = F.col("node_a") > F.col("node_b")
+    nodes = met.select(*[
+        F.when(swap, F.col(x)).otherwise(F.col(y)).alias(out)
+        for x, y, out in (("node_b", "node_a", "a"), ("node_a", "node_b", "b"), ("size_b", "size_a", "size_a"), ("size_a", "size_b", "size_b"))
+    ])
+    listed = asked.filter("large").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array_distinct(F.array("a", "b"))).alias("of"))
+    lists = listed.join(members, F.col("of") == F.col("grp")).select("token", "node", "size", F.lit(0).cast("bigint").alias("place"))
+    return nodes, lists
 
 
 def _mixed_lists(entries: DataFrame) -> DataFrame:
@@ -438,41 +525,43 @@ def _decided(docs: DataFrame, n: int, long_list: int = LONG_LIST) -> DataFrame:
 
     ``stays`` marks the rows of one node and ``doc_id`` of each component, the smallest ``doc_id``.
     """
-    rows = freeze(_set_rows(docs, n))
-    known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(24, max(4, int(total // BUCKET_TOKENS).bit_length()))
     linkable = docs.filter(F.col("doc_id").isNotNull())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max(4, int(size // (SHINGLE_BYTES * BUCKET_TOKENS)).bit_length()))
     frequent = frequent_tokens(linkable, bits, n)
-    posted = postings(linkable, bits, frequent, n)
-    met = freeze(posted.groupBy("bucket").applyInArrow(
+    rows = freeze(_set_rows(docs, bits, frequent, n))
+    known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    members = freeze(known.select("grp", "node", F.col("n_shingles").alias("size")).distinct())
+    met = freeze(postings(linkable, bits, frequent, n).groupBy("bucket").applyInArrow(
         lambda table: _list_pairs(table, long_list),
         "kind int, a bigint, b bigint, size_a bigint, size_b bigint, n bigint, early int",
     ))
     lists = met.filter("kind = 1").select(
-        F.col("a").alias("token"), F.col("b").alias("node"), F.col("size_a").alias("size"), F.col("n").alias("place")
+        F.col("a").alias("token"), F.col("b").alias("in_list"), F.col("n").alias("place")
     )
-    # Tokens of a node in long lists are not counted pair by pair: they may all be common.
-    in_long = common.small_side(freeze(lists.groupBy("node").agg(F.count(F.lit(1)).alias("n_long"))))
+    # Tokens of a group in long lists are not counted pair by pair: they may all be common.
+    in_long = common.small_side(freeze(lists.groupBy("in_list").agg(F.count(F.lit(1)).alias("n_long"))))
     pairs = met.filter("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("early").alias("early"))
     for side in ("a", "b"):
-        more = in_long.select(F.col("node").alias(f"of_{side}"), F.col("n_long").alias(f"long_{side}"))
+        more = in_long.select(F.col("in_list").alias(f"of_{side}"), F.col("n_long").alias(f"long_{side}"))
         pairs = pairs.join(more, F.col(side) == F.col(f"of_{side}"), "left")
     rest = F.greatest(*[F.expr(f"({NUM} * {s} + {DEN - 1}) div {DEN} - 1") for s in ("size_a", "size_b")])
     possible = F.col("n") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) + rest + SLACK
     least = F.expr(f"({NUM} * (size_a + size_b) + {NUM + DEN - 1}) div {NUM + DEN}")
     # The first common token may also stand in a long list.
     in_both = F.col("long_a").isNotNull() & F.col("long_b").isNotNull()
-    tried = pairs.filter((possible >= least) & ((F.col("early") == 1) | in_both)).select("a", "b")
-    has_lists = not lists.isEmpty()
+    tried, more_lists = _members_of(pairs.filter((possible >= least) & ((F.col("early") == 1) | in_both)), members, long_list)
+    entries = lists.join(members, F.col("in_list") == F.col("grp")).select("token", "node", "size", "place").unionAll(more_lists)
+    entries = freeze(entries)
+    has_lists = not entries.isEmpty()
     if has_lists:
-        tried = tried.unionAll(_hub_pairs(lists)).distinct()
+        tried = tried.unionAll(_hub_pairs(entries)).distinct()
     links = _verified(tried, docs, known, n)
     parts = _named(links)
     if has_lists:
-        entries = freeze(_mixed_lists(_with_component(lists, parts)))
-        if not entries.isEmpty():
-            links = links.unionAll(_crossing_links(entries, docs, known, n))
+        mixed = freeze(_mixed_lists(_with_component(entries, parts)))
+        if not mixed.isEmpty():
+            links = links.unionAll(_crossing_links(mixed, docs, known, n))
             parts = _named(links)
     return _expanded(rows, known, parts)
 

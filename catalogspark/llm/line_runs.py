@@ -1,10 +1,14 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A run holds one row per line key: in how many documents it was found, and the largest
-``doc_id`` among them, sorted by hash. Every batch adds a run; once a level has ``fanout`` runs
-they are merged into one run of the next level. ``dedup_lines`` adds all batches, sums the few runs
-that are left by key, and joins all lines with the repeated keys. It has no anti-join per batch: counts and largest
-``doc_id`` are needed of every key, seen before or not. ``unseen`` and ``first_holders`` are such anti-joins, apart from it.
+``doc_id`` among them, sorted by hash. Documents come in batches. The keys of a batch are merge-anti-joined with the runs:
+keys that no run holds become a run of their own, so runs never share a key; keys that a run already holds are
+set aside as a batch of repetitions. Once a level has ``fanout`` runs they are compacted into one of the next level.
+A key is repeated if it has repetitions or its first batch alone holds it often enough; its counts are those of its run
+and its repetitions together, so the many keys that occur once are never aggregated again.
+
+Every batch is as large as all before it, from ``BATCH_BYTES`` of text on: batches grow in number with the logarithm of the
+input, and all anti-joins together read about twice the keys.
 
 Defined results: a null or empty text is one empty line; rows without ``doc_id`` count as
 documents but lose no line; repeated rows count one by one; lines of an eligible key that stand
@@ -26,7 +30,8 @@ from catalogspark.sources.tables import scratch
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 4
-BATCHES = 8
+# Bytes of text in the first batch, about.
+BATCH_BYTES = 32 << 20
 
 _GAPS = b" \t\n\x0b\x0c\r"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,7 +48,13 @@ def _line_key(line: bytes, min_chars: int):
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def line_keys(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
+def batch_count(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> int:
+    """Batches, each as large as all before it, of which the first has about ``batch_bytes``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 + (int(size) // batch_bytes).bit_length()
+
+
+def line_keys(docs: DataFrame, batches: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document and distinct eligible key: doc_id, h1, h2, batch."""
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -57,14 +68,17 @@ def line_keys(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHAR
             yield batch_of(schema, list(zip(*rows)) or [[], [], []])
 
     found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(keys, f"doc_id bigint, {_KEYS}")
-    return found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    # Half of all hashes are odd, half of the others end in 10, and so on: the last batch is the largest.
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    zeros = F.length(F.regexp_extract(F.bin(hash_), "(0*)$", 1))
+    return found.withColumn("batch", F.lit(batches - 1) - F.least(zeros, F.lit(batches - 1)))
 
 
 class LineRuns:
     """The runs of all batches so far, by level, stored below the cluster's shared folder."""
 
     def __init__(self, spark, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.again = spark, fanout, [[]], []
         self.root = scratch(spark, "line-runs")
         self.written = 0
 
@@ -82,14 +96,22 @@ class LineRuns:
         )
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2) rows as a run, then compact full levels."""
+        """Add a batch of (doc_id, h1, h2) rows: unseen keys as a run, others as repetitions; then compact full levels."""
         rows = keys.select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"))
-        self.levels[0].append(self._store(self._merged(rows)))
+        rows = self._merged(rows)
+        first = not any(self.levels)
+        if not first:
+            rows = self._store(rows)
+        fresh = self._store(self.unseen(rows))
+        if not first:
+            self.again.append(self._store(rows.join(fresh.hint("merge"), ["h1", "h2"], "left_anti")))
+        self.levels[0].append(fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._store(self._merged(self._union(self.levels[level]))))
+            # Runs share no keys, so compaction only sorts.
+            self.levels[level + 1].append(self._store(self._union(self.levels[level])))
             self.levels[level] = []
             level += 1
 
@@ -100,13 +122,6 @@ class LineRuns:
             out = out.unionAll(run)
         return out
 
-    def all(self) -> DataFrame:
-        """One row per key over all levels."""
-        runs = [run for level in self.levels for run in level]
-        if not runs:
-            return self.spark.createDataFrame([], f"{_KEYS}, n_docs bigint, last_doc bigint")
-        return self._merged(self._union(runs)) if len(runs) > 1 else runs[0]
-
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` that no run holds: one merge anti-join per run."""
         for level in self.levels:
@@ -114,6 +129,22 @@ class LineRuns:
                 keys = keys.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
+    def all(self) -> DataFrame:
+        """One row per key: its run's row, with its repetitions."""
+        runs = [run for level in self.levels for run in level]
+        if not runs:
+            return self.spark.createDataFrame([], f"{_KEYS}, n_docs bigint, last_doc bigint")
+        held = self._union(runs)
+        if not self.again:
+            return held
+        again = self._merged(self._union(self.again)).select(
+            F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_docs").alias("more"), F.col("last_doc").alias("later")
+        )
+        same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+        return held.join(again, same, "left").select(
+            "h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc")
+        )
+
 
 def first_holders(spark, batches: Iterable[DataFrame], fanout: int = FANOUT):
     """Batch by batch: the keys of each batch that no earlier batch had (smallest doc_id holds them)."""
@@ -125,7 +156,7 @@ def first_holders(spark, batches: Iterable[DataFrame], fanout: int = FANOUT):
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``; adds n_lines, n_dropped and kept_text last.
@@ -135,6 +166,7 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-keys")
+    batches = batches or batch_count(docs)
     # One file per task; its rows come sorted by batch, so a batch reads its own pages.
     line_keys(docs, batches, min_chars).sortWithinPartitions("batch").write.parquet(path)
     keys = spark.read.schema(f"doc_id bigint, {_KEYS}, batch int").parquet(path)

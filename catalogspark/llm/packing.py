@@ -28,8 +28,11 @@ OPEN_WINDOWS = 64
 # Tasks whose open windows are merged together.
 MERGED_TASKS = 16
 END_ID = 1
-# Words whose ids a worker remembers; about 150 bytes each.
-KNOWN_WORDS = 300_000
+# Bytes of words and their ids that a worker remembers, what Python keeps for each entry included.
+KNOWN_BYTES = 48 << 20
+ENTRY_BYTES = 180
+# Longer words are encoded each time they are met, and not remembered.
+LONG_WORD = 128
 
 _TASK_BITS = 32
 
@@ -49,16 +52,21 @@ class WordIds(dict):
     after a letter is a token of its own.
     """
 
-    def __init__(self, path: str, limit: int = KNOWN_WORDS):
+    def __init__(self, path: str, limit: int = KNOWN_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, _byte_letters()
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._ids(word)
-        if len(self) >= self.limit:
+        if len(word) > LONG_WORD:
+            return ids
+        if self.bytes >= self.limit:
             self.clear()
+            self.bytes = 0
         self[word] = ids
+        self.bytes += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
     def _ids(self, word: bytes) -> bytes:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogspark.llm import common
+from catalogspark.session import freeze
 
 BUCKETS = 1 << 16
 # Scores lie within +-SPAN; the histogram that fits the threshold has 2 * SPAN * BINS bins.
@@ -185,7 +186,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").cast("bigint").alias(key)).agg((F.min("quality") > 0).cast("int").alias(good))
     )
     # Stored, as both passes and the size check read it.
-    marks = common.small_side(marks.checkpoint())
+    marks = common.small_side(freeze(marks))
     marked = docs.join(marks, F.col("doc_id").cast("bigint") == F.col(key), "left").drop(key)
     ratios = log_ratios(gram_counts(marked.withColumn(common.unused(marked, "trusted"), F.col(good) == 1),
                                     common.unused(marked, "trusted")))

@@ -5,8 +5,8 @@ the largest total. The best cut of a prefix does not depend on what follows, so
 pre-tokens of a task are laid out as a trie and the forward score of every trie node is computed once,
 level by level, from its ancestors: ``score[node] = max over pieces ending here of
 score[ancestor] + log p(piece)``. The node where a pre-token ends holds its count, and documents add up
-the counts of their pre-tokens. A task's trie is dropped once it has ``MAX_NODES`` nodes, so
-memory stays bounded; counts do not depend on that.
+the counts of their pre-tokens. A task's trie is dropped once it has ``MAX_NODES`` nodes or ``MAX_BYTES`` bytes of
+pre-tokens, so memory stays bounded; counts do not depend on that.
 
 Vocabulary: the pieces of a public vocabulary file in order of rank; the log-probability of the piece
 with rank r is the Zipf value ``-log((r + OFFSET) * H)``, H making them sum to 1. A character
@@ -18,6 +18,8 @@ fewer tokens counts; repeated rows get equal rows; an empty table gives an empty
 ``doc_id`` and ``text`` are read.
 """
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,9 @@ from catalogspark.llm import common
 MARK = "▁"
 OFFSET = 10
 MAX_NODES = 2_000_000
-# Longer pre-tokens are cut one by one: a trie level for each of their characters would not pay.
+# Bytes of the pre-tokens whose counts a task's trie holds.
+MAX_BYTES = 64 << 20
+# Longer pre-tokens are cut one by one and not stored: a trie level for each of their characters would not pay.
 LONG_WORD = 256
 # Equal sums may differ in the last digits, depending on the order of additions.
 TIE = 1e-9
@@ -94,14 +98,15 @@ def _bytes_of(chars: np.ndarray) -> np.ndarray:
 
 def cut_directly(text: str, scores: dict, longest: int, byte_score: float) -> int:
     """Tokens of the best cut of one text, character by character."""
-    best, count = [0.0], [0]
+    # No piece reaches further back than ``longest`` characters, so that many scores are kept.
+    best, count = deque([0.0], longest), deque([0], longest)
     for end in range(1, len(text) + 1):
         size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        top, tokens = best[end - 1] + size * byte_score, count[end - 1] + size
-        for first in range(max(0, end - longest), end):
+        top, tokens = best[-1] + size * byte_score, count[-1] + size
+        for at, first in enumerate(range(max(0, end - longest), end)):
             score = scores.get(text[first:end])
             if score is not None:
-                score, n = best[first] + score, count[first] + 1
+                score, n = best[at] + score, count[at] + 1
                 if score > top + TIE or (abs(score - top) <= TIE and n < tokens):
                     top, tokens = score, n
         best.append(top)
@@ -123,7 +128,7 @@ class Trie:
 
     def clear(self) -> None:
         self.ends: dict = {}
-        self.size = 1
+        self.size, self.bytes = 1, 0
         self.keys, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.parent, self.char = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
         self.score, self.count = np.zeros(1 << 16), np.zeros(1 << 16, np.int64)
@@ -169,19 +174,12 @@ class Trie:
         self.size += n
 
     def insert(self, words: list) -> None:
-        """Add distinct words (bytes) and store their counts."""
-        texts = []
-        short = []
-        for word in words:
-            text = MARK + word.decode()
-            if len(text) > LONG_WORD:
-                longest, byte_score = self.vocabulary.longest, self.vocabulary.byte_score
-                self.ends[word] = cut_directly(text, self.scores, longest, byte_score)
-            else:
-                short.append(word)
-                texts.append(_chars(text))
+        """Add distinct words (bytes) of LONG_WORD bytes at most and store their counts."""
+        short = list(words)
+        texts = [_chars(MARK + word.decode()) for word in short]
         if not short:
             return
+        self.bytes += sum(map(len, short))
         lengths = np.array([len(t) for t in texts])
         order = np.argsort(-lengths, kind="stable")
         flat = np.concatenate([texts[i] for i in order])
@@ -212,13 +210,18 @@ class Trie:
     def counts(self, texts: list) -> tuple[list, list]:
         """Pre-tokens and tokens of each text (bytes)."""
         split = [t.split() for t in texts]
-        missing = list({w for words in split for w in words} - self.ends.keys())
+        distinct = {w for words in split for w in words}
+        long = {w for w in distinct if len(w) > LONG_WORD}
+        longest, byte_score = self.vocabulary.longest, self.vocabulary.byte_score
+        # Held for this call only.
+        own = {w: cut_directly(MARK + w.decode(), self.scores, longest, byte_score) for w in long}
+        missing = distinct - long - self.ends.keys()
         if missing:
-            if self.size > MAX_NODES:
+            if self.size > MAX_NODES or self.bytes > MAX_BYTES:
                 self.clear()
-                missing = list({w for words in split for w in words})
-            self.insert(missing)
-        held = self.ends
+                missing = distinct - long
+            self.insert(list(missing))
+        held = {**own, **{w: self.ends[w] for w in distinct - long}} if long else self.ends
         return [len(words) for words in split], [sum(map(held.__getitem__, words)) for words in split]
 
 

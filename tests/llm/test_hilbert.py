@@ -65,3 +65,18 @@ def test_files_are_written_by_shard(odd, spark, tmp_path):
     hilbert.write_shards(own, hilbert.document_shards(own, shards=4), str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == own.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_equal_texts_lie_together(spark):
+    """Copies with other sources and languages lie where the smallest doc_id lies; a group spans a shard's end at most."""
+    rows = []
+    for g in range(30):
+        for c in range(1 + g % 9):
+            rows.append((len(rows), f"text {g} " * (g + 1), f"l{(g + c) % 4}", f"s{(g * c) % 7}", None))
+    rows.append((None, "text 3 " * 4, None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    placed = sorted((r.shard, r.slot, r.text_crc32) for r in hilbert.document_shards(docs, shards=6).collect())
+    order = [crc for _, _, crc in placed]
+    assert len(order) == len(rows)
+    runs = [c for i, c in enumerate(order) if i == 0 or order[i - 1] != c]
+    assert len(runs) == len(set(runs)) == 30

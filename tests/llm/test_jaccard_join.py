@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -82,6 +84,37 @@ def test_large_groups_of_near_copies(spark, long_list, monkeypatch):
     assert found(df, long_list=long_list) == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize("long_list", [3, 32])
+def test_equal_prefixes_with_unlike_rests(spark, long_list, monkeypatch):
+    """Sets of one size whose rarest shingles are the same: one group, whose members are verified one by one."""
+    monkeypatch.setattr(jaccard_join, "VERIFY_BYTES", 4096)
+    monkeypatch.setattr(jaccard_join, "prefix_of", lambda hashes, *_: hashes[:0] + hashes[:1] % 2 if len(hashes) else hashes)
+    texts = near_group(30, 6, 21, 60) + near_group(25, 4, 22, 60) + [words(600 + i, 60, 10 ** 6) for i in range(20)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert found(df, long_list=long_list) == sorted(brute(rows), key=str)
+
+
+@pytest.mark.parametrize("verify_bytes", [256, 1 << 23])
+def test_verification_in_blocks(spark, monkeypatch, verify_bytes):
+    monkeypatch.setattr(jaccard_join, "VERIFY_BYTES", verify_bytes)
+    rows = list(enumerate(near_group(25, 9, 31) + near_group(12, 3, 32) + [words(700 + i, 40, 10 ** 6) for i in range(10)]))
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == sorted(brute(rows), key=str)
+
+
+def test_groups_are_formed_on_the_path(spark):
+    """Near copies that differ in common shingles only share prefix and size."""
+    base = words(41, 80, 10 ** 6)
+    hashes = [next(jaccard_join.shingle_sets(pa.array([t], pa.large_string()))) for t in (base, base + " tail")]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    prefixes = [jaccard_join.prefix_of(h, np.uint64(28), *none) for h in hashes]
+    assert [len(p) for p in prefixes] == [jaccard_join.prefix_length(len(h)) for h in hashes]
+    assert jaccard_join.group_of(prefixes[0], 76) != jaccard_join.group_of(prefixes[0], 77)
+    docs = spark.createDataFrame([(i, f"{base} {i}") for i in range(6)], "doc_id bigint, text string")
+    rows = jaccard_join._set_rows(docs, 4, none, 5).collect()
+    assert len({r.node for r in rows}) == 6 and len({r.grp for r in rows}) < 6
+
+
 def test_borders_of_the_threshold(spark):
     """Pairs at and around 75 of 100, with sets from 1 to 40 shingles."""
     texts = []

@@ -63,6 +63,33 @@ def test_runs_are_compacted_and_merged(spark):
     assert {(r.h1, r.n_docs, r.last_doc) for r in runs.all().collect()} == {
         (7, 5, 4), *[(b, 1, b) for b in range(5)]
     }
+    # No key stands in two runs; the key of all batches is in the oldest, its repetitions are set aside.
+    held = [r.h1 for level in runs.levels for run in level for r in run.collect()]
+    assert sorted(held) == [0, 1, 2, 3, 4, 7] and len(runs.again) == 4
+
+
+def test_batches_double_and_follow_the_bytes(spark):
+    docs = spark.createDataFrame([(i, f"a line that is long enough to be a key of its own {i}") for i in range(2000)], "doc_id bigint, text string")
+    assert line_runs.batch_count(docs, 1 << 30) == 1 and line_runs.batch_count(docs, 10_000) == 5
+    sizes = {r.batch: r["count"] for r in line_runs.line_keys(docs, 4).groupBy("batch").count().collect()}
+    assert sum(sizes.values()) == 2000 and set(sizes) == {0, 1, 2, 3}
+    assert abs(sizes[3] - 1000) < 120 and abs(sizes[2] - 500) < 90
+
+
+def test_batches_are_anti_joined_with_the_runs(spark, monkeypatch, capsys):
+    """The query's own path: every batch after the first meets the runs in a merge anti-join."""
+    plans, store = [], line_runs.LineRuns._store
+
+    def watched(self, rows):
+        rows.explain()
+        plans.append(capsys.readouterr().out)
+        return store(self, rows)
+
+    monkeypatch.setattr(line_runs.LineRuns, "_store", watched)
+    docs = spark.createDataFrame([(i, f"one of seven lines that are long enough to count {i % 7}") for i in range(70)], "doc_id bigint, text string")
+    done = line_runs.dedup_lines(docs, batches=3)
+    assert done.agg(F.sum("n_dropped")).first()[0] == 63
+    assert sum("SortMergeJoin" in p and "LeftAnti" in p for p in plans) >= 4
 
 
 def test_first_holders_anti_join_earlier_batches(spark):

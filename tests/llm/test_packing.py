@@ -96,3 +96,14 @@ def test_sequences_hold_their_pieces(odd, path):
         by_id[p.sequence_id].append((p.offset, bytes(p.ids)))
     made = {r.sequence_id: bytes(r.ids) for r in packing.sequences(pieces).collect()}
     assert made == {k: b"".join(b for _, b in sorted(v)) for k, v in by_id.items()}
+
+
+def test_known_words_are_bounded_by_bytes():
+    from catalogspark.llm import queries
+
+    known = packing.WordIds(queries.word_vocabulary(), limit=50_000)
+    for i in range(3000):
+        known.of_text(f"word{i} {'字' * 60}{i} x{i}".encode())
+        assert known.bytes <= 50_000 + 2_000
+        assert not any(len(w) > packing.LONG_WORD for w in known)
+    assert known.of_text(("字" * 60).encode()) == known._ids(("字" * 60).encode())

@@ -69,3 +69,38 @@ def test_query(spark, corpus):
             trie_counts.cut_directly("▁" + w.decode(), scores, vocabulary.longest, vocabulary.byte_score)
             for w in r.text.encode().split()
         )
+
+
+def test_long_words_are_not_held(monkeypatch):
+    """50,000 distinct words of 400 characters, and one of 300,000: nothing of them stays."""
+    trie = trie_counts.Trie(["a", "ab", "b", trie_counts.MARK])
+    monkeypatch.setattr(trie_counts, "cut_directly", lambda text, *_: len(text))
+    for first in range(0, 50_000, 5_000):
+        texts = [f"{i:06d}".encode() * 67 for i in range(first, first + 5_000)]
+        assert trie.counts(texts)[1] == [403] * 5_000
+    assert trie.counts([b"ab" * 150_000])[1] == [300_001]
+    assert not trie.ends and trie.size == 1 and trie.bytes == 0
+
+
+def test_held_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(trie_counts, "MAX_BYTES", 20_000)
+    trie = trie_counts.Trie(["a", "b", "ab", trie_counts.MARK])
+    for i in range(100):
+        trie.counts([f"ab{i:05d}{j}".encode() for j in range(100)])
+        assert trie.bytes <= 20_000 + 100 * 20 and len(trie.ends) <= 2_500
+
+
+def test_long_cut_equals_the_plain_one():
+    pieces = ["a", "ab", "ba", "b", "aab", trie_counts.MARK]
+    trie = trie_counts.Trie(pieces)
+    text = "abaab" * 80
+    best = [(0.0, 0)]
+    scores, byte = trie.scores, trie.vocabulary.byte_score
+    word = trie_counts.MARK + text
+    for end in range(1, len(word) + 1):
+        size = len(word[end - 1].encode())
+        options = [(best[end - 1][0] + size * byte, best[end - 1][1] + size)]
+        options += [(best[i][0] + scores[word[i:end]], best[i][1] + 1) for i in range(max(0, end - 3), end) if word[i:end] in scores]
+        top = max(o[0] for o in options)
+        best.append(min((o for o in options if o[0] >= top - trie_counts.TIE), key=lambda o: o[1]))
+    assert trie.counts([text.encode()])[1] == [best[-1][1]]
