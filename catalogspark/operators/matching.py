@@ -112,18 +112,19 @@ def grams(lengths: list) -> Column:
     return F.array_distinct(F.concat(*pieces))
 
 
-def literal_match(query: dict, wildcard: Column) -> Column:
-    """Whole query found in file name, repo or (optionally) folder path."""
+def field_hit(field: Column, query: dict, wildcard: Column) -> Column:
+    """Whole query found in one lower-cased field."""
+    pattern_hit = (
+        F.contains(field, query["head_run"]) & F.contains(field, query["tail_run"])
+        & F.rlike(field, query["pattern"])
+    )
+    return F.when(wildcard, pattern_hit).otherwise(F.contains(field, query["q_lc"]))
 
-    def hit(field: Column) -> Column:
-        pattern_hit = (
-            F.contains(field, query["head_run"]) & F.contains(field, query["tail_run"])
-            & F.rlike(field, query["pattern"])
-        )
-        return F.when(wildcard, pattern_hit).otherwise(F.contains(field, query["q_lc"]))
 
-    file, repo, folder = (F.col(c) for c in searchable())
-    return hit(file) | hit(repo) | (query["search_folders"] & hit(folder))
+def literal_match(query: dict, wildcard: Column) -> Column:
+    """Whole query found in file name, repo or (optionally) folder path."""
+    file, repo, folder = (field_hit(F.col(c), query, wildcard) for c in searchable())
+    return file | repo | (query["search_folders"] & folder)
 
 
 # Longest token list whose tests are written out; longer ones use array functions with lambdas.
@@ -164,16 +165,21 @@ def token_held(text_lc: Column, token: str) -> Column:
     return text_lc.rlike(f"[^{CJK}]*".join(token))
 
 
-def relevance(query_tokens: Column, search_folders: Column, at_most: int) -> Column:
-    """Sum over query tokens of the fields that contain them as a substring."""
+def token_points(token: Column, search_folders: Column) -> Column:
+    """Weights of the fields that contain a token as a substring."""
     file, repo, folder = (F.col(c) for c in searchable())
+    return (
+        F.when(F.contains(file, token), FILE_WEIGHT).otherwise(0)
+        + F.when(search_folders & F.contains(folder, token), FOLDER_WEIGHT).otherwise(0)
+        + F.when(F.contains(repo, token), REPO_WEIGHT).otherwise(0)
+    )
+
+
+def relevance(query_tokens: Column, search_folders: Column, at_most: int) -> Column:
+    """Sum over query tokens of their points."""
 
     def points(token: Column) -> Column:
-        return (
-            F.when(F.contains(file, token), FILE_WEIGHT).otherwise(0)
-            + F.when(search_folders & F.contains(folder, token), FOLDER_WEIGHT).otherwise(0)
-            + F.when(F.contains(repo, token), REPO_WEIGHT).otherwise(0)
-        )
+        return token_points(token, search_folders)
 
     if at_most > UNROLLED:
         return F.aggregate(query_tokens, F.lit(0), lambda total, token: total + points(token))

@@ -1,23 +1,32 @@
 """Publishing jobs: catalog generations, ranks, first pages, listings, manifests."""
 
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catalogspark.operators.bitmaps import facet_bitmaps
+from catalogspark.operators.blocks import blocked_postings
 from catalogspark.operators.catalog import with_record_id
 from catalogspark.operators.facets import by_name, corpus_metadata, facet_cube, repo_facet
 from catalogspark.operators.index import postings, vocabulary
+from catalogspark.operators.intervals import folder_numbers, with_folder_number
 from catalogspark.operators.matching import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, name_key
 from catalogspark.operators.ranking import (
     position_by_ord, sorted_position, sorted_position_in_group,
 )
 from catalogspark.operators.tree import folder_counts, folder_tree, root_entries
-from catalogspark.plans.search import SearchIndex
+from catalogspark.plans.search import RECORD, SearchIndex
 from catalogspark.session import freeze
 
 # Rows and version of a first page.
 FIRST_PAGE_ROWS = 100
 FIRST_PAGE_VERSION = 2
 
+# Bytes of a row group of the tables that searches read a few rows of.
+SEARCH_ROW_GROUP = 4 << 20
+
 # Longest list put into one published document; longer ones continue in further parts.
 PART_ENTRIES = 10_000
 
@@ -88,12 +97,13 @@ def browse_page(stored: DataFrame, entries: DataFrame, sort: str = "relevance",
     return stored.filter(F.col("ord").isin(ords)).orderBy(column)
 
 
-def publish(catalog: DataFrame, root: str, generation: int) -> None:
+def publish(catalog: DataFrame, root: str, generation: int, search_tables: bool = True) -> None:
     """Write all tables of one generation; a row in ``complete``, written last, makes it visible.
 
     Rows are clustered by the columns that queries select on, so Parquet statistics
     prune; ord is part of each range key, so hot tokens and repos split over files.
-    A generation is never written twice: its folders must not exist.
+    A generation is never written twice: its folders must not exist. Without ``search_tables``, blocked postings, bitmaps and
+    the copy by folder are left out (searches then scan); :func:`publish_search_tables` can add them later.
     """
 
     def path(table: str) -> str:
@@ -115,9 +125,33 @@ def publish(catalog: DataFrame, root: str, generation: int) -> None:
     by_range(vocabulary(spark.read.parquet(path("postings"))), "vocab", "scope", "token")
     by_range(folder_tree(folder_counts(stored)), "folder_nodes", "repo", "path")
     corpus_metadata(facet_cube(stored)).write.parquet(path("facets"))
+    if search_tables:
+        publish_search_tables(spark, root, generation)
     _mark(spark, path("complete"))
 
 
+def publish_search_tables(spark: SparkSession, root: str, generation: int) -> None:
+    """Write what searches can use besides postings, each in the order that queries select on.
+
+    Blocked postings of tokens and text pieces, bitmaps of the facets, numbers of the folder paths, and a copy of the records
+    clustered by folder.
+    """
+    stored = read_published(spark, root, "catalog", generation).drop("generation")
+
+    def write(rows: DataFrame, table: str, *order: str) -> None:
+        # Lists of ords and bitmaps are long; small row groups let a query read those of its own values only.
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option(
+            "parquet.block.size", SEARCH_ROW_GROUP
+        ).parquet(f"{root}/{table}/generation={generation}")
+
+    write(blocked_postings(stored), "blocks", "scope", "token", "block")
+    write(facet_bitmaps(stored), "bitmaps", "facet", "value", "bucket")
+    numbers = freeze(folder_numbers(stored))
+    write(numbers, "folder_numbers", "path")
+    records = stored.select(*RECORD, *[c for c in ("record_id",) if c in stored.columns])
+    write(with_folder_number(records, numbers), "by_folder", "folder_no", "ord")
+
+
 def _mark(spark: SparkSession, path: str) -> None:
     """One row below ``path``; fails if the path exists."""
     spark.range(1).coalesce(1).write.parquet(path)
@@ -126,17 +160,31 @@ def _mark(spark: SparkSession, path: str) -> None:
 def replace_corpus(catalog: DataFrame, root: str) -> int:
     """Publish a corpus as the next generation and return its number.
 
-    A number is claimed before anything is written, so a crashed attempt is skipped by the next one
-    and of two writers that want the same number one fails.
+    A number is claimed before anything is written, so a crashed attempt is skipped by the next one.
     """
     spark = catalog.sparkSession
-    generation = _highest(spark, f"{root}/claimed") + 1
-    _mark(spark, f"{root}/claimed/generation={generation}")
+    generation = claim(spark, root, highest(spark, f"{root}/claimed") + 1)
     publish(catalog, root, generation)
     return generation
 
 
-def _highest(spark: SparkSession, path: str) -> int:
+def claim(spark: SparkSession, root: str, generation: int) -> int:
+    """Take a generation number; of several writers that want the same one, all but one fail.
+
+    The lock is a file that is made by an exclusive create. That is atomic in HDFS; in an object store or on a plain disk,
+    where a file system only looks first and creates then, writers have to take turns.
+    """
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/locks/{generation}")
+    try:
+        lock.getFileSystem(spark._jsc.hadoopConfiguration()).create(lock, False).close()
+    except Exception as error:
+        raise FileExistsError(f"generation {generation} is taken") from error
+    _mark(spark, f"{root}/claimed/generation={generation}")
+    return generation
+
+
+def highest(spark: SparkSession, path: str) -> int:
+    """The largest generation with a row below ``path``; 0 when there is none."""
     try:
         marks = spark.read.parquet(path)
     except Exception as error:
@@ -148,7 +196,7 @@ def _highest(spark: SparkSession, path: str) -> int:
 
 def latest_generation(spark: SparkSession, root: str) -> int:
     """Number of the newest complete generation; 0 when there is none."""
-    return _highest(spark, f"{root}/complete")
+    return highest(spark, f"{root}/complete")
 
 
 def read_published(spark: SparkSession, root: str, table: str, generation: int) -> DataFrame:
@@ -159,10 +207,19 @@ def read_published(spark: SparkSession, root: str, table: str, generation: int)
 
 
 def read_index(spark: SparkSession, root: str, generation: int) -> SearchIndex:
-    return SearchIndex(
-        read_published(spark, root, "postings", generation),
-        read_published(spark, root, "vocab", generation),
-        read_published(spark, root, "browse", generation),
+    def table(name: str) -> DataFrame:
+        return read_published(spark, root, name, generation)
+
+    index = SearchIndex(table("postings"), table("vocab"), table("browse"))
+    try:
+        blocks = table("blocks")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return index
+    return replace(
+        index, blocks=blocks, repos=table("facets").filter("facet = 'repo'").select("repo"), bitmaps=table("bitmaps"),
+        folder_numbers=table("folder_numbers"), by_folder=table("by_folder"),
     )
 
 

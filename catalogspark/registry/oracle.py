@@ -1,8 +1,5 @@
 """DuckDB statements with the results the registered queries must give."""
 
-from catalogspark.functions.categories import CATEGORY_EXTENSIONS
-from catalogspark.operators.facets import EXTENSION_ORDER
-
 PART = """cat AS (
   SELECT p_partkey AS ord, concat('shop/', p_brand) AS repo, p_name AS file,
     CASE p_partkey % 7 WHEN 0 THEN 'PDF' WHEN 1 THEN 'pdf' WHEN 2 THEN 'txt' WHEN 3 THEN 'epub'
@@ -162,11 +159,22 @@ def compact(size: str) -> tuple:
 
 
 def category(ext: str) -> str:
-    whens = " ".join(
-        f"WHEN lower({ext}) IN ({', '.join(repr(e) for e in exts)}) THEN '{name}'"
-        for name, exts in CATEGORY_EXTENSIONS.items()
-    )
-    return f"CASE {whens} ELSE 'file' END"
+    return f"""CASE
+      WHEN lower({ext}) = 'pdf' THEN 'pdf'
+      WHEN lower({ext}) IN ('txt', 'mht', 'url', 'vcf', 'hhc') THEN 'text'
+      WHEN lower({ext}) IN ('epub', 'mobi', 'azw3', 'fb2', 'djvu', 'chm', 'caj') THEN 'book'
+      WHEN lower({ext}) IN ('doc', 'docx', 'odt', 'rtf') THEN 'doc'
+      WHEN lower({ext}) IN ('ppt', 'pptx', 'pps') THEN 'ppt'
+      WHEN lower({ext}) IN ('xls', 'xlsx') THEN 'xls'
+      WHEN lower({ext}) = 'csv' THEN 'csv'
+      WHEN lower({ext}) IN ('jpg', 'jpeg', 'png', 'gif', 'tif', 'tiff', 'bmp', 'webp', 'svg') THEN 'image'
+      WHEN lower({ext}) IN ('html', 'htm', 'aspx', 'css', 'js', 'xml', 'json', 'ini', 'bat') THEN 'code'
+      WHEN lower({ext}) IN ('mp4', 'flv', 'swf', 'rm', 'rmvb', 'wmv', 'mpg', 'mts', 'f4v', 'asx') THEN 'video'
+      WHEN lower({ext}) IN ('mp3', 'wav', 'wma', 'ape', 'm4a', 'mpga') THEN 'audio'
+      WHEN lower({ext}) IN ('iso', 'msi', 'dat') THEN 'archive'
+      WHEN lower({ext}) IN ('db', 'itf') THEN 'database'
+      WHEN lower({ext}) IN ('md', 'markdown') THEN 'markdown'
+      ELSE 'file' END"""
 
 
 def records_ids(scope: str) -> str:
@@ -209,7 +217,9 @@ CJK_NAME = "translate(file, 'aeiou', '资本论列宁')"
 
 CUBE = "cube AS (SELECT repo, lower(ext) AS e, count(*) AS n, count(*) FILTER (WHERE has_txt) AS t FROM cat GROUP BY ALL)"
 
-EXT_RANK = "CASE name " + " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(EXTENSION_ORDER)) + " END"
+EXT_RANK = """list_position(['pdf', 'txt', 'epub', 'mobi', 'azw3', 'fb2', 'djvu', 'chm', 'caj', 'doc', 'docx', 'odt', 'rtf', 'ppt', 'xlsx',
+  'jpg', 'png', 'gif', 'tif', 'html', 'htm', 'aspx', 'css', 'js', 'xml', 'mht', 'mp4', 'flv', 'swf', 'rm', 'rmvb', 'mp3', 'wav',
+  'iso', 'dat', 'exe'], name)"""
 
 SORT_OF = "CASE query_id % 3 WHEN 0 THEN 'relevance' WHEN 1 THEN 'name' ELSE 'size' END"
 BATCH_ORDER = (
@@ -263,6 +273,22 @@ def pick(value: float, by: str = "") -> str:
     )
 
 
+def changed(sql: str, *more: str) -> str:
+    """Over the part records that are left after half of them came at once, the others in two steps, and some went."""
+    return "WITH " + ", ".join([
+        PART.replace("cat AS", "whole AS", 1),
+        "steps AS (SELECT middle, 1 + (last - middle) // 2 AS step FROM (SELECT (min(ord) + max(ord)) // 2 AS middle, max(ord) AS last FROM whole) s)",
+        "cat AS (SELECT w.* FROM whole w, steps WHERE NOT (ord % 10 < 2 AND ord <= middle + (ord % 10) * step))", *more,
+    ]) + " " + sql
+
+
+def facets_of() -> str:
+    return (
+        "SELECT 'repo' AS facet, repo AS value, count(*) AS count FROM hit GROUP BY repo UNION ALL SELECT 'ext', lower(ext), count(*) FROM hit GROUP BY lower(ext) "
+        "UNION ALL SELECT 'text', '', count(*) FROM hit WHERE has_txt HAVING count(*) > 0"
+    )
+
+
 def build() -> dict:
     value, unit = compact("(size * 1000)")
     narrow_value, narrow_unit = compact("floor(size / 1000.0)")
@@ -285,6 +311,16 @@ def build() -> dict:
         ),
         "src4_read_root_listings": part("SELECT repo, kind, name, name AS path, count, ext, has_txt, size FROM entries", ROOT_ENTRIES),
         "src5_replace_corpus": part(f"SELECT {FLAT}, 2 AS generation FROM cat"),
+        "src5_changed_records": changed(
+            "SELECT ord, occurrence, concat(repo, chr(31), CASE WHEN folder_path = '' THEN '' ELSE concat(folder_path, '/') END, file, '/', ext, chr(31), occurrence) AS record_id "
+            "FROM (SELECT *, row_number() OVER (PARTITION BY repo, folder_path, file, ext ORDER BY ord) - 1 AS occurrence FROM cat) c"
+        ),
+        "src5_changed_vocabulary": changed(
+            "SELECT scope, token, count(*) AS df, min(ord) AS first_ord FROM toks GROUP BY scope, token", TOKENS
+        ),
+        "src5_changed_facets": changed(
+            "SELECT repo, lower(ext) AS ext, count(*) AS count, count(*) FILTER (WHERE has_txt) AS txt_count FROM cat GROUP BY 1, 2"
+        ),
         "snk1_first_pages": part(
             "SELECT 2 AS version, mode, page_repo, 'relevance' AS sort, 1 AS page, 100 AS page_size, any_value(total) AS total, count(*) AS rows, "
             "string_agg(file, '|' ORDER BY row) AS files FROM pages_of WHERE row < 100 GROUP BY mode, page_repo", FIRST_ROWS
@@ -361,6 +397,11 @@ def build() -> dict:
               OR EXISTS (SELECT 1 FROM pre p JOIN cat o ON o.folder_path = p.path
                          WHERE p.ord = c.ord AND p.depth > 0 AND o.ext = 'epub' AND o.repo = 'shop/Brand#2'))""", PREFIXES
         ),
+        "flt4_folder_numbers": part(
+            """SELECT path, row_number() OVER (ORDER BY replace(path, '/', chr(1)), path) AS first,
+                 row_number() OVER (ORDER BY replace(path, '/', chr(1)), path) - 1 + (SELECT count(*) FROM paths o WHERE p.path = '' OR o.path = p.path OR starts_with(o.path, concat(p.path, '/'))) AS last
+               FROM paths p""", PREFIXES, "paths AS (SELECT DISTINCT path FROM pre)"
+        ),
         "flt6_size": part(f"SELECT {FLAT} FROM cat WHERE size IS NULL OR size <= 0 OR size BETWEEN 950000 AND 1000000"),
         "flt7_has_text": part(f"SELECT {FLAT} FROM cat WHERE has_txt"),
         "flt_all_from_query_table": part(
@@ -429,6 +470,8 @@ def build() -> dict:
                ) x WHERE position BETWEEN 31 AND 60"""
         ),
         "page1_page": part(page("coalesce(size, 0) DESC, ord", literal.format("*", score(), "true"), 81, 120)),
+        "page1_filtered_by_bitmaps": part(page("ord", literal.format(
+            "*", score(), "repo IN ('shop/Brand#7', 'shop/Brand#8') AND lower(ext) IN ('pdf', 'txt', 'zip')"), 5, 8)),
         "page1_clamp": """SELECT p_partkey AS ord, CAST(CASE WHEN p_size = 5 THEN 100 ELSE greatest(1, least(500, p_size * 20 - 100)) END AS BIGINT) AS page_size,
             CAST(greatest(1, p_size - 10) AS BIGINT) AS page FROM part""",
         "agg1_repo": part("SELECT repo, count(*) AS count FROM cat GROUP BY repo"),
@@ -437,6 +480,15 @@ def build() -> dict:
         "agg4_text": part(
             "SELECT '' AS repo, count(*) AS count, count(*) > 0 AS available FROM cat WHERE has_txt UNION ALL SELECT repo, count(*), true FROM cat WHERE has_txt GROUP BY repo"
         ),
+        "agg3_facets_of_filtered": part(
+            facets_of(), "hit AS (SELECT * FROM cat WHERE repo IN ('shop/Brand#7', 'shop/Brand#8', 'shop/Brand#12') AND lower(ext) IN ('pdf', 'epub') AND has_txt)"
+        ),
+        "agg3_facets_of_tokens": part(
+            facets_of(), TOKENS, f"hit AS (SELECT * FROM cat WHERE {token_hits(['gear', 'size'])} AND lower(ext) IN ('pdf', 'txt', 'zip'))"
+        ),
+        "agg3_facets_of_size_range": part(
+            facets_of(), TOKENS, f"hit AS (SELECT * FROM cat WHERE {token_hits(['red'])} AND (size IS NULL OR size <= 0 OR size >= 950000))"
+        ),
         "agg5_metadata": part(
             """SELECT 'total' AS facet, '' AS repo, '' AS name, CAST(sum(n) AS BIGINT) AS count FROM cube
                UNION ALL SELECT 'repo', repo, '', CAST(sum(n) AS BIGINT) FROM cube GROUP BY repo
@@ -481,6 +533,13 @@ def build() -> dict:
         "log1_recent_queries": RECENT,
         "log1_recent_queries_stream": RECENT,
     }
+    # The same answers by way of stored blocks, bitmaps and intervals.
+    for key in ("srch2_literal", "srch2_literal_documents", "srch3_wildcard", "srch4_tokens", "srch4_tokens_file_only", "srch5_fuzzy_search"):
+        out[key + "_by_blocks"] = out[key]
+    for key in ("flt4_folder_subtree", "flt5_folder_mixed", "hier1_folder_contents"):
+        out[key + "_by_interval"] = out[key]
+    for key in ("smp1_random_per_repo", "smp1_random_text"):
+        out[key + "_by_bitmaps"] = out[key]
     return out
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import categories, links, paths, predicates, sizes, text
 from catalogspark.operators import catalog as records
-from catalogspark.operators import facets, fuzzy, index, matching, sampling, tree
-from catalogspark.plans import publish, search
+from catalogspark.operators import bitmaps, facets, fuzzy, index, intervals, matching, sampling, tree
+from catalogspark.plans import increments, publish, search
 from catalogspark.schema import QUERY
 from catalogspark.sources import compact, snapshots, tables
 from catalogspark.streaming import recent
@@ -336,23 +336,92 @@ def _hits(result: search.SearchResult) -> DataFrame:
     )
 
 
-def _search(source, **params):
+def _search(source, blocks=False, **params):
     def query(spark, sf_dir):
         catalog = source(spark, sf_dir)
-        return _hits(search.search(catalog, search.build_index(catalog), **params))
+        return _hits(search.search(catalog, search.build_index(catalog, blocks), **params))
 
     return query
 
 
-def _page(source, **params):
+def _page(source, blocks=False, **params):
     def query(spark, sf_dir):
         catalog = source(spark, sf_dir)
-        rows = search.search(catalog, search.build_index(catalog), **params).rows
+        rows = search.search(catalog, search.build_index(catalog, blocks), **params).rows
         return rows.select("position", F.col("score").cast("bigint").alias("score"), "ord", "file")
 
     return query
 
 
+def _facets_of(blocks=True, **params):
+    def query(spark, sf_dir):
+        catalog = part(spark, sf_dir)
+        return search.search_facets(catalog, search.build_index(catalog, blocks), **params)
+
+    return query
+
+
+def flt4_interval(spark, sf_dir):
+    """The subtree filter of a search, through the records by folder."""
+    catalog = part(spark, sf_dir)
+    found = search.search(catalog, search.build_index(catalog, True), q="", folders=["/ECONOMY/", "SMA", ""])
+    return _flat(found.matched)
+
+
+def flt5_interval(spark, sf_dir):
+    catalog = part(spark, sf_dir)
+    found = search.search(
+        catalog, search.build_index(catalog, True), q="", folder_match_mode="mixed",
+        folder_selfs=["SMALL", "", "LARGE/size 7"], folder_subtrees=["/MEDIUM"],
+    )
+    return _flat(found.matched)
+
+
+def flt4_numbers(spark, sf_dir):
+    """Every folder path with its number and that of its last descendant."""
+    return intervals.folder_numbers(part(spark, sf_dir))
+
+
+def hier1_interval(spark, sf_dir):
+    catalog = part(spark, sf_dir)
+    numbers = intervals.folder_numbers(catalog)
+    folders, files = intervals.folder_listing(intervals.with_folder_number(catalog, numbers), numbers, "shop/Brand#13", "/MEDIUM/")
+    return _contents(folders, files)
+
+
+def src5_changes(spark, sf_dir):
+    """Half the catalog, then two changes: some records go, others come; parts are merged on the way."""
+    catalog = part(spark, sf_dir)
+    first, last = catalog.agg(F.min("ord"), F.max("ord")).first()
+    middle = (first + last) // 2
+    corpus = increments.Corpus(spark, tables.scratch(spark, "increments"), fanout=2)
+    generation = corpus.start(catalog.filter(F.col("ord") <= middle))
+    step = 1 + (last - middle) // 2
+    for i in range(2):
+        low = middle + i * step
+        generation = corpus.change(
+            catalog.filter((F.col("ord") > low) & (F.col("ord") <= low + step)),
+            catalog.filter((F.col("ord") <= low) & (F.col("ord") % 10 == i)).select("ord"),
+        )
+    return corpus, generation
+
+
+def src5_records(spark, sf_dir):
+    corpus, generation = src5_changes(spark, sf_dir)
+    return corpus.records(generation).select("ord", "occurrence", "record_id")
+
+
+def src5_vocabulary(spark, sf_dir):
+    corpus, generation = src5_changes(spark, sf_dir)
+    return corpus.vocabulary(generation).select("scope", "token", "df", "first_ord")
+
+
+def src5_facets(spark, sf_dir):
+    corpus, generation = src5_changes(spark, sf_dir)
+    cube = corpus.cube(generation)
+    return cube.select("repo", "ext", "count", "txt_count")
+
+
 def srch5(spark, sf_dir):
     """Misspelt names: every part word with its middle letter dropped, or cut to two letters."""
     vocab = _vocab(spark, sf_dir)
@@ -530,7 +599,10 @@ def agg7_folders(spark, sf_dir):
 
 
 def hier1(spark, sf_dir):
-    folders, files = tree.folder_contents(part(spark, sf_dir), "shop/Brand#13", "/MEDIUM/")
+    return _contents(*tree.folder_contents(part(spark, sf_dir), "shop/Brand#13", "/MEDIUM/"))
+
+
+def _contents(folders, files) -> DataFrame:
     return folders.select(
         F.lit("folder").alias("kind"), "name", "path", "count", F.lit("").alias("ext"),
         F.lit(None).cast("bigint").alias("size"),
@@ -569,6 +641,19 @@ def smp1_text(spark, sf_dir):
     return _ords(sampling.random_record(part(spark, sf_dir), txt_only=True, value=0.81, span=128))
 
 
+def smp1_bitmaps(spark, sf_dir):
+    """One record of every repo, found by counts of bits."""
+    catalog = part(spark, sf_dir)
+    picked = bitmaps.random_ord_per_repo(bitmaps.facet_bitmaps(catalog), 0.37).select("ord")
+    return _ords(catalog.join(picked, "ord", "left_semi"))
+
+
+def smp1_text_bitmaps(spark, sf_dir):
+    catalog = part(spark, sf_dir)
+    picked = bitmaps.random_ord(bitmaps.facet_bitmaps(catalog), 0.81, txt_only=True)
+    return _ords(catalog.join(picked, "ord", "left_semi"))
+
+
 def log1(spark, sf_dir):
     return recent.recent_queries(tables.query_events(spark, sf_dir)).select(
         "user_id", "q", "ts", F.col("rank").cast("bigint").alias("rank")
@@ -596,6 +681,9 @@ QUERIES = {
     "src3_read_first_pages": src3,
     "src4_read_root_listings": src4,
     "src5_replace_corpus": src5,
+    "src5_changed_records": src5_records,
+    "src5_changed_vocabulary": src5_vocabulary,
+    "src5_changed_facets": src5_facets,
     "snk1_first_pages": snk1,
     "snk2_root_listings": snk2,
     "snk3_manifest": snk3,
@@ -624,19 +712,28 @@ QUERIES = {
     "flt2_extension": flt2,
     "flt3_folder_exact": flt3,
     "flt4_folder_subtree": flt4,
+    "flt4_folder_subtree_by_interval": flt4_interval,
+    "flt4_folder_numbers": flt4_numbers,
     "flt5_folder_mixed": flt5,
+    "flt5_folder_mixed_by_interval": flt5_interval,
     "flt5_folder_mixed_tables": flt5_large,
     "flt6_size": flt6,
     "flt7_has_text": flt7,
     "flt_all_from_query_table": flt_all,
     "srch1_mode": srch1,
     "srch2_literal": _search(part, q="ED R", exact=True),
+    "srch2_literal_by_blocks": _search(part, blocks=True, q="ED R", exact=True),
     "srch2_literal_documents": _search(tables.document_catalog, q="th.", search_folders=False),
+    "srch2_literal_documents_by_blocks": _search(tables.document_catalog, blocks=True, q="th.", search_folders=False),
     "srch3_wildcard": _search(part, q="R?d*g"),
+    "srch3_wildcard_by_blocks": _search(part, blocks=True, q="R?d*g"),
     "srch4_tokens": _search(part, q="Gear size promo"),
+    "srch4_tokens_by_blocks": _search(part, blocks=True, q="Gear size promo"),
     "srch4_tokens_file_only": _search(tables.document_catalog, q="the en", search_folders=False),
+    "srch4_tokens_file_only_by_blocks": _search(tables.document_catalog, blocks=True, q="the en", search_folders=False),
     "srch5_fuzzy_terms": srch5,
     "srch5_fuzzy_search": _search(part, q="rng bolts"),
+    "srch5_fuzzy_search_by_blocks": _search(part, blocks=True, q="rng bolts"),
     "srch6_edit_distance": srch6,
     "srch7_relevance": srch7,
     "srch8_literal_batch": srch8_literal,
@@ -649,22 +746,29 @@ QUERIES = {
     "sort5_browse_ranks": sort5,
     "sort5_browse_page": sort5_page,
     "page1_page": _page(part, q="", sort="size", page=3, page_size=40),
+    "page1_filtered_by_bitmaps": _page(part, blocks=True, q="", repos=["shop/Brand#7", "shop/Brand#8"], extensions=["pdf", "txt", "zip"], page=2, page_size=4),
     "page1_clamp": page1_clamp,
     "agg1_repo": _facet(facets.repo_facet),
     "agg2_extension": _facet(facets.extension_facet),
     "agg3_extension_by_repo": _facet(facets.extension_by_repo_facet),
     "agg4_text": agg4,
+    "agg3_facets_of_filtered": _facets_of(q="", repos=["shop/Brand#7", "shop/Brand#8", "shop/Brand#12"], extensions=["pdf", "epub"], has_text=True),
+    "agg3_facets_of_tokens": _facets_of(q="gear size", extensions=["pdf", "txt", "zip"]),
+    "agg3_facets_of_size_range": _facets_of(q="red", min_size=950000),
     "agg5_metadata": agg5,
     "agg5_metadata_empty": agg5_empty,
     "agg6_extension_panel": agg6,
     "agg7_complement": agg7,
     "agg7_folder_complement": agg7_folders,
     "hier1_folder_contents": hier1,
+    "hier1_folder_contents_by_interval": hier1_interval,
     "hier1_all_listings": hier1_all,
     "hier2_folder_tree": hier2,
     "hier3_ancestors": hier3,
     "smp1_random_per_repo": smp1,
+    "smp1_random_per_repo_by_bitmaps": smp1_bitmaps,
     "smp1_random_text": smp1_text,
+    "smp1_random_text_by_bitmaps": smp1_text_bitmaps,
     "log1_recent_queries": log1,
     "log1_recent_queries_stream": log1_stream,
 }
