@@ -1,5 +1,7 @@
 """Shared pieces: tables, per-worker state and vectorised words of whole texts."""
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -54,6 +56,27 @@ def worker_state(name: str, make):
     return getattr(home, name)
 
 
+def release() -> None:
+    """Hand memory that this worker has freed back to the system: workers outlive their tasks, and keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Other C libraries have no such call, and return memory in their own way.
+        pass
+
+
+def tidy(function):
+    """A function over the batches of a task that releases freed memory at the end."""
+
+    def run(stream):
+        yield from function(stream)
+        release()
+
+    return run
+
+
 # --- words of Arrow text columns ---------------------------------------------------
 
 

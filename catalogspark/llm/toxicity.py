@@ -6,11 +6,12 @@ window of every whole text is scored. Per window, two gated recurrent layers rea
 both directions, attention pools their states, and a linear layer gives a logit. A document has the
 logit of its worst window.
 
-Training (one task, bounded data): at most ``TRAIN_DOCS`` labelled documents of each class, taken in
-the order of a hash of their ids, of at most ``TRAIN_BYTES`` bytes and, in a training step,
-``TRAIN_WINDOWS`` windows each. A document's loss is on the soft maximum of its windows, as labels name
-documents and not passages. The decision point is fitted on the same documents and mapped to
-a score of ``DECISION``.
+Training (one task, bounded data): at most ``TRAIN_DOCS`` labelled documents of each class, of ``TEXT_BYTES``
+bytes at most each and ``TRAIN_BYTES`` together, taken in the order of a hash of their ids. A document's loss is on the soft
+maximum of all its windows, as labels name documents and not passages; gradients are added up over parts of
+``AT_ONCE`` windows. One in ``CUT_PART`` usable labelled documents is not learned from: the decision point is fitted on the scores of
+all of those, of any length, by their histogram (on all usable ones where they are too few), and mapped to a score
+of ``DECISION``. It takes ``MAX_FALSE`` of the clean ones for toxic at most; texts of more than ``LONG_TEXT`` windows have a point of their own.
 
 Defined results: a null or empty text is one window without words; documents without label are scored
 like all others; conflicting labels of a document count as toxic; repeated rows get equal rows; if
@@ -23,13 +24,24 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.llm import common
+from catalogspark.session import freeze
 
 WINDOW, STRIDE = 32, 16
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_WINDOWS = 1500, 1 << 16, 48
+TRAIN_DOCS, TEXT_BYTES, TRAIN_BYTES = 1500, 1 << 20, 64 << 20
+# Windows whose states are held at once in training.
+AT_ONCE = 4096
+# Every fourth labelled document serves the decision point, if there are at least so many of each class.
+CUT_PART, LEAST_CUT = 4, 20
+# Share of clean documents that may be taken for toxic ones when the decision point is fitted.
+MAX_FALSE = 0.01
+# Texts of more windows have a decision point of their own: the worst of many windows is worse by chance.
+LONG_TEXT = 48
+# Histogram of logits: bins to a unit, and the largest logit that has a bin of its own.
+BINS, LARGEST = 64, 32
 STEPS, BATCH, RATE = 240, 16, 0.02
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 12, 8, 8
 DECISION = 0.7
@@ -184,7 +196,7 @@ class Adam:
 
 
 def document_logits(model: dict, texts: pa.LargeStringArray, at_once: int = 16_384):
-    """For every piece of a filled Arrow column: the logit of the worst window of each text."""
+    """For every piece of a filled Arrow column: the logit of the worst window of each text, and which texts are long."""
     for _, _, data, offsets in common.pieces(texts):
         words = Words(data, offsets)
         vectors = words.vectors(model)
@@ -194,11 +206,18 @@ def document_logits(model: dict, texts: pa.LargeStringArray, at_once: int = 16_3
             for i in range(0, len(text), at_once)
         ])
         starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        yield np.maximum.reduceat(logits, starts)
+        yield np.maximum.reduceat(logits, starts), np.diff(np.append(starts, len(text))) > LONG_TEXT
+
+
+def logits_of(model: dict, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all texts, and which of them are long."""
+    found = list(document_logits(model, texts))
+    logits, long = zip(*found) if found else ([np.zeros(0)], [np.zeros(0, bool)])
+    return np.concatenate(logits), np.concatenate(long)
 
 
 def train(texts: list, toxic: np.ndarray, steps: int = STEPS, seed: int = 4) -> dict | None:
-    """Model with its decision point, from whole texts and labels; None without both classes."""
+    """Model from whole texts and labels; None without both classes."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return None
@@ -212,62 +231,93 @@ def train(texts: list, toxic: np.ndarray, steps: int = STEPS, seed: int = 4) ->
         column = pa.array([texts[i] for i in chosen], pa.large_string())
         data, offsets = common.buffers(column)
         words = Words(data[:offsets[-1]], offsets)
+        vectors = words.vectors(model)
         text, first, size = window_table(words.bounds)
-        # Long texts give a random run of their windows.
+        parts = [slice(i, i + AT_ONCE) for i in range(0, len(text), AT_ONCE)]
+        shown = [window_words(words.number, first[part], size[part]) for part in parts]
+        passes = [forward(model, vectors, *given, keep=len(parts) == 1) for given in shown]
+        logits = passes[0][0] if len(parts) == 1 else np.concatenate(passes)
         starts = np.searchsorted(text, np.arange(len(chosen)))
-        counts = np.bincount(text, minlength=len(chosen))
-        skip = (rng.random(len(chosen)) * np.maximum(counts - TRAIN_WINDOWS + 1, 1)).astype(int)
-        place = np.arange(len(text)) - starts[text]
-        used = (place >= skip[text]) & (place < skip[text] + TRAIN_WINDOWS)
-        text, first, size = text[used], first[used], size[used]
-        starts = np.searchsorted(text, np.arange(len(chosen)))
-        numbers, mask = window_words(words.number, first, size)
-        vectors = words.vectors(model)
-        logits, held = forward(model, vectors, numbers, mask, keep=True)
         top = np.maximum.reduceat(logits, starts)
         mass = np.exp(logits - top[text])
         total = np.add.reduceat(mass, starts)
         soft = top + np.log(total)
         d_soft = (sigmoid(soft) - toxic[chosen]) / len(chosen)
         d_logits = (d_soft[text] * mass / total[text]).astype(np.float32)
-        grad = backward(model, vectors, numbers, mask, held, d_logits)
+        grad = None
+        for part, given, made in zip(parts, shown, passes):
+            held = made[1] if len(parts) == 1 else forward(model, vectors, *given, keep=True)[1]
+            more = backward(model, vectors, *given, held, d_logits[part])
+            grad = more if grad is None else {name: grad[name] + more[name] for name in more}
         d_vectors = grad.pop("vectors")
         grad["word"], grad["gram"] = np.zeros_like(model["word"]), np.zeros_like(model["gram"])
         np.add.at(grad["word"], words.word_rows, d_vectors)
         share = d_vectors / words.gram_counts[:, None]
         np.add.at(grad["gram"], words.gram_rows, share[words.gram_word].astype(np.float32))
         adam.update(grad)
-    logits = np.concatenate(list(document_logits(model, pa.array(texts, pa.large_string()))))
-    # The cut that parts the classes best, in the middle of its gap.
-    order = np.argsort(logits)
-    ordered, bad = logits[order], toxic[order]
-    right = np.cumsum(~bad) / (~bad).sum() + (bad.sum() - np.cumsum(bad)) / bad.sum()
-    best = int(np.argmax(right))
-    after = min(best + 1, len(ordered) - 1)
-    model["cut"] = np.float32((ordered[best] + ordered[after]) / 2)
     return model
 
 
+def best_cut(clean: np.ndarray, bad: np.ndarray) -> float:
+    """The logit that finds most of the second histogram and MAX_FALSE of the first at most, in the middle of its gap."""
+    # Shares above the cut, with the cut below bin i.
+    false, found = (1 - np.concatenate([[0], np.cumsum(side)]) / max(side.sum(), 1) for side in (clean, bad))
+    right = np.where(false <= MAX_FALSE + 1e-12, found - false, -1.0)
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    # Edges of equal worth on end are one gap.
+    gap = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)[0]
+    return float((gap[0] + gap[-1]) / 2 / BINS - LARGEST)
+
+
 # --- Spark -------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TRAIN_DOCS) -> DataFrame:
-    """text, toxic of at most ``each`` usable labelled documents of each class."""
-    marks = (
+def marked_docs(labels: DataFrame, usable: Column) -> DataFrame:
+    """mark_doc, toxic, for_cut of the usable labelled documents; the last are not learned from."""
+    return (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable)
         .groupBy(F.col("doc_id").cast("bigint").alias("mark_doc")).agg((F.max("toxic") > 0).alias("toxic"))
+        .withColumn("for_cut", F.pmod(F.xxhash64("mark_doc", F.lit("cut")), F.lit(CUT_PART)) == 0)
     )
+
+
+def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.filter(F.octet_length("text") <= TRAIN_BYTES)
-    found = None
-    for toxic in (True, False):
-        # Twice as many ids as documents asked for: some may lack a text of the right size.
-        side = marks.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("mark_doc"), "mark_doc").limit(2 * each)
-        rows = texts.join(F.broadcast(side), F.col("doc_id") == F.col("mark_doc")).orderBy(
-            F.xxhash64("doc_id"), "doc_id"
-        ).limit(each).select("text", "toxic")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    return texts.join(common.small_side(marks), F.col("doc_id") == F.col("mark_doc")).drop("mark_doc")
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, each: int = TRAIN_DOCS) -> DataFrame:
+    """text, toxic of the labelled documents to learn from: a bounded number of bounded texts of each class."""
+    usable = _labelled(docs, marks).filter(F.octet_length("text") <= TEXT_BYTES)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    # The constant bound drops rows before the shuffle, so a window task sees few rows of each class.
+    first = usable.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place"))
+    return first.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).select("text", "toxic")
+
+
+def with_cut(model: dict | None, docs: DataFrame, marks: DataFrame) -> dict | None:
+    """The model with the decision point that fits all ``marks`` best."""
+    if model is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("toxic", pa.bool_()), ("long", pa.bool_()), ("bin", pa.int32())])
+
+    def bins(stream):
+        for batch in stream:
+            logits, long = logits_of(shared.value, common.filled(batch.column(0)))
+            at = np.clip((logits + LARGEST) * BINS, 0, 2 * LARGEST * BINS - 1).astype(np.int32)
+            yield common.batch_of(schema, [batch.column(1), long, at])
+
+    binned = _labelled(docs, marks).select("text", "toxic").mapInArrow(common.tidy(bins), "toxic boolean, long boolean, bin int")
+    # At most 2 * LARGEST * BINS rows of each class and length.
+    sides = np.zeros((2, 2, 2 * LARGEST * BINS))
+    for toxic, long, at, n in binned.groupBy("toxic", "long", "bin").count().collect():
+        sides[int(long), int(toxic), at] = n
+    whole = best_cut(*sides.sum(axis=0))
+    # A length with few clean documents takes the common point; long texts never take a lower one.
+    cuts = [best_cut(*side) if side[0].sum() >= LEAST_CUT and side[1].sum() else whole for side in sides]
+    return {**model, "cut": np.array([cuts[0], max(cuts)], np.float32)}
 
 
 def fit(sample: DataFrame, steps: int = STEPS) -> dict | None:
@@ -294,14 +344,19 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
             if model is None:
                 scores = np.zeros(len(texts))
             else:
-                logits = np.concatenate([np.zeros(0), *document_logits(model, texts)])
-                scores = sigmoid(logits.astype(np.float64) - float(model["cut"]) + shift)
+                logits, long = logits_of(model, texts)
+                scores = sigmoid(logits.astype(np.float64) - model["cut"].astype(np.float64)[long.astype(int)] + shift)
             yield common.batch_of(schema, [batch.column(0), scores])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(common.tidy(score), "doc_id bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """doc_id, score, predicted; labels are learned from label rows where ``usable`` holds."""
-    model = fit(labelled_sample(docs, labels, usable))
+    marks = freeze(marked_docs(labels, usable))
+    counts = {(r["toxic"], r["for_cut"]): r["count"] for r in marks.groupBy("toxic", "for_cut").count().collect()}
+    apart = all(counts.get((toxic, True), 0) >= LEAST_CUT for toxic in (True, False))
+    learned, judged = (marks.filter(~F.col("for_cut")), marks.filter("for_cut")) if apart else (marks, marks)
+    model = fit(labelled_sample(docs, learned.drop("for_cut")))
+    model = with_cut(model, docs, judged.drop("for_cut"))
     return scored(docs, model).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
