@@ -123,7 +123,7 @@ def _set_rows(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
                 groups.append(group_of(prefix_of(hashes, shift, *shared.value), len(hashes)) if len(hashes) else None)
             yield common.batch_of(schema, [batch.column(0), sizes, nodes, groups])
 
-    return _texts(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, grp bigint")
+    return _texts(docs).mapInArrow(common.tidy(rows), "doc_id bigint, n_shingles bigint, node bigint, grp bigint")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def frequent_tokens(docs: DataFrame, bits: int, n: int) -> tuple[np.ndarray, np.
         return pa.Table.from_batches([common.batch_of(classes, list(zip(*rows)) or [[], [], [], []])])
 
     counted = freeze(
-        _texts(docs).mapInArrow(count, "bucket int, tokens binary, counts binary")
+        _texts(docs).mapInArrow(common.tidy(count), "bucket int, tokens binary, counts binary")
         .groupBy("bucket").applyInArrow(frequent, "bucket int, class int, n bigint, tokens binary")
     )
     sizes = {r["class"]: r["total"] for r in counted.groupBy("class").agg(F.sum("n").alias("total")).collect()}
@@ -243,7 +243,7 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
         if held:
             yield rows()
 
-    return _texts(docs).mapInArrow(post, "bucket int, tokens binary, groups binary, sizes binary, places binary")
+    return _texts(docs).mapInArrow(common.tidy(post), "bucket int, tokens binary, groups binary, sizes binary, places binary")
 
 
 def _early(size_a, size_b, place_a, place_b):
@@ -305,6 +305,12 @@ def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
     return pa.Table.from_batches([common.batch_of(schema, [np.concatenate([x, y]) for x, y in zip(pairs, lists)])])
 
 
+def _tidy_pairs(table: pa.Table, long_list: int) -> pa.Table:
+    found = _list_pairs(table, long_list)
+    common.release()
+    return found
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """node, hashes of the nodes in ``wanted`` (want), from one document of each."""
     one = (
@@ -327,7 +333,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFr
             if held:
                 yield common.batch_of(schema, list(zip(*held)))
 
-    return chosen.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"])
+    return chosen.mapInArrow(common.tidy(sets), "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def _placed(pairs: DataFrame) -> DataFrame:
@@ -533,7 +539,7 @@ def _decided(docs: DataFrame, n: int, long_list: int = LONG_LIST) -> DataFrame:
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     members = freeze(known.select("grp", "node", F.col("n_shingles").alias("size")).distinct())
     met = freeze(postings(linkable, bits, frequent, n).groupBy("bucket").applyInArrow(
-        lambda table: _list_pairs(table, long_list),
+        lambda table: _tidy_pairs(table, long_list),
         "kind int, a bigint, b bigint, size_a bigint, size_b bigint, n bigint, early int",
     ))
     lists = met.filter("kind = 1").select(

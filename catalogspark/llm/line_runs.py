@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.common import batch_of, filled, small_side, unused
+from catalogspark.llm.common import batch_of, filled, small_side, tidy, unused
 from catalogspark.sources.tables import scratch
 
 MIN_CHARS = 40
@@ -67,7 +67,7 @@ def line_keys(docs: DataFrame, batches: int, min_chars: int = MIN_CHARS) -> Data
                 rows += [(doc, *k) for k in found if k is not None]
             yield batch_of(schema, list(zip(*rows)) or [[], [], []])
 
-    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(keys, f"doc_id bigint, {_KEYS}")
+    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(keys), f"doc_id bigint, {_KEYS}")
     # Half of all hashes are odd, half of the others end in 10, and so on: the last batch is the largest.
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
     zeros = F.length(F.regexp_extract(F.bin(hash_), "(0*)$", 1))
@@ -218,4 +218,4 @@ def _without_lines(docs: DataFrame, lost: DataFrame, min_chars: int) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *names.values()])
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidy(apply), schema)

@@ -155,7 +155,7 @@ def pack(
     # Stored once: both halves below read it, and tokenizing is the dear part.
     placed = freeze(
         docs.select(F.col("doc_id").cast("bigint"), "text")
-        .mapInArrow(pieces, f"{types}, task bigint, is_open boolean")
+        .mapInArrow(common.tidy(pieces), f"{types}, task bigint, is_open boolean")
     )
     emitted = placed.filter(~F.col("is_open")).drop("task", "is_open")
     left = placed.filter("is_open").withColumn("team", F.floor(F.col("task") / MERGED_TASKS))

@@ -153,7 +153,7 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(common.tidy(score), schema)
 
 
 def fitted_threshold(scores: DataFrame, score: str, good: str) -> float:
