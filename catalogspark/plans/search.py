@@ -325,6 +325,8 @@ def _batch_page(matched: DataFrame, record: list, last_row: int) -> DataFrame:
 LISTED_ORDS = 1000
 
 
+# Blocks in which one record of so many is a candidate are read as ranges.
+DENSE = 64
 # Ords of an intersection that come back to be written into the plan; more are joined.
 FETCHED_ORDS = 20_000
 
@@ -437,7 +439,13 @@ def _by_grams(found: DataFrame, index: SearchIndex | None, asked, repo_hit) -> D
         return found
     lists = [[piece] for piece in pieces]
     met = _met_blocks(index, b.GRAM_SCOPE, lists)
-    return found if met is None else _of_blocks(found, index, b.GRAM_SCOPE, lists, met)[0]
+    if met is None:
+        return found
+    most = sum(r["most"] for r in met)
+    if most > LISTED_ORDS and most * DENSE > len(met) * b.BLOCK_SPAN:
+        # Every block holds many candidates: reading its range is as good as looking them up.
+        return found.filter(_in_ranges([r["block"] for r in met]))
+    return _of_blocks(found, index, b.GRAM_SCOPE, lists, met)[0]
 
 
 def _terms(index: SearchIndex, asked) -> dict | None:

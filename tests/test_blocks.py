@@ -42,6 +42,15 @@ def test_every_way_of_reading_gives_the_same(catalog, built, monkeypatch, limits
         assert answer(search.search(catalog, built, **q)) == brute.search(ROWS, **q), q
 
 
+def test_dense_blocks_are_read_as_ranges(catalog, built, monkeypatch, capsys):
+    monkeypatch.setattr(search, "LISTED_ORDS", 3)
+    monkeypatch.setattr(search, "DENSE", 1 << 14)
+    q = dict(q="d r", exact=True)
+    result = search.search(catalog, built, **q)
+    assert answer(result) == brute.search(ROWS, **q)
+    assert "Join" not in plan(result.matched, capsys)
+
+
 @pytest.mark.parametrize("span", [1, 7, 1 << 14])
 def test_blocks_hold_all_postings(catalog, span):
     rows = blocks.blocked_postings(catalog, span=span).collect()
