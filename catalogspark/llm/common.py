@@ -56,6 +56,22 @@ def worker_state(name: str, make):
     return getattr(home, name)
 
 
+# Rows of an Arrow batch while they are whole texts; Spark's own default is for narrow rows.
+TEXT_ROWS = 1000
+_BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; where the session has Spark's default, batches that go to Python hold fewer rows from now on.
+
+    Executors and workers each hold whole batches, several times over, and keep the memory.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == _DEFAULT_ROWS:
+        conf.set(_BATCH_ROWS, str(TEXT_ROWS))
+    return df
+
+
 def release() -> None:
     """Hand memory that this worker has freed back to the system: workers outlive their tasks, and keep it otherwise."""
     gc.collect()

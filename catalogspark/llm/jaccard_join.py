@@ -127,7 +127,7 @@ def _set_rows(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), "text")
+    return common.small_batches(docs).select(F.col("doc_id").cast("bigint"), "text")
 
 
 def _cut(tokens: np.ndarray, buckets: int):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.common import batch_of, filled, small_side, tidy, unused
+from catalogspark.llm.common import batch_of, filled, small_batches, small_side, tidy, unused
 from catalogspark.sources.tables import scratch
 
 MIN_CHARS = 40
@@ -164,7 +164,7 @@ def dedup_lines(
     A key of ``min_chars`` code points found in ``min_docs`` documents keeps its lines only in
     the largest ``doc_id`` that holds it.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     path = scratch(spark, "line-keys")
     batches = batches or batch_count(docs)
     # One file per task; its rows come sorted by batch, so a batch reads its own pages.

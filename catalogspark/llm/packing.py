@@ -154,7 +154,7 @@ def pack(
     types += ", ids binary" if with_ids else ""
     # Stored once: both halves below read it, and tokenizing is the dear part.
     placed = freeze(
-        docs.select(F.col("doc_id").cast("bigint"), "text")
+        common.small_batches(docs).select(F.col("doc_id").cast("bigint"), "text")
         .mapInArrow(common.tidy(pieces), f"{types}, task bigint, is_open boolean")
     )
     emitted = placed.filter(~F.col("is_open")).drop("task", "is_open")

@@ -187,6 +187,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # Stored, as both passes and the size check read it.
     marks = common.small_side(freeze(marks))
+    docs = common.small_batches(docs)
     marked = docs.join(marks, F.col("doc_id").cast("bigint") == F.col(key), "left").drop(key)
     ratios = log_ratios(gram_counts(marked.withColumn(common.unused(marked, "trusted"), F.col(good) == 1),
                                     common.unused(marked, "trusted")))
