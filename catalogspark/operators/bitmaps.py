@@ -8,9 +8,6 @@ bitmaps of equal buckets, and counts are numbers of bits: facets of a filtered s
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FACETS = ("repo", "ext", "text")
-
-
 # Bits of one bitmap, as Spark makes them.
 BUCKET = 32768
 
