@@ -23,6 +23,15 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+def standing_tokens(text: Column) -> Column:
+    """The tokens of a text that stand in it as they are: all but the bigrams that jump over other text."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
+    singles = F.regexp_extract_all(lowered, F.lit(f"[{CJK}]"), F.lit(0))
+    pairs = F.regexp_extract_all(lowered, F.lit(f"(?=([{CJK}][{CJK}]))"), F.lit(1))
+    return F.array_distinct(F.when(lowered.rlike(f"[{CJK}]"), F.concat(runs, singles, pairs)).otherwise(runs))
+
+
 def trim_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.paths import folder_path
-from catalogspark.functions.text import tokens
+from catalogspark.functions.text import standing_tokens, tokens
 from catalogspark.session import broadcast_if_small
 
 from .index import SCOPES, scope_text
@@ -40,13 +40,32 @@ def text_grams(text: Column, n: int = GRAM) -> Column:
 
 
 def word_postings(catalog: DataFrame, scopes=SCOPES) -> DataFrame:
-    """(scope, token, ord, points) of tokens, with the relevance that a query for the token gives the record."""
-    per_scope = F.array(*[F.struct(F.lit(s).alias("scope"), tokens(scope_text(s)).alias("tokens")) for s in scopes])
-    fields = searchable()
-    each = catalog.withColumns(fields).select("ord", *fields, F.explode(per_scope).alias("s")).select(
-        "ord", *fields, F.col("s.scope").alias("scope"), F.explode("s.tokens").alias("token")
+    """(scope, token, ord, points) of tokens, with the relevance that a query for the token gives the record.
+
+    Whether a name contains its own tokens follows from its pieces, taken in one pass; the name is searched only for the runs that
+    its folders add. So the work grows with the text, not with text times tokens, and no row of a token holds the name.
+    """
+    found = {f"in_{s}": tokens(scope_text(s)) for s in scopes}
+    cut = catalog.withColumns({**searchable(), "standing": standing_tokens(F.col("file")), **found})
+    # Characters and bigrams that a name contains all stand in it; a folder's run may be a part of a longer one.
+    if "all" in scopes:
+        cut = cut.withColumn("added", F.filter(
+            F.array_except("in_all", "standing"), lambda t: t.rlike("^[a-z0-9]") & F.contains(F.col("file_lc"), t)
+        ))
+    sides = {}
+    for s in scopes:
+        held = F.array_intersect(f"in_{s}", "standing")
+        if s == "all":
+            held = F.array_union(held, "added")
+        sides[s, True], sides[s, False] = held, F.array_except(F.col(f"in_{s}"), held)
+    cut = cut.select("ord", "folder_lc", "repo_lc", *[t.alias(f"{s}_{own}") for (s, own), t in sides.items()])
+    # An array of columns: Spark would test any other one for emptiness first, and derive all tokens again for that.
+    rows = F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(own).alias("own"), F.col(f"{s}_{own}").alias("tokens")) for s, own in sides])
+    each = cut.select("ord", "folder_lc", "repo_lc", F.inline(rows)).select(
+        "ord", "folder_lc", "repo_lc", "scope", "own", F.explode("tokens").alias("token")
     )
-    return each.select("scope", "token", "ord", token_points(F.col("token"), F.col("scope") == "all").alias("points"))
+    points = token_points(F.col("token"), F.col("scope") == "all", F.col("own"))
+    return each.select("scope", "token", "ord", points.alias("points"))
 
 
 def gram_postings(catalog: DataFrame) -> DataFrame:

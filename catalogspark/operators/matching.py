@@ -165,11 +165,11 @@ def token_held(text_lc: Column, token: str) -> Column:
     return text_lc.rlike(f"[^{CJK}]*".join(token))
 
 
-def token_points(token: Column, search_folders: Column) -> Column:
-    """Weights of the fields that contain a token as a substring."""
+def token_points(token: Column, search_folders: Column, in_file: Column | None = None) -> Column:
+    """Weights of the fields that contain a token as a substring; ``in_file`` says it of the name where that is known."""
     file, repo, folder = (F.col(c) for c in searchable())
     return (
-        F.when(F.contains(file, token), FILE_WEIGHT).otherwise(0)
+        F.when(F.contains(file, token) if in_file is None else in_file, FILE_WEIGHT).otherwise(0)
         + F.when(search_folders & F.contains(folder, token), FOLDER_WEIGHT).otherwise(0)
         + F.when(F.contains(repo, token), REPO_WEIGHT).otherwise(0)
     )

@@ -70,6 +70,35 @@ def test_blocks_hold_all_postings(catalog, span):
     assert got == wanted
 
 
+def test_points_of_postings_are_those_of_a_search_in_the_fields(make, capsys):
+    """Names hold their own tokens as they stand, except bigrams that jump; no name is searched once for each of its tokens."""
+    rows = make([
+        ("o/ring", "Ring 资x本论 ringed", "", ["ring ed", "资 本", "in"], 1, False), ("o/r", None, "", ["a b"], 1, False),
+        ("in/本", "资 本", "", [], 1, False), ("q", "x", "", None, 1, False), ("k", "İx K2 ΑΣ", "", ["K2", "i"], 1, False),
+    ])
+    each = blocks.word_postings(rows)
+    texts = {i: ((r.file or "").lower(), "/".join(r.folder or []).lower(), r.repo.lower()) for i, r in enumerate(rows.orderBy("ord").collect())}
+    got = [tuple(r) for r in each.collect()]
+    assert len(got) == len(set(got)) and {(s, t, o) for s, t, o, _ in got} == {
+        (r.scope, r.token, r.ord) for r in search.build_index(rows).postings.collect()
+    }
+    for scope, token, ord_, points in got:
+        file, folder, repo = texts[ord_]
+        assert points == 3 * (token in file) + 2 * (scope == "all" and token in folder) + (token in repo), (scope, token, ord_)
+    file_only = plan(blocks.word_postings(rows, ("file",)), capsys)
+    assert "Contains(file_lc" not in file_only and "Contains(lower(file" not in file_only
+
+
+def test_a_long_name_costs_no_more_than_its_length(make):
+    """200,000 tokens in a name: one search of the name for each token would read 300 GB."""
+    import time
+    name = " ".join(f"t{i}" for i in range(200_000))
+    rows = make([("o/r", name, "txt", ["f"], 1, False)])
+    begun = time.time()
+    assert blocks.word_postings(rows, ("file",)).agg(F.count("token"), F.min("points")).first() == (200_000, 3)
+    assert time.time() - begun < 30
+
+
 def test_frequent_tokens_with_few_common_records_read_few_blocks(make, spark, tmp_path, capsys):
     """Two tokens of 2,000 records each that share 3: their ranges meet in a few blocks, and no record is scanned."""
     rows = [("o/r", f"{'left' if i < 2000 else 'right'} n{i}" + (" right" if i in (77, 78, 1999) else ""), "pdf", [], 1, False) for i in range(4000)]
