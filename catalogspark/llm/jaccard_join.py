@@ -3,7 +3,7 @@
 1. Documents with the same shingle set are one *node* (rows with equal texts, for example).
 2. Shingles are counted, and ordered by frequency class, then by hash. Of every node the prefix of that order which
    any similar partner must share is taken; nodes of the same prefix and size are one *group*, which is posted once.
-3. Pairs of groups within a token's list pass the size, position and prefix-count filters; only then are they
+3. Tokens with the same list are taken together. Pairs of groups within a list pass the size, position and prefix-count filters; only then are they
    expanded to pairs of nodes (and each group to the pairs of its own nodes), which are verified on the whole sets. Sets
    reach the tasks block by block, not pair by pair.
 4. Long lists of a token, and groups of many nodes, are not paired out: their nodes are first compared with a few common
@@ -85,11 +85,6 @@ def prefix_length(size: int) -> int:
     return size - _least_common(size) + 1
 
 
-def _needed(size_a, size_b):
-    """Common shingles of two similar sets, at least (numbers, arrays or columns of whole numbers)."""
-    return (NUM * (size_a + size_b) + NUM + DEN - 1) // (NUM + DEN)
-
-
 def prefix_of(hashes: np.ndarray, shift, known: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The shortened shingles of a set's prefix, in the common order."""
     tokens = hashes >> shift
@@ -246,19 +241,14 @@ def postings(docs: DataFrame, bits: int, frequent, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(common.tidy(post), "bucket int, tokens binary, groups binary, sizes binary, places binary")
 
 
-def _early(size_a, size_b, place_a, place_b):
-    """Position filter on arrays: whether a common token at these places may be the first of a similar pair.
+def _token_lists(table: pa.Table, long_list: int) -> pa.Table:
+    """Rows of a bucket: the groups of a token, smallest sets first (kind 0), and the entries of long lists one by one (kind 1).
 
-    The tokens after it must still suffice. It says nothing of later common tokens, so those of a pair
-    are counted whatever their places.
+    A row is a token's list, not a pair of groups, so the number of rows follows the tokens, whatever the sizes of groups and the
+    number of buckets. Lists are cut where neighbours differ too much in size to be similar; entries that stand alone are left out.
     """
-    return np.minimum(size_a - place_a, size_b - place_b) + SLACK >= _needed(size_a, size_b)
-
-
-def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
-    """Rows of a bucket: pairs of groups with counts of common tokens (kind 0), and the entries of long lists (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()),
-                        ("size_b", pa.int64()), ("n", pa.int64()), ("early", pa.int32())])
+    listed = pa.list_(pa.int64())
+    schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("groups", listed), ("sizes", listed), ("places", listed)])
 
     def column(name, kind):
         return np.frombuffer(b"".join(table[name].to_pylist()), kind)
@@ -279,38 +269,59 @@ def _list_pairs(table: pa.Table, long_list: int) -> pa.Table:
     tokens, nodes, sizes, places = tokens[new], nodes[new], sizes[new], places[new]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
     lengths = np.diff(np.append(first, len(tokens)))
-    run, length = np.repeat(np.arange(len(first)), lengths), np.repeat(lengths, lengths)
-    found = []
-    for step in range(1, min(long_list, int(lengths.max(initial=1)))):
-        a = np.flatnonzero((run[step:] == run[:-step]) & (length[step:] <= long_list))
-        b = a + step
-        ok = DEN * np.minimum(sizes[a], sizes[b]) >= NUM * np.maximum(sizes[a], sizes[b])
-        found.append((a[ok], b[ok]))
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, int)
-    b = np.concatenate([x for _, x in found]) if found else np.zeros(0, int)
-    early = _early(sizes[a], sizes[b], places[a], places[b])
-    swap = nodes[a] > nodes[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((nodes[b], nodes[a]))
-    a, b, early = a[order], b[order], early[order]
-    head = np.ones(len(a), bool)
-    head[1:] = (nodes[a][1:] != nodes[a][:-1]) | (nodes[b][1:] != nodes[b][:-1])
-    at = np.flatnonzero(head)
-    counts = np.diff(np.append(at, len(a)))
-    soonest = np.maximum.reduceat(early.astype(int), at) if len(at) else at
-    pairs = [np.zeros(len(at), int), nodes[a[at]], nodes[b[at]], sizes[a[at]], sizes[b[at]], counts, soonest]
-    held = np.flatnonzero(length > long_list)
-    bucket = table["bucket"][0].as_py()
-    lists = [np.ones(len(held), int), tokens[held].astype(np.int64) | (bucket << 32), nodes[held], sizes[held], sizes[held], places[held], np.zeros(len(held), int)]
-    return pa.Table.from_batches([common.batch_of(schema, [np.concatenate([x, y]) for x, y in zip(pairs, lists)])])
-
-
-def _tidy_pairs(table: pa.Table, long_list: int) -> pa.Table:
-    found = _list_pairs(table, long_list)
+    long = np.repeat(lengths, lengths) > long_list
+    # Whether an entry and the next one of its list may be similar by size.
+    near = np.zeros(len(tokens) + 1, bool)
+    near[1:-1] = (tokens[1:] == tokens[:-1]) & ~long[1:] & (DEN * sizes[:-1] >= NUM * sizes[1:])
+    held = np.flatnonzero(long | near[1:] | near[:-1])
+    begins = np.append(np.flatnonzero(~near[:-1][held]), len(held))
+    lists = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x[held], pa.int64())) for x in (nodes, sizes, places)]
+    heads = held[begins[:-1]]
+    named = tokens[heads].astype(np.int64) | (table["bucket"][0].as_py() << 32)
+    return pa.table([pa.array(long[heads].astype(np.int32)), pa.array(named), *lists], schema=schema)
+
+
+def _tidy_lists(table: pa.Table, long_list: int) -> pa.Table:
+    found = _token_lists(table, long_list)
     common.release()
     return found
 
 
+def _least_shared(size_a: str, size_b: str):
+    """Common shingles of two similar sets, at least (names of columns)."""
+    return F.expr(f"({NUM} * ({size_a} + {size_b}) + {NUM + DEN - 1}) div {NUM + DEN}")
+
+
+def _may_be_first(size_a: str, size_b: str, place_a: str, place_b: str):
+    """Position filter: whether a common token at these places may be the first of a similar pair.
+
+    The tokens after it must still suffice. It says nothing of later common tokens, so those of a pair
+    are counted whatever their places.
+    """
+    after = F.least(F.col(size_a) - F.col(place_a), F.col(size_b) - F.col(place_b))
+    return after + SLACK >= _least_shared(size_a, size_b)
+
+
+def _list_pairs(lists: DataFrame) -> DataFrame:
+    """a, b, size_a, size_b, n (common tokens), early of the pairs of groups within the lists.
+
+    Tokens with the same list are taken together first: all its groups have their lowest place at the same token.
+    """
+    alike = lists.groupBy("groups").agg(F.count(F.lit(1)).alias("n"), F.min("places").alias("places"), F.first("sizes").alias("sizes"))
+    entry = F.arrays_zip(F.col("groups").alias("grp"), F.col("sizes").alias("size"), F.col("places").alias("place"))
+    one = alike.select("n", entry.alias("entries")).select("n", "entries", F.posexplode("entries").alias("i", "x"))
+    two = one.select("n", "x", F.explode(F.expr("slice(entries, i + 2, size(entries))")).alias("y")).filter(
+        DEN * F.col("x.size") >= NUM * F.col("y.size")
+    )
+    first, second = F.least("x", "y"), F.greatest("x", "y")
+    pairs = two.select("n", first.alias("one"), second.alias("two")).select("n", *[
+        F.col(f"{side}.{c}").alias(f"{out}{end}") for side, end in (("one", "a"), ("two", "b"))
+        for c, out in (("grp", ""), ("size", "size_"), ("place", "place_"))
+    ])
+    early = _may_be_first("size_a", "size_b", "place_a", "place_b").cast("int")
+    return pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max(early).alias("early"))
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """node, hashes of the nodes in ``wanted`` (want), from one document of each."""
     one = (
@@ -397,11 +408,8 @@ def _with_component(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _column_filter(size_a, size_b, place_a, place_b):
-    least = F.expr(f"({NUM} * ({size_a} + {size_b}) + {NUM + DEN - 1}) div {NUM + DEN}")
-    return (
-        (DEN * F.least(size_a, size_b) >= NUM * F.greatest(size_a, size_b))
-        & (F.least(F.col(size_a) - F.col(place_a), F.col(size_b) - F.col(place_b)) + SLACK >= least)
-    )
+    similar_sizes = DEN * F.least(size_a, size_b) >= NUM * F.greatest(size_a, size_b)
+    return similar_sizes & _may_be_first(size_a, size_b, place_a, place_b)
 
 
 def _hub_pairs(entries: DataFrame) -> DataFrame:
@@ -539,21 +547,21 @@ def _decided(docs: DataFrame, n: int, long_list: int = LONG_LIST) -> DataFrame:
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     members = freeze(known.select("grp", "node", F.col("n_shingles").alias("size")).distinct())
     met = freeze(postings(linkable, bits, frequent, n).groupBy("bucket").applyInArrow(
-        lambda table: _tidy_pairs(table, long_list),
-        "kind int, a bigint, b bigint, size_a bigint, size_b bigint, n bigint, early int",
+        lambda table: _tidy_lists(table, long_list),
+        "kind int, token bigint, groups array<bigint>, sizes array<bigint>, places array<bigint>",
     ))
     lists = met.filter("kind = 1").select(
-        F.col("a").alias("token"), F.col("b").alias("in_list"), F.col("n").alias("place")
+        "token", F.get("groups", F.lit(0)).alias("in_list"), F.get("places", F.lit(0)).alias("place")
     )
     # Tokens of a group in long lists are not counted pair by pair: they may all be common.
     in_long = common.small_side(freeze(lists.groupBy("in_list").agg(F.count(F.lit(1)).alias("n_long"))))
-    pairs = met.filter("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("early").alias("early"))
+    pairs = _list_pairs(met.filter("kind = 0"))
     for side in ("a", "b"):
         more = in_long.select(F.col("in_list").alias(f"of_{side}"), F.col("n_long").alias(f"long_{side}"))
         pairs = pairs.join(more, F.col(side) == F.col(f"of_{side}"), "left")
     rest = F.greatest(*[F.expr(f"({NUM} * {s} + {DEN - 1}) div {DEN} - 1") for s in ("size_a", "size_b")])
     possible = F.col("n") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) + rest + SLACK
-    least = F.expr(f"({NUM} * (size_a + size_b) + {NUM + DEN - 1}) div {NUM + DEN}")
+    least = _least_shared("size_a", "size_b")
     # The first common token may also stand in a long list.
     in_both = F.col("long_a").isNotNull() & F.col("long_b").isNotNull()
     tried, more_lists = _members_of(pairs.filter((possible >= least) & ((F.col("early") == 1) | in_both)), members, long_list)

@@ -160,3 +160,42 @@ def test_long_chain(spark):
 def test_query(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").collect()
     assert sorted(map(tuple, queries.op6(spark, corpus).collect())) == sorted(brute([(r.doc_id, r.text) for r in docs]))
+
+
+def _bucket_table(entries):
+    """A bucket's table of (token, group, size, place) entries, as one task posts it."""
+    kinds = (("tokens", "<u4"), ("groups", "<i8"), ("sizes", "<u4"), ("places", "<u2"))
+    columns = [[np.array([e[i] for e in entries], kind).tobytes()] for i, (_, kind) in enumerate(kinds)]
+    return pa.table([pa.array([0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", *[n for n, _ in kinds]])
+
+
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_rows_of_lists_follow_tokens_not_pairs_or_buckets(spark, buckets):
+    """20 groups that share 16 tokens have 190 pairs: in every bucket, they were as many rows."""
+    tables = [[(t, g, 100, t) for t in range(16) if t % buckets == b for g in range(20)] for b in range(buckets)]
+    found = [row for t in tables for row in jaccard_join._token_lists(_bucket_table(t), 32).to_pylist()]
+    assert len(found) == 16 and all(r["groups"] == list(range(20)) for r in found)
+    pairs = jaccard_join._list_pairs(spark.createDataFrame(found, "kind int, token bigint, groups array<bigint>, sizes array<bigint>, places array<bigint>"))
+    assert sorted((r.a, r.b, r.n, r.early) for r in pairs.collect()) == [(a, b, 16, 1) for a in range(20) for b in range(a + 1, 20)]
+
+
+def test_pairs_of_lists_match_all_pairs(spark):
+    rng = random.Random(4)
+    size = {g: rng.choice([1, 20, 30, 40, 41, 90]) for g in range(-12, 12)}
+    held = {g: sorted(rng.sample(range(30), rng.randint(1, 12))) for g in size}
+    entries = [(t, g, size[g], held[g].index(t)) for g in size for t in held[g]] * 2
+    rng.shuffle(entries)
+    rows = jaccard_join._token_lists(_bucket_table(entries), 9).to_pylist()
+    on = {t: sorted(g for g in size if t in held[g]) for t in range(30)}
+    assert sorted((r["token"], r["groups"][0]) for r in rows if r["kind"]) == sorted((t, g) for t in on if len(on[t]) > 9 for g in on[t])
+    wanted = set()
+    for a in size:
+        for b in size:
+            common = [t for t in held[a] if t in held[b] and len(on[t]) <= 9]
+            if a < b and common and 4 * min(size[a], size[b]) >= 3 * max(size[a], size[b]):
+                least = -(-75 * (size[a] + size[b]) // 175)
+                early = any(min(size[a] - held[a].index(t), size[b] - held[b].index(t)) + jaccard_join.SLACK >= least for t in common)
+                wanted.add((a, b, size[a], size[b], len(common), int(early)))
+    short = [r for r in rows if not r["kind"]]
+    lists = spark.createDataFrame(short, "kind int, token bigint, groups array<bigint>, sizes array<bigint>, places array<bigint>")
+    assert {tuple(r) for r in jaccard_join._list_pairs(lists).collect()} == wanted
