@@ -87,3 +87,21 @@ def test_shares_of_large_counts_are_exact(spark):
 def test_partitioning_does_not_matter(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     assert asked(docs.repartition(1)) == asked(docs.repartition(9))
+
+
+def test_terms_are_split_not_matched_one_by_one(spark, capsys):
+    """Same terms as the pattern of the contract, without a match object for each of them."""
+    import random
+    rng = random.Random(11)
+    signs = [chr(i) for i in range(128)] + list("éÉßİΣ字😀\u00a0\u2028\x85")
+    texts = ["", " ", "a", "A b", ".a.", "\x00É\x7fZ", None, *["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(300)]]
+    counted = divergence.term_counts(spark.createDataFrame([("x", "s", t) for t in texts], "lang string, source string, text string"))
+    n, n_docs = Counter(), Counter()
+    for t in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
+        n.update(found)
+        n_docs.update(set(found))
+    assert {r.term: (r.n, r.n_docs) for r in counted.collect()} == {t: (n[t], n_docs[t]) for t in n}
+    counted.explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
