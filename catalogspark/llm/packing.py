@@ -12,6 +12,7 @@ and ``text`` are read, so names of further columns do not matter.
 
 import zlib
 from bisect import bisect_left, insort
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, _byte_letters()
-        self.bytes = 0
+        self.model, self.bytes = self.tokenizer.model, 0
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._ids(word)
@@ -70,19 +71,27 @@ class WordIds(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
+        # Most new words are plain ASCII: these need no decoding to tell what they are, and are spelled as they stand.
+        if word.isalpha():
+            return self._of_letters(word.decode()) if word.islower() else self[word.lower()]
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
         text = word.decode()
         if text.isalpha() and max(text) < "Ā":
             low = text.lower()
             if low != text:
                 return self[low.encode()]
-            spelled = "".join([self.letters[b] for b in word])
-            return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+            return self._of_letters("".join([self.letters[b] for b in word]))
         if text[-1] in ".," and len(text) > 1 and text[-2].isalpha() and text[-2] < "Ā":
             return self[word[:-1]] + self[word[-1:]]
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _of_letters(self, spelled: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
 
     def of_text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        words = text.split()
+        return b"".join(itemgetter(*words)(self)) if len(words) > 1 else b"".join([self[w] for w in words])
 
 
 class Windows:

@@ -107,3 +107,11 @@ def test_known_words_are_bounded_by_bytes():
         assert known.bytes <= 50_000 + 2_000
         assert not any(len(w) > packing.LONG_WORD for w in known)
     assert known.of_text(("字" * 60).encode()) == known._ids(("字" * 60).encode())
+
+
+def test_plain_new_words_take_the_short_way(path, whole, monkeypatch):
+    """ASCII words, in any case and before a comma or full stop, are neither decoded to be told apart nor respelled."""
+    known = packing.WordIds(path)
+    known.letters = None
+    for text in ("plain words, Here and THERE. zyxwvq Qqzzk, a. B", "", " ", "one"):
+        assert np.array_equal(np.frombuffer(known.of_text(text.encode()), "<u4"), whole(text)[:-1]), text
